@@ -1,3 +1,3 @@
 """Imports every query module once."""
 
-from tidemark.catalog import trades  # noqa: F401
+from tidemark.catalog import scoring, trades  # noqa: F401

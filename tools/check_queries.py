@@ -50,7 +50,7 @@ def duck(sf_dir):
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     prefixes = sys.argv[2:]
-    spark = build_session("check", master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+    spark = build_session("check", master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
                           spark__driver__memory="12g", spark__log__level="ERROR")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
