@@ -24,18 +24,22 @@ def _running(df: DataFrame, part: Sequence[str], order: str, base: str | None) -
     return df.withColumn("__below", below if base is None else below + F.col(base))
 
 
-def grouped_median(df: DataFrame, keys: Sequence[str], value: str, into: str = "median") -> DataFrame:
+def grouped_median(
+    df: DataFrame, keys: Sequence[str], value: str, into: str = "median", weight: str | None = None
+) -> DataFrame:
     """Exact median per key, mean of the middle two on even counts; keys without values are absent.
 
-    Equal values are counted first, then the middle ranks are narrowed twice by histogram, and
-    only the values of the one or two bins that hold them are sorted.
+    Equal values are counted first (``weight`` gives rows that already stand for several), then
+    the middle ranks are narrowed twice by histogram, and only the values of the one or two bins
+    that hold them are sorted.
     """
     keys = list(keys)
+    times = F.col(weight) if weight else F.lit(1)
     counted = (
         df.filter(F.col(value).isNotNull())
-        .select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias(_V))
+        .select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias(_V), times.alias("__w"))
         .groupBy(*keys, _V)
-        .agg(F.count(F.lit(1)).alias(_C))
+        .agg(F.sum("__w").alias(_C))
         .withColumn(_B1, signed_log_bin(F.col(_V)))
     )
     coarse = counted.groupBy(*keys, _B1).agg(

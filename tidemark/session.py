@@ -52,3 +52,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if root is None:
         raise ValueError(f"set {SHARED_DIR_CONF} to a folder every executor can reach")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(df, purpose: str):
+    """Write an intermediate result once to the shared folder and read it back.
+
+    Used where several branches of one plan need the same expensive rows: the files survive lost
+    executors and end the lineage, which in-memory caching would not.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
