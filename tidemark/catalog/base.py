@@ -62,7 +62,7 @@ TICKS = """ticks AS (SELECT 'I' || (l_suppkey % 20) || '-USDT-SWAP' AS instrumen
   l_orderkey AS seq1, l_linenumber AS seq2, l_extendedprice / l_quantity AS price, l_quantity AS base_volume,
   l_extendedprice AS quote_volume FROM lineitem)"""
 
-ASOF = """asof AS (SELECT max(t) + 43200000000 AS as_of FROM ticks)"""
+ASOF = """clock AS (SELECT max(t) + 43200000000 AS as_of FROM ticks)"""
 
 # Bar lengths in microseconds of the four stand-in frames.
 FRAMES = """frames AS (SELECT * FROM (VALUES ('15m', 86400000000), ('1H', 172800000000), ('4H', 604800000000),
@@ -71,7 +71,7 @@ FRAMES = """frames AS (SELECT * FROM (VALUES ('15m', 86400000000), ('1H', 172800
 BARS = """bars AS (SELECT instrument_id, timeframe, t - t % dur AS open_t, t - t % dur + dur AS close_t,
   arg_min(price, (t, seq1, seq2)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (t, seq1, seq2)) AS close,
   sum(base_volume) AS volume_base, sum(CAST(round(quote_volume * 100) AS BIGINT)) / 100.0 AS volume_quote,
-  t - t % dur + dur <= (SELECT as_of FROM asof) AS confirmed
+  t - t % dur + dur <= (SELECT as_of FROM clock) AS confirmed
   FROM ticks CROSS JOIN frames GROUP BY ALL)"""
 
 DERIV = """deriv AS (SELECT event_id AS id, CASE WHEN user_id % 20 < 14 THEN 'crypto' ELSE 'stock' END AS asset_class,
@@ -88,18 +88,18 @@ MEMBERS = """members AS (SELECT t // 1200000000 AS run_id, 'I' || (user_id % 20)
   'I' || (user_id % 20) AS symbol, arg_max(value, event_id) AS price FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2, 3)"""
 
 NEEDS = {
-    "trades": ("ev",), "snap": ("ev",), "scores": ("snap",), "asof": ("ticks",), "bars": ("ticks", "asof", "frames"),
+    "trades": ("ev",), "snap": ("ev",), "scores": ("snap",), "clock": ("ticks",), "bars": ("ticks", "clock", "frames"),
     "deriv": ("ev",), "runs": ("ev",), "members": ("ev",),
 }
 CTES = {
-    "ev": EV, "trades": TRADES, "snap": SNAP, "scores": SCORES, "ticks": TICKS, "asof": ASOF, "frames": FRAMES,
+    "ev": EV, "trades": TRADES, "snap": SNAP, "scores": SCORES, "ticks": TICKS, "clock": ASOF, "frames": FRAMES,
     "bars": BARS, "deriv": DERIV, "runs": RUNS, "members": MEMBERS,
 }
 
 
 def define(name: str, text: str, *needs: str) -> None:
     """Add a shared table expression for the checking SQL."""
-    CTES[name] = f"{name} AS ({text})"
+    CTES[name] = f"{name} AS MATERIALIZED ({text})"
     NEEDS[name] = needs
 
 

@@ -1,3 +1,3 @@
 """Imports every query module once."""
 
-from tidemark.catalog import scoring, study, trades  # noqa: F401
+from tidemark.catalog import market, scoring, study, trades  # noqa: F401

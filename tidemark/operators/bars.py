@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.functions.timecol import DAY, HOUR, MINUTE, bucket_of, floor_to, micros, plus
 from tidemark.operators.series import drop_margin, number_rows, with_margin
-from tidemark.operators.smoothing import indicators
+from tidemark.operators.smoothing import indicators, rsi_from
 
 # Bar lengths, look-backs and the smallest usable history.
 FRAMES = {"15m": 15 * MINUTE, "1H": HOUR, "4H": 4 * HOUR, "1D": DAY}
@@ -130,79 +130,126 @@ def newest_bars(bars: DataFrame, limit: int = READ_LIMIT) -> DataFrame:
     return kept.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("m", F.count_if("confirmed").over(whole))
 
 
-INDICATOR_COLUMNS = ("ema20", "ema50", "ema200", "rsi14", "macd", "macd_signal", "macd_histogram", "atr14")
+def newest_arrays(bars: DataFrame, limit: int = READ_LIMIT) -> DataFrame:
+    """One row per series: its newest ``limit`` bars as an ordered array, completed ones apart."""
+    newest = Window.partitionBy(*SERIES).orderBy(F.col("open_time").desc())
+    kept = bars.withColumn("__rn", F.row_number().over(newest)).filter(F.col("__rn") <= limit)
+    bar = F.struct("open_time", "close_time", "high", "low", "close", "volume_quote", "confirmed", bar_is_valid().alias("valid"))
+    listed = kept.groupBy(*SERIES).agg(F.array_sort(F.collect_list(bar)).alias("all_bars"))
+    return (
+        listed.withColumn("done_bars", F.filter("all_bars", lambda x: x["confirmed"]))
+        .withColumn("bars", F.size("all_bars")).withColumn("completed", F.size("done_bars"))
+    )
+
+
+def fold_indicators(done: Column) -> Column:
+    """Last indicator values of one short ordered series, one sequential pass over its bars.
+
+    Same smoothers as the full-history form; kept to the newest few hundred bars by its caller.
+    """
+    zero = F.lit(0.0)
+    emas = {"e12": 12, "e20": 20, "e26": 26, "e50": 50}
+    empty = F.array().cast("array<double>")
+    start = F.struct(
+        F.lit(0).alias("i"), F.lit(None).cast("double").alias("prev"),
+        *[zero.alias(k) for k in emas], *[zero.alias(f"s_{k}") for k in emas],
+        *[zero.alias(k) for k in ("gain", "loss", "atr", "line_sum", "signal", "h0", "h1", "h2")], empty.alias("rsi"),
+    )
+
+    def step(acc: Column, bar: Column) -> Column:
+        i, close = acc["i"], bar["close"]
+        fields: dict[str, Column] = {}
+        for k, p in emas.items():
+            total = acc[f"s_{k}"] + close
+            alpha = 2.0 / (p + 1)
+            fields[k] = F.when(i < p - 1, zero).when(i == p - 1, total / p).otherwise(alpha * close + (1 - alpha) * acc[k])
+            fields[f"s_{k}"] = F.when(i < p, total).otherwise(acc[f"s_{k}"])
+        change = close - acc["prev"]
+        up, down = F.when(change > 0, change).otherwise(zero), F.when(change < 0, -change).otherwise(zero)
+        span = bar["high"] - bar["low"]
+        tr = F.when(i == 0, span).otherwise(
+            F.greatest(span, F.abs(bar["high"] - acc["prev"]), F.abs(bar["low"] - acc["prev"]))
+        )
+
+        def wilder(name: str, value: Column, last_seed: int, p: int) -> Column:
+            # Until the seed is complete the field holds the running sum.
+            return (
+                F.when(i < last_seed, acc[name] + value).when(i == last_seed, (acc[name] + value) / p)
+                .otherwise((acc[name] * (p - 1) + value) / p)
+            )
+
+        gain, loss = wilder("gain", up, 14, 14), wilder("loss", down, 14, 14)
+        line = F.when(i >= 25, fields["e12"] - fields["e26"]).otherwise(zero)
+        line_sum = F.when(i <= 33, acc["line_sum"] + line).otherwise(acc["line_sum"])
+        signal = F.when(i < 33, zero).when(i == 33, line_sum / 9).otherwise(0.2 * line + 0.8 * acc["signal"])
+        rsi = F.when(i >= 14, rsi_from(gain, loss)).otherwise(zero)
+        fields |= {
+            "gain": gain, "loss": loss, "atr": wilder("atr", tr, 13, 14), "line_sum": line_sum, "signal": signal,
+            "h0": F.when(i >= 33, line - signal).otherwise(zero), "h1": acc["h0"], "h2": acc["h1"],
+            "rsi": F.slice(F.concat(F.array(rsi), acc["rsi"]), 1, LOOKBACK),
+        }
+        names = ["e12", "e20", "e26", "e50", "s_e12", "s_e20", "s_e26", "s_e50", "gain", "loss", "atr", "line_sum", "signal",
+                 "h0", "h1", "h2", "rsi"]
+        return F.struct((i + 1).alias("i"), close.alias("prev"), *[fields[n].alias(n) for n in names])
+
+    return F.aggregate(done, start, step)
+
+
+def _prior_high_at(before: Column, lookback: int = LOOKBACK) -> Column:
+    frame = F.slice("all_bars", F.greatest(F.lit(0), before - lookback) + 1, F.least(F.lit(lookback), before))
+    return F.coalesce(F.array_max(F.transform(F.filter(frame, lambda x: x["confirmed"]), lambda x: x["high"])), F.lit(0.0))
 
 
 def frame_readings(bars: DataFrame, limit: int = READ_LIMIT) -> DataFrame:
     """What an analysis needs to know of each series, one row per (instrument, timeframe).
 
-    ``bars`` beyond the newest ``limit`` are not read. Series with too few completed bars or an
-    invalid bar are left out.
+    ``bars`` beyond the newest ``limit`` are not read, so the arrays are bounded; one shuffle by
+    series serves everything. Series with too few completed bars or an invalid bar are left out.
     """
-    rows = newest_bars(bars, limit).withColumn("__valid", bar_is_valid())
-    whole = Window.partitionBy(*SERIES)
-    rows = rows.withColumn("__all_valid", F.min("__valid").over(whole)).filter(
-        F.col("__all_valid") & (F.col("m") >= MIN_COMPLETED)
+    rows = newest_arrays(bars, limit).filter(
+        (F.col("completed") >= MIN_COMPLETED) & F.forall("all_bars", lambda x: x["valid"])
     )
-    order = whole.orderBy("idx")
-    rows = (
-        rows.withColumn("prior_high", prior_high(order))
-        .withColumn("low_pivot", is_pivot(order, "low", high=False))
-        .withColumn("cidx", F.count_if("confirmed").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-        .withColumn("__last_confirmed", F.max(F.when(F.col("confirmed"), F.col("idx"))).over(whole))
-    )
-    done = rows.filter("confirmed").select(*SERIES, F.col("cidx").alias("idx"), "high", "low", "close")
-    ind = indicators(done, SERIES, "idx", chunk=max(1024, limit)).select(
-        *SERIES, F.col("idx").alias("cidx"), *INDICATOR_COLUMNS
-    )
-    rows = rows.join(ind.withColumn("confirmed", F.lit(True)), [*SERIES, "cidx", "confirmed"], "left")
-
-    idx, n, m, cidx, closed = F.col("idx"), F.col("n"), F.col("m"), F.col("cidx"), F.col("confirmed")
-
-    def at(position: Column, column: str) -> Column:
-        return F.max(F.when(idx == position, F.col(column)))
-
-    def done_at(back: int, column: str) -> Column:
-        return F.max(F.when(closed & (cidx == m - 1 - back), F.col(column)))
-
-    tail20 = closed & (cidx >= m - LOOKBACK)
-    last_conf = F.col("__last_confirmed")
-    pivot_list = F.array_sort(F.collect_list(F.when(F.col("low_pivot"), F.struct("idx", F.col("low").alias("price")))))
-    agg = rows.groupBy(*SERIES).agg(
-        F.max("n").alias("bars"), F.max("m").alias("completed"),
-        at(n - 1, "close").alias("latest_close"), at(n - 1, "volume_quote").alias("latest_volume"),
-        at(n - 1, "open_time").alias("latest_open_time"), at(n - 1, "close_time").alias("latest_close_time"),
-        at(n - 1, "confirmed").alias("latest_confirmed"),
-        at(F.greatest(F.lit(0), n - 5), "close").alias("close_5th"),
-        at(n - 1, "prior_high").alias("latest_prior_high"),
-        at(n - 2, "prior_high").alias("previous_prior_high"), at(n - 2, "high").alias("previous_high"),
-        at(last_conf, "close").alias("last_close"), at(last_conf, "prior_high").alias("last_prior_high"),
-        at(F.greatest(F.lit(0), last_conf - 4), "close").alias("close_4_before_last"),
-        done_at(4, "close").alias("completed_close_4"),
-        F.median(F.when(tail20, F.col("volume_quote"))).alias("volume_median20"),
-        *[done_at(0, c).alias(c) for c in ("ema20", "ema50", "rsi14", "macd_histogram", "atr14")],
-        done_at(1, "macd_histogram").alias("histogram_1"), done_at(2, "macd_histogram").alias("histogram_2"),
-        done_at(10, "rsi14").alias("rsi_10"), at(m - 11, "close").alias("close_10"),
-        F.max(F.coalesce(tail20 & (cidx < m - 1) & F.col("rsi14").between(35.0, 45.0), F.lit(False))).alias("rsi_was_low"),
-        F.max(
-            F.when(
-                F.col("confirmed") & (idx >= F.when(at_last_confirmed(n), n - 1).otherwise(n) - LOOKBACK)
-                & (idx < F.when(at_last_confirmed(n), n - 1).otherwise(n)),
-                F.col("high"),
-            )
-        ).alias("confirmation_level"),
-        pivot_list.alias("__pivots"),
+    n, m = F.col("bars"), F.col("completed")
+    every, done, ind = F.col("all_bars"), F.col("done_bars"), F.col("ind")
+    rows = rows.withColumn("ind", fold_indicators(done)).withColumn(
+        "last_at", F.array_max(F.transform("all_bars", lambda x, i: F.when(x["confirmed"], i)))
     )
-    last_two = F.slice(F.col("__pivots"), -2, 2)
-    return agg.withColumn(
-        "higher_low",
-        F.when(F.size("__pivots") >= 2, last_two[1]["price"] > last_two[0]["price"]).otherwise(F.lit(False)),
-    ).drop("__pivots")
 
-
-def at_last_confirmed(n: Column) -> Column:
-    """True when every bar of the series is completed, i.e. the newest one is."""
-    return F.col("m") == n
+    def bar(position: Column) -> Column:
+        return F.get(every, position)
+
+    def low_pivot(x: Column, i: Column) -> Column:
+        ok = x["confirmed"] & (i >= 2) & (i + 2 < F.size(every))
+        for k in (-2, -1, 1, 2):
+            near = F.get(every, i + k)
+            ok = ok & near["confirmed"] & (x["low"] < near["low"])
+        return F.coalesce(ok, F.lit(False))
+
+    rows = rows.withColumn("lows", F.slice(F.reverse(F.filter("all_bars", low_pivot)), 1, 2))
+    latest, last = bar(n - 1), bar(F.col("last_at"))
+    volumes = F.array_sort(F.transform(F.slice(done, -LOOKBACK, LOOKBACK), lambda x: x["volume_quote"]))
+    plan_before = F.when(F.col("last_at") == n - 1, n - 1).otherwise(n)
+    level = _prior_high_at(plan_before)
+    return rows.select(
+        *SERIES, "bars", "completed",
+        latest["close"].alias("latest_close"), latest["volume_quote"].alias("latest_volume"),
+        latest["open_time"].alias("latest_open_time"), latest["close_time"].alias("latest_close_time"),
+        latest["confirmed"].alias("latest_confirmed"),
+        bar(F.greatest(F.lit(0), n - 5))["close"].alias("close_5th"),
+        _prior_high_at(n - 1).alias("latest_prior_high"),
+        _prior_high_at(n - 2).alias("previous_prior_high"), bar(n - 2)["high"].alias("previous_high"),
+        last["close"].alias("last_close"), _prior_high_at(F.col("last_at")).alias("last_prior_high"),
+        bar(F.greatest(F.lit(0), F.col("last_at") - 4))["close"].alias("close_4_before_last"),
+        F.get(done, m - 5)["close"].alias("completed_close_4"),
+        ((F.get(volumes, F.lit(LOOKBACK // 2 - 1)) + F.get(volumes, F.lit(LOOKBACK // 2))) / 2).alias("volume_median20"),
+        ind["e20"].alias("ema20"), ind["e50"].alias("ema50"), F.get(ind["rsi"], F.lit(0)).alias("rsi14"),
+        ind["h0"].alias("macd_histogram"), ind["atr"].alias("atr14"),
+        ind["h1"].alias("histogram_1"), ind["h2"].alias("histogram_2"),
+        F.get(ind["rsi"], F.lit(10)).alias("rsi_10"), bar(m - 11)["close"].alias("close_10"),
+        F.exists(F.slice(ind["rsi"], 2, LOOKBACK - 1), lambda v: v.between(35.0, 45.0)).alias("rsi_was_low"),
+        F.when(level > 0, level).alias("confirmation_level"),
+        F.coalesce(F.get("lows", F.lit(0))["low"] > F.get("lows", F.lit(1))["low"], F.lit(False)).alias("higher_low"),
+    )
 
 
 def completed_return(reading: Column) -> Column:
@@ -222,3 +269,18 @@ def level_pivots(bars: DataFrame, timeframe: str = "4H", last: int = PLAN_BARS,
         )
     )
     return rows.withColumn("__k", kinds).select("instrument_id", "idx", F.inline("__k"))
+
+
+def recent_returns(bars: DataFrame, timeframe: str = "1H", periods: int = 4) -> DataFrame:
+    """Percent change over the last ``periods`` completed bars per instrument; 0 when the history is short."""
+    newest = Window.partitionBy("instrument_id").orderBy(F.col("open_time").desc())
+    tail = (
+        bars.filter((F.col("timeframe") == timeframe) & F.col("confirmed"))
+        .withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= periods + 1)
+    )
+    ends = tail.groupBy("instrument_id").agg(
+        F.max(F.when(F.col("rn") == 1, F.col("close"))).alias("last"),
+        F.max(F.when(F.col("rn") == periods + 1, F.col("close"))).alias("base"),
+    )
+    change = F.when(F.col("base") > 0, (F.col("last") / F.col("base") - 1) * 100).otherwise(F.lit(0.0))
+    return ends.select("instrument_id", change.alias("recent_return"))

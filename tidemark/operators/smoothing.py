@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.joins import previous_row
 from tidemark.operators.series import CHUNK
+from tidemark.session import staged
 
 RSI_PERIOD = 14
 ATR_PERIOD = 14
@@ -114,7 +115,8 @@ def rsi_from(gain: Column, loss: Column) -> Column:
 def indicators(bars: DataFrame, on: Sequence[str], idx: str = "idx", chunk: int = CHUNK) -> DataFrame:
     """EMA20/50/200, RSI14, MACD 12/26/9 and ATR14 for every completed bar of every series.
 
-    Expects completed bars numbered 0..n-1 by ``idx`` with high, low and close.
+    Expects completed bars numbered 0..n-1 by ``idx`` with high, low and close. Rows are staged
+    before each smoothing pass: a pass reads its rows twice, and nesting would multiply the scans.
     """
     on = list(on)
     home = F.floor(F.col(idx) / chunk).cast("bigint")
@@ -134,6 +136,7 @@ def indicators(bars: DataFrame, on: Sequence[str], idx: str = "idx", chunk: int
             ).otherwise(tr),
         )
     )
+    work = staged(work, "indicator-inputs")
     specs = [ema_of(f"ema{p}", "close", p) for p in EMA_PERIODS]
     specs += [ema_of("__fast", "close", MACD_FAST), ema_of("__slow", "close", MACD_SLOW)]
     specs += [
@@ -148,6 +151,7 @@ def indicators(bars: DataFrame, on: Sequence[str], idx: str = "idx", chunk: int
         "rsi14",
         F.when(F.col(idx) >= RSI_PERIOD, rsi_from(F.col("__ag"), F.col("__al"))).otherwise(F.lit(0.0)),
     ).withColumn("macd", F.when(F.col(idx) >= line_from, F.col("__fast") - F.col("__slow")).otherwise(F.lit(0.0)))
+    work = staged(work, "indicator-lines")
     work = smooth(work, on, idx, [ema_of("macd_signal", "macd", MACD_SIGNAL, start=line_from)], chunk)
     work = work.withColumn(
         "macd_histogram",

@@ -8,6 +8,7 @@ from tidemark.functions.timecol import DAY, HOUR, MINUTE, micros
 from tidemark.operators import bars as br, opportunity as op
 from tidemark.operators.joins import asof_backward
 from tidemark.operators.order_stats import grouped_median
+from tidemark.session import staged
 
 
 def latest_derivatives(derivatives: DataFrame) -> DataFrame:
@@ -34,16 +35,14 @@ def oi_changes(
     return out
 
 
-def pool_context(wide: DataFrame, assets: DataFrame, benchmarks: dict[str, str]) -> DataFrame:
+def pool_context(bars: DataFrame, assets: DataFrame, benchmarks: dict[str, str]) -> DataFrame:
     """Benchmark return and pool median return per asset class: one row per class."""
-    returns = wide.select(
-        "instrument_id", br.completed_return(F.col(f"f{op.REVERSAL}")).alias("r")
-    ).join(assets.select("instrument_id", "asset_class"), "instrument_id")
-    median = grouped_median(returns, ["asset_class"], "r", "pool_median_return")
+    returns = br.recent_returns(bars, op.REVERSAL).join(assets.select("instrument_id", "asset_class"), "instrument_id")
+    median = grouped_median(returns, ["asset_class"], "recent_return", "pool_median_return")
     wanted = F.lit(False)
     for cls, instrument in benchmarks.items():
         wanted = wanted | ((F.col("asset_class") == cls) & (F.col("instrument_id") == instrument))
-    bench = returns.filter(wanted).groupBy("asset_class").agg(F.max("r").alias("benchmark_return"))
+    bench = returns.filter(wanted).groupBy("asset_class").agg(F.max("recent_return").alias("benchmark_return"))
     return median.join(bench, "asset_class", "inner")
 
 
@@ -52,14 +51,14 @@ def scan(
 ) -> DataFrame:
     """Score every asset of the pool. ``assets`` carries class, change, funding, OI changes and tick size."""
     wide = op.frames_side_by_side(br.frame_readings(bars, limit))
-    context = pool_context(wide, assets, benchmarks)
+    context = pool_context(bars, assets, benchmarks)
     joined = wide.join(assets, "instrument_id").join(context, "asset_class")
     return op.score_opportunities(op.evidence(joined, as_of))
 
 
 def with_plans(scored: DataFrame, bars: DataFrame) -> DataFrame:
-    """Attach levels and the staged plan to visible opportunities."""
-    shown = op.visible(scored)
+    """Attach levels and the staged plan to visible opportunities, a handful of rows per scan."""
+    shown = staged(op.visible(scored), "visible-opportunities")
     levelled = op.with_levels(shown, br.level_pivots(bars, op.TREND))
     levelled = levelled.withColumn("confirmation_level", F.col(f"f{op.EXECUTION}")["confirmation_level"])
     return op.price_plan(levelled)
