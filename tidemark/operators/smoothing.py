@@ -53,15 +53,17 @@ def smooth(df: DataFrame, on: Sequence[str], idx: str, specs: Sequence[Smoother]
         raise ValueError("a seed must lie inside the first chunk")
     pos = F.pmod(F.col(idx), F.lit(chunk)).cast("double")
     work = df.withColumn("__chunk", F.floor(F.col(idx) / chunk).cast("bigint"))
-    order = Window.partitionBy(*on, "__chunk").orderBy(idx)
+    running = Window.partitionBy(*on, "__chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    pushes = {}
     for s in specs:
-        seed = F.avg(s.value).over(order.rowsBetween(-(s.period - 1), 0))
-        push = (
+        # The seed lies in the first chunk, so its mean is a running sum there: linear work.
+        seed = F.sum(F.when(F.col(idx).between(s.start, s.seed_at), F.col(s.value))).over(running) / s.period
+        pushes[f"__in_{s.out}"] = (
             F.when(F.col(idx) > s.seed_at, F.col(s.value) * s.alpha)
             .when(F.col(idx) == s.seed_at, seed)
             .otherwise(F.lit(0.0))
         )
-        work = work.withColumn(f"__in_{s.out}", push)
+    work = work.withColumns(pushes)
     ends = work.groupBy(*on, "__chunk").agg(
         *[
             F.sum(F.col(f"__in_{s.out}") * F.pow(F.lit(1.0 - s.alpha), F.lit(chunk - 1.0) - pos)).alias(f"__e_{s.out}")
@@ -70,13 +72,13 @@ def smooth(df: DataFrame, on: Sequence[str], idx: str, specs: Sequence[Smoother]
     )
     states = _chunk_starts(ends, on, specs, chunk)
     joined = work.join(states, [*on, "__chunk"], "left")
-    running = Window.partitionBy(*on, "__chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    smoothed = {}
     for s in specs:
         keep = F.lit(1.0 - s.alpha)
         local = F.pow(keep, pos) * F.sum(F.col(f"__in_{s.out}") * F.pow(keep, -pos)).over(running)
         carried = F.pow(keep, pos + 1.0) * F.coalesce(F.col(f"__s_{s.out}"), F.lit(0.0))
-        joined = joined.withColumn(s.out, F.when(F.col(idx) >= s.seed_at, local + carried).otherwise(F.lit(0.0)))
-    return joined.drop("__chunk", *[f"__in_{s.out}" for s in specs], *[f"__s_{s.out}" for s in specs])
+        smoothed[s.out] = F.when(F.col(idx) >= s.seed_at, local + carried).otherwise(F.lit(0.0))
+    return joined.withColumns(smoothed).drop("__chunk", *[f"__in_{s.out}" for s in specs], *[f"__s_{s.out}" for s in specs])
 
 
 def _chunk_starts(ends: DataFrame, on: list[str], specs: Sequence[Smoother], chunk: int) -> DataFrame:
