@@ -1,3 +1,3 @@
 """Imports every query module once."""
 
-from tidemark.catalog import history, market, scoring, study, trades  # noqa: F401
+from tidemark.catalog import generations, history, market, scoring, study, trades  # noqa: F401
