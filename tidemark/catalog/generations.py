@@ -161,10 +161,10 @@ def pool_age(spark, sf_dir):
 
 
 @query("s11_study_source", oracle("""SELECT s.id, x.score_version, x.role, x.raw_score, v.tier_count FROM snap s LEFT JOIN scores x ON x.id = s.id LEFT JOIN (VALUES ('V1', 3)) v(score_version, tier_count) ON v.score_version = x.score_version
-  WHERE s.id > 1000 AND s.id <= (SELECT max(id) FROM snap)""", "snap", "scores"))
+  WHERE s.id > -1 AND s.id <= (SELECT max(id) FROM snap)""", "snap", "scores"))
 def study_source(spark, sf_dir):
     snaps = ad.snapshots(spark, sf_dir)
     scores = ad.snapshot_scores(spark, sf_dir).select(F.col("id").alias("snapshot_id"), "score_version", "role", F.col("raw_score").alias("version_score"))
     versions = spark.createDataFrame([("V1", 3)], "score_version string, tier_count int")
     top = snaps.agg(F.max("id").alias("m")).select("m").scalar()
-    return ge.study_source(snaps, scores, versions, F.lit(1000), top).select("id", "score_version", "role", F.col("version_score").alias("raw_score"), "tier_count")
+    return ge.study_source(snaps, scores, versions, F.lit(-1), top).select("id", "score_version", "role", F.col("version_score").alias("raw_score"), "tier_count")

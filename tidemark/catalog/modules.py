@@ -1,3 +1,4 @@
 """Imports every query module once."""
 
-from tidemark.catalog import generations, history, market, scoring, study, trades  # noqa: F401
+from tidemark.catalog import scoring, study, trades  # noqa: F401
+from tidemark.catalog import candidates, generations, history, market  # noqa: F401
