@@ -318,3 +318,17 @@ def momentum_evidence(spark, sf_dir):
         "snapshot_id", m["price_momentum"]["available"].alias("price_available"), m["price_momentum"]["window"].alias("price_window"),
         F.round(m["buy_pressure"]["value"], 8).alias("buy_pressure"), m["liquidity"]["available"].alias("liquidity_available"),
     )
+
+
+@query("p4_filter_ratio", oracle("SELECT event_id, CASE WHEN r IS NULL THEN NULL WHEN isinf(r) THEN -1 ELSE round(r, 8) END AS ratio FROM (SELECT event_id, CASE WHEN d > 0 THEN n / CAST(d AS DOUBLE) WHEN d = 0 AND n > 0 THEN CAST('Infinity' AS DOUBLE) ELSE 0 END AS r FROM (SELECT event_id, k % 11 AS n, k % 7 - 1 AS d FROM ev))", "ev"))
+def filter_ratio(spark, sf_dir):
+    r = q.open_ratio(F.col("k") % 11, F.col("k") % 7 - 1)
+    return ad._events(spark, sf_dir).select("event_id", F.when(r == float("inf"), -1.0).otherwise(F.round(r, 8)).alias("ratio"))
+
+
+@query("p10_age_provenance", oracle("SELECT seq, CASE WHEN seq % 5 = 0 THEN 'ON_CHAIN_CREATION' WHEN pool <> '' THEN 'EARLIEST_PAIR' ELSE 'LOCAL_FIRST_SEEN_LOWER_BOUND' END AS provenance FROM cand", "cand"))
+def age_provenance(spark, sf_dir):
+    at = F.col("detected_at")
+    chain = F.when(F.col("seq") % 5 == 0, at)
+    pair = F.when(F.col("pair_address") != "", at)
+    return candidates(spark, sf_dir).select("seq", ca.age_provenance(F.lit(None).cast("string"), chain, [pair]).alias("provenance"))

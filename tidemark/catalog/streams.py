@@ -82,3 +82,11 @@ def episode_stream(spark, sf_dir):
     seen.select("asset_class", "instrument_id", "seq").write.parquet(root)
     closed = jobs.drain(jobs.episode_stream(jobs.file_stream(spark, root)), "episodes")
     return closed.select("instrument_id", "first_seq", "last_seq", "appearances")
+
+
+@query("t5_sliding_windows", oracle("""SELECT pool, ws AS window_us, CAST(sum(b) AS BIGINT) AS buys, count(*) FILTER (b > 0) AS unique_buyers FROM (SELECT pool, (t // 21600000000 - o) * 21600000000 AS ws, address, count(*) FILTER (side = 'buy') AS b
+  FROM trades CROSS JOIN (VALUES (0), (1)) v(o) WHERE side IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING ws + 43200000000 <= (SELECT max(t) // 1000 * 1000 FROM trades WHERE side IS NOT NULL)""", "trades"))
+def sliding_windows(spark, sf_dir):
+    good = ad.trades_from(events(spark, sf_dir)).filter(F.col("side").isNotNull())
+    out = jobs.drain(jobs.trade_window_stream(good, "12 hours", slide="6 hours"), "sliding-windows")
+    return out.select("pool", micros("window_start").alias("window_us"), "buys", "unique_buyers")

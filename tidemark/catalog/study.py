@@ -10,6 +10,7 @@ from tidemark.operators import study as st
 from tidemark.operators.joins import asof_backward, first_in_lookback, interval_join
 from tidemark.operators.order_stats import grouped_median
 from tidemark.plans import outcome_study as plan
+from tidemark.session import shared_dir, staged
 from tidemark.sources import adapters as ad
 
 HZ = (st.Horizon("6h", 6 * HOUR, 6 * HOUR), st.Horizon("24h", 24 * HOUR, 12 * HOUR), st.Horizon("72h", 72 * HOUR, 24 * HOUR))
@@ -299,3 +300,28 @@ def asof_strict(spark, sf_dir):
 def earliest_in_lookback(spark, sf_dir):
     out = first_in_lookback(ad.snapshots(spark, sf_dir), ["token_id"], "collected_at", "id", ["id"], 6 * HOUR, 12 * HOUR)
     return out.select("id", F.col("earlier.id").alias("earlier_id"), F.col("earlier").isNotNull().alias("found"))
+
+
+@query("u4_new_signals_only", oracle("""SELECT token_id, score_version, CAST(threshold AS BIGINT) AS threshold FROM sig EXCEPT SELECT token_id, score_version, CAST(threshold AS BIGINT) FROM sig WHERE signal_source = 'BACKFILL'""", "sig"))
+def new_signals_only(spark, sf_dir):
+    found = entries(spark, sf_dir)
+    return st.new_signals(found, found.filter(F.col("signal_source") == "BACKFILL")).select(*KEY)
+
+
+@query("j9_scored_star_join", oracle("SELECT s.id, x.score_version, x.role FROM snap s LEFT JOIN scores x ON x.id = s.id AND x.raw_score >= 50", "snap", "scores"))
+def scored_star_join(spark, sf_dir):
+    snaps = ad.snapshots(spark, sf_dir)
+    scores = ad.scores_from(snaps).filter(F.col("raw_score") >= 50).select("id", "score_version", "role")
+    return snaps.select("id").join(scores, "id", "left")
+
+
+@query("l8_latest_analysis", oracle(f"SELECT {STAT_COLS} FROM stats", "stats"))
+def latest_analysis(spark, sf_dir):
+    """Two stored runs, an earlier one at a lower watermark; the newest is read back."""
+    path = shared_dir(spark, "analyses")
+    evaluated = staged(outcomes(spark, sf_dir).withColumn("evaluation_watermark", F.col("selected_snapshot_id")), "evaluated")
+    top = _edge(spark, sf_dir)
+    plan.materialize(plan.statistics(evaluated, F.floor(top * 4 / 5), horizons=HZ), 1, path)
+    plan.materialize(plan.statistics(evaluated, top, horizons=HZ), 2, path)
+    stored = spark.read.parquet(path)
+    return rounded_stats(plan.latest_analysis(stored)).drop("analysis_run_id")

@@ -22,10 +22,9 @@ def tagged(value: Column, quality: Column, source: str | Column = "", at: Column
     """Build a tagged value; an unusable quality always carries a NULL value."""
     src = source if isinstance(source, Column) else F.lit(source)
     when = at if at is not None else F.lit(None).cast("timestamp")
-    clean = canonical_quality(quality)
     return F.struct(
-        F.when(clean != MISSING, value).alias("value"),
-        clean.alias("quality"),
+        F.when(quality.isin(*USABLE), value).alias("value"),
+        canonical_quality(quality).alias("quality"),
         src.alias("source"),
         when.alias("collected_at"),
     )
@@ -33,7 +32,12 @@ def tagged(value: Column, quality: Column, source: str | Column = "", at: Column
 
 def fresh_or_missing(value: Column, source: str | Column = "", at: Column | None = None) -> Column:
     """Tag a nullable measurement: present is fresh, absent is missing."""
-    return tagged(value, F.when(value.isNotNull(), FRESH).otherwise(MISSING), source, at)
+    src = source if isinstance(source, Column) else F.lit(source)
+    when = at if at is not None else F.lit(None).cast("timestamp")
+    return F.struct(
+        value.alias("value"), F.when(value.isNotNull(), FRESH).otherwise(MISSING).alias("quality"), src.alias("source"),
+        when.alias("collected_at"),
+    )
 
 
 def usable(quality: Column) -> Column:
@@ -48,7 +52,7 @@ def available(value: Column) -> Column:
 
 def canonical_quality(quality: Column) -> Column:
     """Map every unknown quality to ``missing``."""
-    return F.when(usable(quality), quality).otherwise(F.lit(MISSING))
+    return F.when(quality.isin(*USABLE), quality).otherwise(F.lit(MISSING))
 
 
 def value_if_available(value: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.session import staged
+
 _V, _C, _B1, _B2 = "__v", "__cnt", "__b1", "__b2"
 RESOLUTION = 128
 SUB_BINS = 4096
@@ -25,15 +27,24 @@ def _running(df: DataFrame, part: Sequence[str], order: str, base: str | None) -
 
 
 def grouped_median(
-    df: DataFrame, keys: Sequence[str], value: str, into: str = "median", weight: str | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    into: str = "median",
+    weight: str | None = None,
+    expand: Callable[[DataFrame], DataFrame] | None = None,
+    fixed: Sequence[str] = (),
 ) -> DataFrame:
     """Exact median per key, mean of the middle two on even counts; keys without values are absent.
 
     Equal values are counted first (``weight`` gives rows that already stand for several), then
     the middle ranks are narrowed twice by histogram, and only the values of the one or two bins
-    that hold them are sorted.
+    that hold them are sorted. ``expand`` repeats rows into further groups, as a cube does; it is
+    applied to the histogram, and to values only of bins that some group needs. ``fixed`` names
+    the keys it leaves alone.
     """
     keys = list(keys)
+    spread = expand or (lambda rows: rows)
     times = F.col(weight) if weight else F.lit(1)
     counted = (
         df.filter(F.col(value).isNotNull())
@@ -42,18 +53,29 @@ def grouped_median(
         .agg(F.sum("__w").alias(_C))
         .withColumn(_B1, signed_log_bin(F.col(_V)))
     )
-    coarse = counted.groupBy(*keys, _B1).agg(
-        F.sum(_C).alias("__n"), F.min(_V).alias("__lo"), F.max(_V).alias("__hi")
-    )
+    bins = counted.groupBy(*keys, _B1).agg(F.sum(_C).alias("__n"), F.min(_V).alias("__lo"), F.max(_V).alias("__hi"))
+    coarse = bins
+    if expand is not None:
+        coarse = spread(bins).groupBy(*keys, _B1).agg(
+            F.sum("__n").alias("__n"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi")
+        )
     coarse = _running(coarse, keys, _B1, None).withColumn("__total", F.sum("__n").over(Window.partitionBy(*keys)))
     coarse = coarse.withColumn("__r1", F.floor((F.col("__total") - 1) / 2)).withColumn(
         "__r2", F.floor(F.col("__total") / 2)
     )
     holds = (F.col("__below") <= F.col("__r2")) & (F.col("__below") + F.col("__n") > F.col("__r1"))
     target = coarse.filter(holds).select(*keys, _B1, "__lo", "__hi", "__r1", "__r2", F.col("__below").alias("__base1"))
-
+    # One or two rows per group. Stored, its true size is known, so the joins below pick their
+    # strategy by it and the values are filtered without a shuffle whenever it is small.
+    target = staged(target, "median-bins")
+
+    needed = counted
+    if expand is not None:
+        wanted = target.select(*fixed, _B1).distinct()
+        needed = spread(counted.join(wanted, [*fixed, _B1], "left_semi"))
+        needed = needed.groupBy(*keys, _V, _B1).agg(F.sum(_C).alias(_C))
     span = F.col("__hi") - F.col("__lo")
-    inner = counted.join(target, [*keys, _B1], "inner").withColumn(
+    inner = needed.join(target, [*keys, _B1], "inner").withColumn(
         _B2, F.when(span > 0, F.floor((F.col(_V) - F.col("__lo")) / span * F.lit(float(SUB_BINS)))).otherwise(F.lit(0))
     )
     fine = inner.groupBy(*keys, _B1, _B2).agg(

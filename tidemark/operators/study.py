@@ -242,7 +242,9 @@ def threshold_statistics(
         scoped.filter(matured).select(*CELL_KEY, F.inline(metrics)).groupBy(*CELL_KEY, "metric", "v")
         .agg(F.count(F.lit(1)).alias("w"))
     )
-    medians = grouped_median(_all_scopes(values), [*CELL_KEY, "metric"], "v", "m", weight="w")
+    medians = grouped_median(
+        values, [*CELL_KEY, "metric"], "v", "m", "w", _all_scopes, ["score_version", "threshold", "horizon", "metric"]
+    )
     medians = medians.groupBy(*CELL_KEY).agg(
         *[F.max(F.when(F.col("metric") == m, F.col("m"))).alias(f"median_{m}") for m in ("return", "mfe", "mae")]
     )

@@ -38,6 +38,7 @@ def oi_changes(
 def pool_context(bars: DataFrame, assets: DataFrame, benchmarks: dict[str, str]) -> DataFrame:
     """Benchmark return and pool median return per asset class: one row per class."""
     returns = br.recent_returns(bars, op.REVERSAL).join(assets.select("instrument_id", "asset_class"), "instrument_id")
+    returns = staged(returns, "pool-returns")
     median = grouped_median(returns, ["asset_class"], "recent_return", "pool_median_return")
     wanted = F.lit(False)
     for cls, instrument in benchmarks.items():
@@ -50,6 +51,7 @@ def scan(
     bars: DataFrame, assets: DataFrame, as_of: Column, benchmarks: dict[str, str], limit: int = br.READ_LIMIT
 ) -> DataFrame:
     """Score every asset of the pool. ``assets`` carries class, change, funding, OI changes and tick size."""
+    assets = staged(assets, "scan-assets")
     wide = op.frames_side_by_side(br.frame_readings(bars, limit))
     context = pool_context(bars, assets, benchmarks)
     joined = wide.join(assets, "instrument_id").join(context, "asset_class")

@@ -213,11 +213,7 @@ QUALITY_CYCLE = (q.FRESH, q.CACHED, q.DEGRADED, q.MISSING, q.FRESH)
 
 
 def _cycled(key: Column) -> Column:
-    out: Column | None = None
-    for i, level in enumerate(QUALITY_CYCLE):
-        test = key % len(QUALITY_CYCLE) == i
-        out = F.when(test, level) if out is None else out.when(test, level)
-    return out
+    return F.element_at(F.array(*[F.lit(level) for level in QUALITY_CYCLE]), (key % len(QUALITY_CYCLE)).cast("int") + 1)
 
 
 def score_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse(payloads: DataFrame, shape: str) -> DataFrame:
-    return payloads.withColumn("doc", F.from_json("payload", shape))
+    """Parse each document once.
+
+    The one-element generator keeps the optimizer from copying the parser into every filter and
+    field that refers to the document.
+    """
+    return payloads.select("*", F.inline(F.array(F.struct(F.from_json("payload", shape).alias("doc")))))
+
+
+def judge(docs: DataFrame, reason: Column) -> DataFrame:
+    """Attach the rejection reason, evaluated once per document."""
+    return docs.select("*", F.inline(F.array(F.struct(reason.alias("reason")))))
 
 
 def number(text: Column) -> Column:
@@ -155,7 +165,7 @@ def new_pools(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = F.when(F.col("doc").isNull() | F.col("doc.data").isNull(), "unreadable").when(bad_time, "bad_pool_created_at").when(
         bad_value, "bad_number"
     )
-    judged = docs.withColumn("reason", reason)
+    judged = judge(docs, reason)
     rows = _flat_pools(judged.filter(F.col("reason").isNull())).filter(F.col("pool_created_at") >= cutoff)
     kept = _first_pools(
         rows.select("run_id", "chain", "page", "pos", "collected_at", "token_id", "address", "name", "symbol", "pool_address",
@@ -220,7 +230,7 @@ def pool_trades(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(some(lambda a: number(a["volume_in_usd"]).isNull()), "bad_volume")
         .when(some(lambda a: instant(a["block_timestamp"]).isNull()), "bad_time")
     )
-    judged = docs.withColumn("reason", reason)
+    judged = judge(docs, reason)
     good = judged.filter(F.col("reason").isNull()).withColumn("truncated", F.size("doc.data") >= TRADE_LIMIT)
     flat = good.select("*", F.posexplode("taken").alias("pos", "t"))
     trades = flat.select(
@@ -365,7 +375,7 @@ def candle_rows(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(width.isNull(), "unknown_timeframe").when(F.exists("doc.data", bad), "bad_row")
         .when(F.size(F.array_distinct(times)) < F.size(times), "repeated_time")
     )
-    judged = docs.withColumn("reason", reason).withColumn("width", width)
+    judged = judge(docs, reason).withColumn("width", width)
     flat = judged.filter(F.col("reason").isNull()).select("instrument_id", "timeframe", "width", F.explode("doc.data").alias("r"))
     r = F.col("r")
     open_time = F.timestamp_millis(r[0].try_cast("bigint"))
