@@ -69,7 +69,7 @@ FRAMES = """frames AS (SELECT * FROM (VALUES ('15m', 86400000000), ('1H', 172800
   ('1D', 2419200000000)) f(timeframe, dur))"""
 
 BARS = """bars AS (SELECT instrument_id, timeframe, t - t % dur AS open_t, t - t % dur + dur AS close_t,
-  arg_min(price, (t, seq1, seq2)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (t, seq1, seq2)) AS close,
+  arg_min(price, (t, seq1, seq2, price)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (t, seq1, seq2, price)) AS close,
   sum(base_volume) AS volume_base, sum(CAST(round(quote_volume * 100) AS BIGINT)) / 100.0 AS volume_quote,
   t - t % dur + dur <= (SELECT as_of FROM clock) AS confirmed
   FROM ticks CROSS JOIN frames GROUP BY ALL)"""

@@ -233,13 +233,14 @@ def deep_eligible(spark, sf_dir):
     return with_preliminary(spark, sf_dir).groupBy(F.col("prelim.deep_eligible").alias("deep_eligible")).agg(F.count(F.lit(1)).alias("candidates"))
 
 
-@query("o2_candidate_order", oracle("SELECT snapshot_id, row_number() OVER (PARTITION BY token_id ORDER BY total DESC, dep, snapshot_id) AS position FROM prs WHERE reason IS NULL", "prs"))
+@query("o2_candidate_order", oracle("SELECT CAST(snapshot_id AS VARCHAR) AS token_id, round(total, 6) AS score, dep AS deprioritized FROM prs WHERE reason IS NULL ORDER BY total DESC, dep, 1", "prs"))
 def candidate_order(spark, sf_dir):
+    """Accepted candidates in publishing order: one range-partitioned sort, no single-task ranking."""
     df = with_preliminary(spark, sf_dir).filter(F.col("decision.accepted")).select(
-        "token_id", "snapshot_id", F.col("prelim.total").alias("score"), F.col("decision.deprioritized").alias("deprioritized")
+        F.col("snapshot_id").cast("string").alias("token_id"), F.round("prelim.total", 6).alias("score"),
+        F.col("decision.deprioritized").alias("deprioritized"),
     )
-    order = Window.partitionBy("token_id").orderBy(F.col("score").desc_nulls_last(), F.col("deprioritized"), F.col("snapshot_id"))
-    return df.select("snapshot_id", F.row_number().over(order).cast("bigint").alias("position"))
+    return df.orderBy(*ca.candidate_order())
 
 
 @query("p15_evidence_presence", oracle("""SELECT snapshot_id, CAST(price_usd IS NOT NULL AS INTEGER) + CAST(market_cap_usd IS NOT NULL AS INTEGER) + CAST(liquidity_usd IS NOT NULL AS INTEGER) + CAST(volume_m5_usd IS NOT NULL AS INTEGER) AS evidence_count,

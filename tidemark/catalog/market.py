@@ -17,7 +17,7 @@ BENCH = {"crypto": "I0-USDT-SWAP", "stock": "I14-USDT-SWAP"}
 
 def bars(spark, sf_dir):
     ticks = ad.ticks(spark, sf_dir)
-    return staged(br.resample(ticks, ad.as_of(ticks).select("as_of").scalar(), ad.TEST_FRAMES, ["seq1", "seq2"]), "bars")
+    return staged(br.resample(ticks, ad.as_of(ticks).select("as_of").scalar(), ad.TEST_FRAMES, ["seq1", "seq2", "price"]), "bars")
 
 
 def indicator_sql(rows):

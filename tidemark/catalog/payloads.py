@@ -233,11 +233,11 @@ def candle_quarantine(spark, sf_dir):
     return pl.candle_rows(candle_documents(spark, sf_dir))[1].select("instrument_id", "reason")
 
 
-@query("t10_latest_candles", oracle("SELECT l_partkey AS instrument_id, epoch_us(l_shipdate) AS open_us, arg_max(l_extendedprice, (l_orderkey, l_linenumber)) AS close FROM lineitem GROUP BY 1, 2"))
+@query("t10_latest_candles", oracle("SELECT l_partkey AS instrument_id, epoch_us(l_shipdate) AS open_us, arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS close FROM lineitem GROUP BY 1, 2"))
 def latest_candles(spark, sf_dir):
     li = ad.table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("instrument_id"), F.lit("1D").alias("timeframe"), F.col("l_shipdate").cast("timestamp").alias("open_time"),
-        F.col("l_extendedprice").alias("close"), F.struct("l_orderkey", "l_linenumber").alias("ingested"),
+        F.col("l_extendedprice").alias("close"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("ingested"),
     )
     return pl.latest_candles(li, "ingested").select("instrument_id", micros("open_time").alias("open_us"), "close")
 

@@ -100,21 +100,25 @@ def grouped_median(
 
 
 def pool_percentile(df: DataFrame, keys: Sequence[str], value: str, into: str) -> DataFrame:
-    """100 * (strictly lower values in the pool) / (n - 1); 100 for a pool of one.
+    """Rows with their percentile inside the pool."""
+    return df.join(percentile_table(df, keys, value, into), [*keys, value], "inner")
 
-    Ranks inside a histogram bin come from a window over (pool, bin); lower bins add a count.
+
+def percentile_table(df: DataFrame, keys: Sequence[str], value: str, into: str) -> DataFrame:
+    """Per pool and distinct value: 100 * (strictly lower values) / (n - 1); 100 for a pool of one.
+
+    Equal values are counted once, so one frequent value costs one row. Counts inside a histogram
+    bin come from a window over (pool, bin); lower bins add their total.
     """
     keys = list(keys)
-    binned = df.withColumn(_B1, signed_log_bin(F.col(value)))
-    bins = binned.groupBy(*keys, _B1).agg(F.count(F.lit(1)).alias("__n"))
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(_C)).withColumn(_B1, signed_log_bin(F.col(value)))
+    bins = counted.groupBy(*keys, _B1).agg(F.sum(_C).alias("__n"))
     bins = _running(bins, keys, _B1, None).withColumn("__total", F.sum("__n").over(Window.partitionBy(*keys)))
-    inside = Window.partitionBy(*keys, _B1).orderBy(value)
-    ranked = binned.withColumn("__rank", F.rank().over(inside)).join(
-        bins.select(*keys, _B1, "__below", "__total"), [*keys, _B1], "inner"
-    )
-    lower = F.col("__below") + F.col("__rank") - 1
+    inside = Window.partitionBy(*keys, _B1).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    lower = F.col("__below") + F.coalesce(F.sum(_C).over(inside), F.lit(0))
     pct = F.when(F.col("__total") <= 1, F.lit(100.0)).otherwise(lower / (F.col("__total") - 1) * F.lit(100.0))
-    return ranked.withColumn(into, pct).drop(_B1, "__rank", "__below", "__total")
+    ranked = counted.join(bins.select(*keys, _B1, "__below", "__total"), [*keys, _B1], "inner")
+    return ranked.select(*keys, value, pct.alias(into))
 
 
 def top_n_per_group(

@@ -6,10 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.timecol import DAY, HOUR, MINUTE, micros
+from tidemark.functions.timecol import DAY, HOUR, MINUTE, bucket_of, micros
 from tidemark.operators.joins import previous_row
-from tidemark.operators.order_stats import pool_percentile, top_n_per_group
-from tidemark.functions.timecol import bucket_of
+from tidemark.operators.order_stats import percentile_table, top_n_per_group
+from tidemark.session import staged
 
 # Gates, weights and watchlists.
 QUOTE_SUFFIX = "-USDT-SWAP"
@@ -54,9 +54,10 @@ def gate(
 
 def liquidity_scores(gated: DataFrame, pool: Sequence[str] = ("asset_class",)) -> DataFrame:
     """Weighted percentiles of turnover, open interest and age inside the pool, plus funding integrity."""
+    gated = staged(gated, "gated-instruments")
     out = gated
     for column, name in (("turnover_24h_usd", "p_turnover"), ("open_interest_usd", "p_open_interest"), ("age_hours", "p_age")):
-        out = pool_percentile(out, list(pool), column, name)
+        out = out.join(percentile_table(gated, list(pool), column, name), [*pool, column])
     integrity = F.when(F.col("funding_rate").isNotNull(), 100.0).otherwise(0.0)
     score = (
         F.col("p_turnover") * WEIGHTS["turnover"] + F.col("p_open_interest") * WEIGHTS["open_interest"]
