@@ -10,6 +10,7 @@ from tidemark.functions import quality as q
 from tidemark.functions.identity import canonical_address
 from tidemark.functions.timecol import HOUR, MINUTE, SECOND, micros, plus, whole_seconds
 from tidemark.operators.joins import interval_join
+from tidemark.session import staged
 
 # Generation states, limits and display ranks.
 OPEN_STATES = ("pending", "queued", "deferred")
@@ -100,8 +101,10 @@ PREVIOUS_FIELDS = (
 def token_views(current: DataFrame, snapshots: DataFrame, lookback: int = 5 * MINUTE, bucket: int = HOUR) -> DataFrame:
     """Current rows with the earliest snapshot of the look-back before them and derived changes.
 
-    Only the current row of each token looks back, through a bucketed range join.
+    Only the current row of each token looks back, through a bucketed range join. Those rows feed
+    both sides of the join and are staged once.
     """
+    current = staged(current, "current-rows")
     names = [F.col(f).alias(f"p_{f}") for f in PREVIOUS_FIELDS if f != "collected_at"]
     before = snapshots.select("token_id", F.col("id").alias("p_id"), F.col("collected_at").alias("p_collected_at"), *names)
     spans = current.select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.timecol import DAY, MINUTE, bucket_of, micros
 from tidemark.operators.joins import asof_backward
+from tidemark.session import staged
 
 MISSES_TO_END = 3
 RUN_BUCKET = 5 * MINUTE
@@ -35,7 +36,7 @@ def episodes(runs: DataFrame, members: DataFrame, window_start: Column, window_e
     Counts cover the reporting window only, while an episode keeps its true start. The scan of
     the third miss still counts as experienced and its time is the end of the episode.
     """
-    scans = effective_runs(runs, window_end, bucket)
+    scans = staged(effective_runs(runs, window_end, bucket), "effective-runs")
     edges = scans.groupBy("asset_class").agg(
         F.max("seq").alias("__last_seq"), F.min(F.when(F.col("finished_at") >= window_start, F.col("seq"))).alias("__first_in")
     )

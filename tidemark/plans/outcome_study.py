@@ -19,11 +19,15 @@ def outcomes(
     horizons: Sequence[st.Horizon] = st.HORIZONS,
     bucket: int = HOUR,
 ) -> DataFrame:
-    """Signals, entries and evaluated horizon outcomes up to the newest snapshot."""
+    """Signals, entries and evaluated horizon outcomes up to the newest snapshot.
+
+    Entries are at most one per token, version and threshold. They are staged so that the scores,
+    the largest input, are read once although entries feed both sides of the evaluation.
+    """
     edge = st.frontier(snapshots)
     high = edge.select("high_watermark").scalar()
     seen = edge.select("observed_at").scalar()
-    entries = st.paper_entries(st.first_crossings(scores, activation_id, thresholds))
+    entries = staged(st.paper_entries(st.first_crossings(scores, activation_id, thresholds)), "paper-entries")
     observed = st.observe_horizons(entries, st.price_observations(snapshots, high), horizons, bucket)
     return st.evaluate_outcomes(st.expand_horizons(entries, horizons), observed, high, seen)
 
