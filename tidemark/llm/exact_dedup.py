@@ -1,7 +1,7 @@
 """Exact duplicates by content sort.
 
-Rows are range-partitioned on their normalised text by Spark's sampled splitters and sorted
-externally inside each partition, so equal texts are neighbours. The identifier is part of the sort
+Rows are range-partitioned on their normalised text (its first characters, then its hash) by Spark's
+sampled splitters and sorted externally inside each partition, so equal texts are neighbours. The identifier is part of the sort
 key: a text with very many copies spans as many partitions as its rows need. Neighbours are
 compared in full while the sorted rows stream by; only the first and last run of a partition can go
 on in another one, and those few runs are joined up afterwards.
@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import ascii_lower
 from tidemark.session import staged
 
+LEAD = 32  # characters of a splitter
+
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers the runs of equal neighbours of one sorted partition."""
@@ -58,8 +60,11 @@ def sorted_runs(df: DataFrame, text: str = "text", ident: str = "doc_id", keep:
         F.monotonically_increasing_id().alias("seq"),
     )
     rank = F.asc_nulls_last("id") if keep == "smallest" else F.desc_nulls_last("id")
-    order = [F.asc("norm"), rank, F.asc("seq")]
-    ordered = base.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Splitters are sampled to the driver, so they hold a short prefix and a hash in place of a whole text.
+    base = base.withColumn("lead", F.substring("norm", 1, LEAD)).withColumn("mark", F.xxhash64("norm"))
+    ordered = base.repartitionByRange(F.asc("lead"), F.asc("mark"), rank, F.asc("seq")).sortWithinPartitions(
+        F.asc("lead"), F.asc("mark"), F.asc("norm"), rank, F.asc("seq")
+    )
     schema = T.StructType([
         base.schema["row"], base.schema["id"], T.StructField("text_sha256", T.StringType()), T.StructField("part", T.IntegerType()),
         T.StructField("run", T.LongType()), T.StructField("first", T.BooleanType()),
