@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, sharding, topk_search, url_filter
+from tidemark.llm import exact_dedup, language_id, mixing, pieces, sharding, suffix_tree, topk_search, url_filter
 from tidemark.llm.common import LOWER, UPPER, table
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pieces.encode(docs, pieces.PieceModel.load(), verify=True)
+    return done.select("row.doc_id", "piece_ids", F.size("piece_ids").alias("n_pieces"), "round_trip")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_report(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -18,6 +29,15 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
   sha256(norm) AS text_sha256 FROM d WINDOW w AS (PARTITION BY norm)"""
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs)
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -57,7 +77,11 @@ SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h
 
 
 QUERIES = {
+    "op3_language_id": (op3_language_id, None),
+    "op4_sentencepiece": (op4_sentencepiece, None),
     "op5_exact_dedup": (op5_exact_dedup, OP5),
+    "op6_source_mixing": (op6_source_mixing, None),
+    "op7_lm_scoring": (op7_lm_scoring, None),
     "op8_topk_search": (op8_topk_search, OP8),
     "op9_kd_sharding": (op9_kd_sharding, None),
     "op10_url_filter": (op10_url_filter, OP10),
