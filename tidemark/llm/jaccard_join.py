@@ -228,6 +228,22 @@ def similar_groups(
     return named.join(least, "comp").select(F.col("id").alias(ident), F.col("n").alias("n_shingles"), "component_id")
 
 
+def keep_one_per_group(
+    df: DataFrame, percent: int = 80, width: int = 5, ident: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """The row with the least identifier of every group (of equal ones the first row), with all its columns.
+
+    Only rows that lose are looked up again, by a number that the written input carries.
+    """
+    own = staged(df.select(F.struct("*").alias("all"), F.monotonically_increasing_id().alias("at")), "jaccard-input")
+    docs = own.select(F.struct(F.col(f"all.{ident}").alias("id"), "at").alias("id"), F.col(f"all.{text}").alias("text"))
+    named = group_rows(set_table(docs, width, common_elements(docs, width)), percent)
+    rank = F.struct(F.col("id.id").isNull(), F.col("id.id"), F.col("id.at"))
+    best = named.groupBy("comp").agg(F.min(rank).alias("best"), F.count("*").alias("k")).filter("k > 1")
+    lost = named.join(best, "comp").filter(F.col("id.at") != F.col("best.at")).select(F.col("id.at").alias("at"))
+    return own.join(lost, "at", "left_anti").select("all.*")
+
+
 def group_rows(sets: DataFrame, percent: int) -> DataFrame:
     """Rows (row, id, n, comp) of a set table; comp is the least row reachable over links."""
     postings = leading_elements(sets, percent)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, jaccard_join, language_id, mixing, pieces, sharding, suffix_tree, topk_search, url_filter
+from tidemark.llm import cotraining, exact_dedup, jaccard_join, language_id, mixing, pieces, sharding, suffix_tree, topk_search, url_filter
 from tidemark.llm.common import LOWER, UPPER, table
 
 
+def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h
 
 
 QUERIES = {
+    "op1_quality_cotraining": (op1_quality_cotraining, None),
     "op2_jaccard_join": (op2_jaccard_join, None),
     "op3_language_id": (op3_language_id, None),
     "op4_sentencepiece": (op4_sentencepiece, None),
