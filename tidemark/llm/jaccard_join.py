@@ -41,9 +41,11 @@ from tidemark.session import staged
 GROUPS = 64
 PACKINGS = 3
 PAGE = 128
+SMALL = 32
 LEAST_COMMON, MOST_COMMON = 64, 1_000_000  # occurrences that make an element common; bound of the table of common ones
 _SLICE = 1000
 _LOW = (1 << 48) - 1
+_FULL = 65535  # a coordinate this large stands for any greater one
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -113,7 +115,7 @@ def set_table(docs: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]
                         level = np.where(keys[place] == low, levels[place], 0)
                         if level.any():
                             low = low[np.argsort(level, kind="stable")]
-                    points.append(np.bincount((low % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
+                    points.append(np.minimum(np.bincount((low % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), _FULL).astype(np.uint16).tobytes())
                     sets.append(low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(points, pa.binary()), pa.array(sets, pa.binary())], names=["id", "n", "point", "tokens"])
@@ -129,18 +131,20 @@ def _numbers(packed: bytes) -> np.ndarray:
 
 
 def leading_elements(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (token, row): of every set the elements of which a similar set must share one."""
+    """Rows (token, row, n): of every set the elements of which a similar set must share one."""
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("n").to_numpy()
             take = np.where(sizes > 0, sizes - (sizes * percent + 99) // 100 + 1, 0)
-            tokens = [_numbers(t.as_buffer()[: 6 * k]) for t, k in zip(batch.column("tokens"), take.tolist(), strict=True)]
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            rows = np.repeat(batch.column("row").to_numpy(), [len(t) for t in tokens])
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(rows)], names=["token", "row"])
+            own = [_numbers(t.as_buffer()[: 6 * k]) for t, k in zip(batch.column("tokens"), take.tolist(), strict=True)]
+            flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            each = [len(t) for t in own]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(flat.view(np.int64)), pa.array(np.repeat(batch.column("row").to_numpy(), each)), pa.array(np.repeat(sizes, each)),
+            ], names=["token", "row", "n"])
 
-    return sets.select("row", "n", "tokens").mapInArrow(lead, "token long, row long")
+    return sets.select("row", "n", "tokens").mapInArrow(lead, "token long, row long, n long")
 
 
 def _asked(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -153,9 +157,10 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, GROUPS) for c in ("pa", "pb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("pa", "pb"))
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            good = np.minimum(x, y).sum(axis=1) >= _asked(na, nb, percent)
+            least = np.minimum(x, y)
+            good = (least.sum(axis=1, dtype=np.int64) >= _asked(na, nb, percent)) | (least == _FULL).any(axis=1)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     kind = dict(pairs.dtypes)["b"]
@@ -179,42 +184,66 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(check, "u long, v long")
 
 
+def _sized(least: str, most: str, other: str, percent: int) -> str:
+    """Condition that sizes from least to most hold one that can be similar to a set of size other."""
+    return f"{most} * 100 >= {other} * {percent} AND {other} * 100 >= {least} * {percent}"
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among pairs of rows (a, b): size, then summed minima, then the sets."""
-    side = lambda x: sets.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-    return staged(_verified(staged(_bounded(sized, percent), "jaccard-pairs"), sets, percent), "jaccard-links")
+    """Links among pairs (a, na, b, nb) of similar sizes: summed minima, then the sets."""
+    side = lambda x: sets.select(F.col("row").alias(x), F.col("point").alias(f"p{x}"))
+    near = _bounded(pairs.join(side("a"), "a").join(side("b"), "b"), percent)
+    return staged(_verified(staged(near, "jaccard-pairs"), sets, percent), "jaccard-links")
 
 
 def _open(blocks: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows (token, row, comp) of elements that still lead to more than one node."""
+    """Rows (token, row, n, comp) of elements that still lead to more than one node."""
     named = blocks.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     apart = named.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("token")
     return named.join(apart, "token")
 
 
+def _led(blocks: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the rows of every block with its leading row, where sizes allow a link."""
+    pairs = blocks.join(leads, "token").filter("row <> lead.row").filter(_sized("n", "n", "lead.n", percent))
+    flip = F.col("row") < F.col("lead.row")
+    return pairs.select(
+        F.least("row", "lead.row").alias("a"), F.when(flip, F.col("n")).otherwise(F.col("lead.n")).alias("na"),
+        F.greatest("row", "lead.row").alias("b"), F.when(flip, F.col("lead.n")).otherwise(F.col("n")).alias("nb"),
+    ).distinct()
+
+
 def _descend(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between rows of different nodes, found from the nodes' bounds down."""
-    comps = opened.select("row", "comp").distinct()
-    points = sets.select("row", "n", "point").join(comps, "row")
+    rows = opened.select("row", "n", "comp").distinct()
     place = F.row_number().over(Window.partitionBy("comp", "salt").orderBy("n", "row"))
     # Pages hold neighbours in size; a salt of the row spreads large nodes over tasks.
-    pages = staged(points.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(64))).withColumn("page", F.xxhash64("comp", "salt", F.floor((place - 1) / PAGE))), "rtree-points")
+    paged = staged(rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(64))).withColumn("page", F.xxhash64("comp", "salt", F.floor((place - 1) / PAGE))), "rtree-pages")
+    spans = paged.groupBy("page").agg(F.first("comp").alias("other"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("k"))
+    # Which pages of other nodes a row meets in any of its elements, sizes allowing.
+    places = opened.join(paged.select("row", "page"), "row")
+    by_page = places.select("token", "page").distinct().join(spans, "page")
+    met = staged(places.select("token", F.col("row").alias("a"), F.col("n").alias("na"), "comp").join(by_page, "token").filter("comp <> other").filter(
+        _sized("least", "most", "na", percent)).select("a", "na", F.col("page").alias("b"), F.col("least").alias("nb"), "k").distinct(), "rtree-met")
+    points = sets.select(F.col("row").alias("a"), F.col("point").alias("pa"))
+    # A page of one point is met through the point itself.
+    single = paged.join(spans.filter("k = 1").select("page"), "page").select(F.col("row").alias("to"), F.col("n").alias("nb"), F.col("page").alias("b"))
+    alone = met.filter("k = 1").select("a", "na", "b").join(single, "b").select("a", "na", F.col("to").alias("b"), "nb")
 
     def box(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        top = np.frombuffer(b"".join(pdf["point"]), np.uint32).reshape(-1, GROUPS).max(axis=0)
-        return pd.DataFrame({"page": [key[0]], "comp": [pdf["comp"].iloc[0]], "n": [pdf["n"].min()], "point": [top.tobytes()]})
+        top = np.frombuffer(b"".join(pdf["pa"]), np.uint16).reshape(-1, GROUPS).max(axis=0)
+        return pd.DataFrame({"b": [key[0]], "pb": [top.tobytes()]})
 
-    boxes = staged(pages.groupBy("page").applyInPandas(box, "page long, comp long, n long, point binary"), "rtree-pages")
-    places = opened.join(pages.select("row", "page"), "row")
-    # Which pages of other nodes a row meets in any of its elements.
-    by_page = places.select("token", F.col("page").alias("b"), F.col("comp").alias("other")).distinct()
-    met = places.select("token", F.col("row").alias("a"), "comp").join(by_page, "token").filter("comp <> other").select("a", "b").distinct()
-    asked = met.join(pages.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa")), "a").join(
-        boxes.select(F.col("page").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), "b")
-    down = staged(_bounded(asked, percent), "rtree-descent")
-    pairs = down.join(pages.select(F.col("page").alias("b"), F.col("row").alias("to")), "b").select(F.least("a", "to").alias("a"), F.greatest("a", "to").alias("b")).distinct()
-    return _links(pairs, sets, percent)
+    full = paged.join(spans.filter("k > 1").select("page"), "page")
+    boxes = full.join(points.withColumnRenamed("a", "row"), "row").select(F.col("page").alias("b"), "pa").groupBy("b").applyInPandas(box, "b long, pb binary")
+    down = _bounded(met.filter("k > 1").join(points, "a").join(boxes, "b"), percent)
+    inside = full.select(F.col("page").alias("b"), F.col("row").alias("to"), F.col("n").alias("nb"))
+    opened_pages = down.join(met.select("a", "na").distinct(), "a").join(inside, "b").filter(_sized("nb", "nb", "na", percent)).select("a", "na", F.col("to").alias("b"), "nb")
+    pairs = alone.unionByName(opened_pages)
+    flip = F.col("a") < F.col("b")
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.when(flip, F.col("na")).otherwise(F.col("nb")).alias("na"),
+                           F.greatest("a", "b").alias("b"), F.when(flip, F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    return _links(ordered.distinct(), sets, percent)
 
 
 def similar_groups(
@@ -249,18 +278,21 @@ def group_rows(sets: DataFrame, percent: int) -> DataFrame:
     postings = leading_elements(sets, percent)
     shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.min("row").alias("lead")).filter("k > 1").select("token", "lead")
     blocks = staged(postings.join(shared, "token"), "rtree-blocks")
-    pairs = blocks.filter("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b")).distinct()
-    links = _links(pairs, sets, percent)
+    first = blocks.filter("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b"), F.col("n").alias("nb")).distinct()
+    first = first.join(sets.select(F.col("row").alias("a"), F.col("n").alias("na")), "a").filter(_sized("na", "na", "nb", percent))
+    links = _links(first, sets, percent)
     comps = staged(components(links), "jaccard-comps")
-    opened = staged(_open(blocks.select("token", "row"), comps), "rtree-open")
+    opened = staged(_open(blocks.drop("lead"), comps), "rtree-open")
     for turn in range(1, PACKINGS):
-        if opened.isEmpty():
+        # Only elements of many rows are led again; small blocks cost no more in the descent.
+        leads = opened.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("row", F.lit(turn)), "row", "n", "comp")).alias("lead")).filter(
+            F.col("k") > SMALL).select("token", "lead")
+        if leads.isEmpty():
             break
-        leads = opened.groupBy("token").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row", "comp")).alias("lead"))
-        pairs = opened.join(leads, "token").filter("comp <> lead.comp").select(F.least("row", "lead.row").alias("a"), F.greatest("row", "lead.row").alias("b")).distinct()
-        links = staged(links.unionByName(_links(pairs, sets, percent)), "jaccard-links")
+        more = _links(_led(opened.join(leads.select("token", F.col("lead.comp").alias("c")), "token").filter("comp <> c").drop("c"), leads, percent), sets, percent)
+        links = staged(links.unionByName(more), "jaccard-links")
         comps = staged(components(links), "jaccard-comps")
-        opened = staged(_open(opened.select("token", "row"), comps), "rtree-open")
+        opened = staged(_open(opened.drop("comp"), comps), "rtree-open")
     if not opened.isEmpty():
         comps = staged(components(links.unionByName(_descend(opened, sets, percent))), "jaccard-comps")
     slim = sets.select("row", "id", "n")
