@@ -62,7 +62,7 @@ def multipliers(hist: DataFrame, targets: DataFrame, limit: float, most: int = 2
     counts = hist.groupBy(*KEY).agg(F.sum("n").alias("docs"))
     free = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * limit * (1 - 1e-12))
     state = staged(targets.join(counts, KEY).select(
-        *KEY, "target", "source_size", (F.col("source_size") / F.col("docs")).alias("mean"),
+        *KEY, "target", "source_size", (F.greatest("source_size", F.lit(1)) / F.col("docs")).alias("mean"),
         F.when(F.col("target") > 0, F.when(free, F.lit(0.0))).otherwise(F.lit(-1e6)).alias("lam"),
         F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), (~free).alias("done"),
     ), "mix-state")
