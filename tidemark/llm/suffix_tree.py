@@ -265,10 +265,10 @@ def score(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame
     ends = docs.filter("NOT held").count()
     sums = counted.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     n, v = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    frequent = counted.filter("c > 0").orderBy(F.desc("c"), "hash").limit(CLASSES).select("hash").toPandas()["hash"].sort_values().to_numpy(np.int64)
+    frequent = counted.filter("c > 0").orderBy(F.desc("c"), "hash").limit(CLASSES).select("hash").toArrow().to_pandas()["hash"].sort_values().to_numpy(np.int64)
 
     def tree(ngrams: DataFrame, depth: int, bits: int) -> SuffixTree:
-        held = retained(staged(ngrams, "pst-ngrams"), depth, bits).toPandas()  # at most MOST rows
+        held = retained(staged(ngrams, "pst-ngrams"), depth, bits).toArrow().to_pandas()  # at most MOST rows
         return SuffixTree.fit(held, depth, bits)
 
     spelling = send(tree(count_ngrams(counted), SPELL_DEPTH, SPELL_BITS))
@@ -276,7 +276,7 @@ def score(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame
     # Words and occurrences of each class of rarer words; a class is two bytes.
     last_two = F.when(F.length("word") > 1, F.substring("word", -2, 2)).otherwise(F.concat(F.lit(bytes([START])), F.col("word")))
     rare = counted.filter("c > 0").filter(~F.col("hash").isin([int(x) for x in frequent]))
-    kinds = rare.groupBy(last_two.alias("class")).agg(F.sum("c").alias("all"), F.count("*").alias("kinds")).toPandas()
+    kinds = rare.groupBy(last_two.alias("class")).agg(F.sum("c").alias("all"), F.count("*").alias("kinds")).toArrow().to_pandas()
     class_all, class_kinds = np.zeros(1 << 16), np.zeros(1 << 16)
     at = [int.from_bytes(x, "big") for x in kinds["class"]]
     class_all[at], class_kinds[at] = kinds["all"], kinds["kinds"]
@@ -297,7 +297,7 @@ def score(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame
             ], names=["hash", "total", "known", "base", "score"])
 
     graded = staged(counted.select("hash", "word", "c", "total").mapInArrow(grade, "hash long, total long, known boolean, base double, score double"), "pst-graded")
-    top = graded.orderBy(F.desc("total"), "hash").limit(HEAD).toPandas().sort_values("hash")
+    top = graded.orderBy(F.desc("total"), "hash").limit(HEAD).toArrow().to_pandas().sort_values("hash")
     head = send(tuple(top[x].to_numpy() for x in ("hash", "known", "base", "score")))
     end_known, end_base = int(ends > 0), float(np.log10(ends + 1) - floor)
 
