@@ -172,7 +172,7 @@ def _sampled(rows: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray
                 text, meta = (x.astype(np.float32) for x in _features(batch))
                 yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), pa.array([r.tobytes() for r in text]), pa.array([r.tobytes() for r in meta])], names=["h", "label", "text", "meta"])
 
-    got = rows.mapInArrow(run, "h long, label double, text binary, meta binary").toPandas().sort_values(["h", "text"])
+    got = rows.mapInArrow(run, "h long, label double, text binary, meta binary").toArrow().to_pandas().sort_values(["h", "text"])
     stack = lambda c: np.stack([np.frombuffer(x, np.float32) for x in got[c]]).astype(float) if len(got) else np.zeros((0, 1))
     return (stack("text"), stack("meta")), got["label"].to_numpy(float)
 

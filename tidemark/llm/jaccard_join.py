@@ -89,7 +89,7 @@ def common_elements(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
         (F.col("n") >= LEAST_COMMON) | (F.col("all") > 0)), "common")
     total = seen.agg(F.sum("all").alias("t")).first()["t"] or 0
     least = max(LEAST_COMMON, -(-total // MOST_COMMON))  # at most total / least elements can occur so often
-    rows = seen.filter((F.col("n") >= least) & (F.col("token") >= 0)).select("token", F.log2("n").cast("int").alias("level")).toPandas().sort_values("token")
+    rows = seen.filter((F.col("n") >= least) & (F.col("token") >= 0)).select("token", F.log2("n").cast("int").alias("level")).toArrow().to_pandas().sort_values("token")
     return rows["token"].to_numpy(np.uint64), rows["level"].to_numpy(np.uint8)
 
 
