@@ -30,3 +30,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_sample(df: DataFrame, ident: str, size: int) -> DataFrame:
+    """The rows with the smallest identifier hashes, ``size`` at most, with the hash as ``h``.
+
+    A threshold at twice the wanted share goes first, so no task hands on more rows than that share of its own.
+    """
+    h = F.xxhash64(F.col(ident))
+    part = 2.0 * size / max(1, df.count())
+    hashed = df.withColumn("h", h)
+    near = hashed if part >= 1 else hashed.filter(F.pmod("h", F.lit(1 << 31)) < int(part * (1 << 31)))
+    return near.orderBy(F.pmod("h", F.lit(1 << 31)), "h", ident).limit(size)
+
+
+def most_frequent(df: DataFrame, count: str, size: int) -> DataFrame:
+    """The rows of the largest counts, as many whole size classes (sixteen to a doubling) as hold at most ``size`` rows."""
+    level = F.floor(F.log2(F.col(count)) * 16)
+    total, least = 0, None
+    # As many rows as there are size classes: about a thousand at most.
+    for r in df.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        total += r["n"]
+        if total > size:
+            break
+        least = r["level"]
+    return df.filter(level >= least) if least is not None else df.limit(0)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bytewords import _FOLD, raw
+from tidemark.llm.common import hash_sample
 
 SAMPLE = 6000
 WINDOW = 512
@@ -147,11 +148,11 @@ def _in_fold(ident: str, folds: int, fold: int):
 
 def train(docs: DataFrame, ident: str, text: str, lang: str, folds: int = 5, fold: int = 0) -> ByteConvNet | None:
     """A network learned from labelled rows outside the held-out fold; None if there are none."""
-    usable = F.col(lang).isNotNull() & ~_in_fold(ident, folds, fold) & F.col(text).rlike(r"\p{L}")
+    usable = F.col(lang).isNotNull() & ~_in_fold(ident, folds, fold)
     place = F.pmod(F.xxhash64(F.col(ident), F.lit(1)), F.greatest(F.lit(1), F.length(text) - WINDOW + 1)) + 1
-    sample = docs.filter(usable).select(
-        F.xxhash64(F.col(ident)).alias("h"), F.col(lang).alias("lang"), F.substring(F.col(text), place.cast("int"), F.lit(WINDOW)).alias("t"),
-    ).orderBy("h", "lang", "t").limit(SAMPLE).collect()
+    chosen = hash_sample(docs.filter(usable).select(F.col(ident).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), place.cast("int").alias("place")), "id", SAMPLE)
+    sample = chosen.filter(F.col("text").rlike(r"\p{L}")).select("h", "lang", F.substring("text", F.col("place"), F.lit(WINDOW)).alias("t")).collect()
+    sample.sort(key=lambda r: (r["h"], r["lang"], r["t"]))
     if not sample:
         return None
     classes = sorted({r["lang"] for r in sample})
