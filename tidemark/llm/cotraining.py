@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytewords import _FOLD, raw, words
+from tidemark.llm.common import hash_sample
 
 LABELLED, POOL = 6000, 6000
 ROUNDS = 5
@@ -181,10 +182,9 @@ def train(coded: DataFrame, labels: DataFrame, ident: str, label: str) -> CoTrai
     """The trained pair of views, or the share of good labels where they are of one kind only."""
     known = labels.filter(F.col(ident).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(ident).alias("id")).agg(
         (F.avg(F.col(label).cast("double")) >= 0.5).cast("double").alias("label"))
-    pick = lambda df, n: df.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(n)
     ids = coded.select("id").filter("id IS NOT NULL").distinct()
-    some = pick(known.join(ids, "id"), LABELLED)
-    others = pick(ids.join(known, "id", "left_anti"), POOL).withColumn("label", F.lit(0.5))
+    some = hash_sample(known.join(ids, "id"), "id", LABELLED)
+    others = hash_sample(ids.join(known, "id", "left_anti"), "id", POOL).withColumn("label", F.lit(0.5))
     # Both samples are bounded, so the texts are not shuffled to find them.
     both = coded.join(F.broadcast(some.select("id", "h", "label").unionByName(others.select("id", "h", "label"))), "id").dropDuplicates(["id"])
     features, y = _sampled(both)
