@@ -2,7 +2,7 @@
 
 Texts are read as words. The text tree predicts the class of the next word from the bytes before
 it: its contexts are suffixes of what was read (up to ``TEXT_DEPTH`` bytes, a start mark before every
-word), its symbols the classes: each of the ``CLASSES`` most frequent words is its own class, other
+word), its symbols the classes: each of the most frequent words, ``CLASSES`` at most, is its own class, other
 words are classed by their last two bytes, and the end of the text is a class. Inside a class words
 have their training shares, and what is kept for unseen words follows a spelling tree, which reads a
 word's bytes from the last to the first (contexts up to ``SPELL_DEPTH``) and learns from distinct words. So P(text) is the product of P(class | context) P(word | class).
@@ -14,7 +14,7 @@ suffix's, down to the root, which leaves a share for unseen symbols. A symbol is
 longest state that is a suffix of what was read.
 
 All training words are counted in Spark; every distinct word is scored once, and texts look up their
-words: the ``HEAD`` most frequent ones in a broadcast of that bound, all others by a join. A tree's
+words: the most frequent ones in a broadcast of at most ``HEAD``, all others by a join. A tree's
 retained counts are bounded by ``MOST``: where more pass the divergence test, its threshold is
 doubled until they fit. That bounds the model, not the data.
 
@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytewords import Words, words
+from tidemark.llm.common import most_frequent
 from tidemark.session import staged
 
 SPELL_DEPTH, SPELL_BITS = 5, 8
@@ -79,7 +80,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 ], names=["hash", "word", "c", "total"])
 
     local = docs.select("text", "held").mapInArrow(count, "hash long, word binary, c long, total long")
-    return local.groupBy("hash").agg(F.min("word").alias("word"), F.sum("c").alias("c"), F.sum("total").alias("total"))
+    return local.groupBy("hash", "word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
 
 def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,7 +266,7 @@ def score(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame
     ends = docs.filter("NOT held").count()
     sums = counted.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     n, v = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    frequent = counted.filter("c > 0").orderBy(F.desc("c"), "hash").limit(CLASSES).select("hash").toArrow().to_pandas()["hash"].sort_values().to_numpy(np.int64)
+    frequent = most_frequent(counted.filter("c > 0"), "c", CLASSES).select("hash").toArrow().to_pandas()["hash"].sort_values().to_numpy(np.int64)
 
     def tree(ngrams: DataFrame, depth: int, bits: int) -> SuffixTree:
         held = retained(staged(ngrams, "pst-ngrams"), depth, bits).toArrow().to_pandas()  # at most MOST rows
@@ -297,7 +298,7 @@ def score(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame
             ], names=["hash", "total", "known", "base", "score"])
 
     graded = staged(counted.select("hash", "word", "c", "total").mapInArrow(grade, "hash long, total long, known boolean, base double, score double"), "pst-graded")
-    top = graded.orderBy(F.desc("total"), "hash").limit(HEAD).toArrow().to_pandas().sort_values("hash")
+    top = most_frequent(graded, "total", HEAD).toArrow().to_pandas().sort_values("hash")
     head = send(tuple(top[x].to_numpy() for x in ("hash", "known", "base", "score")))
     end_known, end_base = int(ends > 0), float(np.log10(ends + 1) - floor)
 
