@@ -80,10 +80,15 @@ def common_elements(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [_shingles(batch.slice(at, _SLICE).column("text"), width)[0] for at in range(0, batch.num_rows, _SLICE)]
-            codes, found = pd.factorize(np.concatenate(parts) & np.uint64(_LOW)) if parts else (np.zeros(0, int), np.zeros(0, np.uint64))
-            n = np.bincount(codes, minlength=len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1]), pa.array(np.full((n > 1).sum(), 0))], names=["token", "n", "all"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0]), pa.array([len(codes)])], names=["token", "n", "all"])
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            del parts
+            flat &= np.uint64(_LOW)
+            flat.sort()  # in place: a batch holds millions of elements
+            ends = np.flatnonzero(np.concatenate((flat[1:] != flat[:-1], np.ones(min(1, len(flat)), bool))))
+            n = np.diff(ends, prepend=-1)
+            again = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(flat[ends[again]].view(np.int64)), pa.array(n[again]), pa.array(np.zeros(again.sum(), np.int64))], names=["token", "n", "all"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0]), pa.array([len(flat)])], names=["token", "n", "all"])
 
     seen = staged(docs.select("text").mapInArrow(count, "token long, n long, all long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).filter(
         (F.col("n") >= LEAST_COMMON) | (F.col("all") > 0)), "common")
