@@ -14,8 +14,8 @@ elements found in many documents last, so passages that many documents share do
 
 The tree is packed bottom-up. Points are compared with one leading point of each of their elements;
 verified links join points into nodes. After ``PACKINGS`` rounds, with other leaders in each, every
-point that shares an element with points of another node descends: the node's bound, then its
-pages' (at most ``PAGE`` points, by size), then the points', then the sets. Points of one node are
+point that shares enough of those elements with another node descends: the bounds of its pages (at
+most ``PAGE`` points of near sizes), then the points', then the sets. Points of one node are
 linked already and never compared again, so large groups of near copies cost no pair table.
 
 Defined results: texts without words, and null texts, have an empty set and link with nothing. With
@@ -42,6 +42,7 @@ GROUPS = 64
 PACKINGS = 3
 PAGE = 128
 SMALL = 32
+MOST_SENT = 2_000_000  # row numbers that may be broadcast (16 MB)
 LEAST_COMMON, MOST_COMMON = 64, 1_000_000  # occurrences that make an element common; bound of the table of common ones
 _SLICE = 1000
 _LOW = (1 << 48) - 1
@@ -174,7 +175,9 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) among candidate pairs (a, b): those whose whole sets are similar enough."""
-    side = lambda x: sets.select(F.col("row").alias(x), F.col("tokens").alias(f"t{x}"))
+
+    def side(x: str) -> DataFrame:
+        return sets.select(F.col("row").alias(x), F.col("tokens").alias(f"t{x}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,6 +189,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * common >= percent * (len(both) - common))
             yield batch.select(["a", "b"]).rename_columns(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    # Only sets that some pair asks for are shuffled, as long as their numbers are few enough to be sent to every task.
+    asked = staged(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "jaccard-asked")
+    if asked.count() <= MOST_SENT:
+        sets = sets.join(F.broadcast(asked), "row", "left_semi")
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(check, "u long, v long")
 
 
@@ -228,8 +235,11 @@ def _descend(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Which pages of other nodes a row meets in any of its elements, sizes allowing.
     places = opened.join(paged.select("row", "page"), "row")
     by_page = places.select("token", "page").distinct().join(spans, "page")
-    met = staged(places.select("token", F.col("row").alias("a"), F.col("n").alias("na"), "comp").join(by_page, "token").filter("comp <> other").filter(
-        _sized("least", "most", "na", percent)).select("a", "na", F.col("page").alias("b"), F.col("least").alias("nb"), "k").distinct(), "rtree-met")
+    met = places.select("token", F.col("row").alias("a"), F.col("n").alias("na"), "comp").join(by_page, "token").filter("comp <> other").filter(
+        _sized("least", "most", "na", percent)).groupBy("a", "na", "page", "least", "most", "k").agg(F.count("*").alias("shared"))
+    # Of two sets, one has all it can share up to the end of its leading elements among those it does share there.
+    short = lambda nb: f"ceil({percent} * (na + {nb}) / {100 + percent}) - ceil({percent} * greatest(na, {nb}) / 100) + 1"
+    met = staged(met.filter(f"shared >= least({short('least')}, {short('most')})").select("a", "na", F.col("page").alias("b"), F.col("least").alias("nb"), "k"), "rtree-met")
     points = sets.select(F.col("row").alias("a"), F.col("point").alias("pa"))
     # A page of one point is met through the point itself.
     single = paged.join(spans.filter("k = 1").select("page"), "page").select(F.col("row").alias("to"), F.col("n").alias("nb"), F.col("page").alias("b"))
