@@ -183,14 +183,14 @@ def benchmark_return(spark, sf_dir):
     )
 
 
-# ---- readings of the newest bars ----------------------------------------------------------------
+# ---- readings at the end of a series ----------------------------------------------------------------
 
 define("b3", """SELECT *, count(*) OVER p AS n, count(*) FILTER (confirmed) OVER p AS m, max(idx) FILTER (confirmed) OVER p AS lastc,
     coalesce(max(high) FILTER (confirmed) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0) AS prior_high,
     coalesce(count(*) FILTER (confirmed) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 5
       AND low < least(lag(low, 1) OVER w, lag(low, 2) OVER w, lead(low, 1) OVER w, lead(low, 2) OVER w), false) AS low_pivot
   FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, timeframe ORDER BY open_t) - 1 AS idx
-    FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY instrument_id, timeframe ORDER BY open_t DESC) <= 300))
+    FROM bars)
   WINDOW p AS (PARTITION BY instrument_id, timeframe), w AS (PARTITION BY instrument_id, timeframe ORDER BY idx)""", "bars")
 define("c3", "SELECT * EXCLUDE (idx), row_number() OVER (PARTITION BY instrument_id, timeframe ORDER BY idx) - 1 AS idx FROM b3 WHERE confirmed", "b3")
 define("i3", indicator_sql("c3"), "c3")

@@ -1,4 +1,4 @@
-"""Bars: resampling, validity, pivots, breakouts and the per-series reading of the newest bars."""
+"""Bars: resampling, validity, pivots, breakouts and the per-series reading at the end of the history."""
 
 from __future__ import annotations
 
@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.functions.timecol import DAY, HOUR, MINUTE, bucket_of, floor_to, micros, plus
 from tidemark.operators.series import drop_margin, number_rows, with_margin
-from tidemark.operators.smoothing import indicators, rsi_from
+from tidemark.operators.smoothing import indicators
+from tidemark.session import staged
 
 # Bar lengths, look-backs and the smallest usable history.
 FRAMES = {"15m": 15 * MINUTE, "1H": HOUR, "4H": 4 * HOUR, "1D": DAY}
 SERIES = ("instrument_id", "timeframe")
 MIN_COMPLETED = 50
-READ_LIMIT = 300
 LOOKBACK = 20
 PLAN_BARS = 60
 
@@ -121,134 +121,55 @@ def bar_features(bars: DataFrame) -> DataFrame:
     return drop_margin(rows)
 
 
-def newest_bars(bars: DataFrame, limit: int = READ_LIMIT) -> DataFrame:
-    """The newest ``limit`` bars per series with their position; every later window is that small."""
-    newest = Window.partitionBy(*SERIES).orderBy(F.col("open_time").desc())
-    kept = bars.withColumn("__rn", F.row_number().over(newest)).filter(F.col("__rn") <= limit).drop("__rn")
-    whole = Window.partitionBy(*SERIES)
-    kept = kept.withColumn("idx", F.row_number().over(whole.orderBy("open_time")).cast("bigint") - 1)
-    return kept.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("m", F.count_if("confirmed").over(whole))
-
-
-def newest_arrays(bars: DataFrame, limit: int = READ_LIMIT) -> DataFrame:
-    """One row per series: its newest ``limit`` bars as an ordered array, completed ones apart."""
-    newest = Window.partitionBy(*SERIES).orderBy(F.col("open_time").desc())
-    kept = bars.withColumn("__rn", F.row_number().over(newest)).filter(F.col("__rn") <= limit)
-    bar = F.struct("open_time", "close_time", "high", "low", "close", "volume_quote", "confirmed", bar_is_valid().alias("valid"))
-    listed = kept.groupBy(*SERIES).agg(F.array_sort(F.collect_list(bar)).alias("all_bars"))
-    return (
-        listed.withColumn("done_bars", F.filter("all_bars", lambda x: x["confirmed"]))
-        .withColumn("bars", F.size("all_bars")).withColumn("completed", F.size("done_bars"))
-    )
-
+def _last(column: str | Column, position: Column, at: str = "idx") -> Column:
+    """Value of the one row of a series at a position."""
+    return F.max(F.when(F.col(at) == position, column if isinstance(column, Column) else F.col(column)))
 
-def fold_indicators(done: Column) -> Column:
-    """Last indicator values of one short ordered series, one sequential pass over its bars.
-
-    Same smoothers as the full-history form; kept to the newest few hundred bars by its caller.
-    """
-    zero = F.lit(0.0)
-    emas = {"e12": 12, "e20": 20, "e26": 26, "e50": 50}
-    empty = F.array().cast("array<double>")
-    start = F.struct(
-        F.lit(0).alias("i"), F.lit(None).cast("double").alias("prev"),
-        *[zero.alias(k) for k in emas], *[zero.alias(f"s_{k}") for k in emas],
-        *[zero.alias(k) for k in ("gain", "loss", "atr", "line_sum", "signal", "h0", "h1", "h2")], empty.alias("rsi"),
-    )
-
-    def step(acc: Column, bar: Column) -> Column:
-        i, close = acc["i"], bar["close"]
-        fields: dict[str, Column] = {}
-        for k, p in emas.items():
-            total = acc[f"s_{k}"] + close
-            alpha = 2.0 / (p + 1)
-            fields[k] = F.when(i < p - 1, zero).when(i == p - 1, total / p).otherwise(alpha * close + (1 - alpha) * acc[k])
-            fields[f"s_{k}"] = F.when(i < p, total).otherwise(acc[f"s_{k}"])
-        change = close - acc["prev"]
-        up, down = F.when(change > 0, change).otherwise(zero), F.when(change < 0, -change).otherwise(zero)
-        span = bar["high"] - bar["low"]
-        tr = F.when(i == 0, span).otherwise(
-            F.greatest(span, F.abs(bar["high"] - acc["prev"]), F.abs(bar["low"] - acc["prev"]))
-        )
 
-        def wilder(name: str, value: Column, last_seed: int, p: int) -> Column:
-            # Until the seed is complete the field holds the running sum.
-            return (
-                F.when(i < last_seed, acc[name] + value).when(i == last_seed, (acc[name] + value) / p)
-                .otherwise((acc[name] * (p - 1) + value) / p)
-            )
-
-        gain, loss = wilder("gain", up, 14, 14), wilder("loss", down, 14, 14)
-        line = F.when(i >= 25, fields["e12"] - fields["e26"]).otherwise(zero)
-        line_sum = F.when(i <= 33, acc["line_sum"] + line).otherwise(acc["line_sum"])
-        signal = F.when(i < 33, zero).when(i == 33, line_sum / 9).otherwise(0.2 * line + 0.8 * acc["signal"])
-        rsi = F.when(i >= 14, rsi_from(gain, loss)).otherwise(zero)
-        fields |= {
-            "gain": gain, "loss": loss, "atr": wilder("atr", tr, 13, 14), "line_sum": line_sum, "signal": signal,
-            "h0": F.when(i >= 33, line - signal).otherwise(zero), "h1": acc["h0"], "h2": acc["h1"],
-            "rsi": F.slice(F.concat(F.array(rsi), acc["rsi"]), 1, LOOKBACK),
-        }
-        names = ["e12", "e20", "e26", "e50", "s_e12", "s_e20", "s_e26", "s_e50", "gain", "loss", "atr", "line_sum", "signal",
-                 "h0", "h1", "h2", "rsi"]
-        return F.struct((i + 1).alias("i"), close.alias("prev"), *[fields[n].alias(n) for n in names])
-
-    return F.aggregate(done, start, step)
-
-
-def _prior_high_at(before: Column, lookback: int = LOOKBACK) -> Column:
-    frame = F.slice("all_bars", F.greatest(F.lit(0), before - lookback) + 1, F.least(F.lit(lookback), before))
-    return F.coalesce(F.array_max(F.transform(F.filter(frame, lambda x: x["confirmed"]), lambda x: x["high"])), F.lit(0.0))
-
-
-def frame_readings(bars: DataFrame, limit: int = READ_LIMIT) -> DataFrame:
+def frame_readings(bars: DataFrame) -> DataFrame:
     """What an analysis needs to know of each series, one row per (instrument, timeframe).
 
-    ``bars`` beyond the newest ``limit`` are not read, so the arrays are bounded; one shuffle by
-    series serves everything. Series with too few completed bars or an invalid bar are left out.
+    Indicators, pivots and prior highs come from the whole history; what an analysis reads of them
+    are values at a few positions before the end, so conditional aggregates pick them and no series
+    is held as a whole. Series with too few completed bars or an invalid or repeated one are left out.
     """
-    rows = newest_arrays(bars, limit).filter(
-        (F.col("completed") >= MIN_COMPLETED) & F.forall("all_bars", lambda x: x["valid"])
+    rows = staged(bar_features(bars), "bar-features")
+    ends = rows.groupBy(*SERIES).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("confirmed").alias("m"), F.max(F.when(F.col("confirmed"), F.col("idx"))).alias("end")
     )
-    n, m = F.col("bars"), F.col("completed")
-    every, done, ind = F.col("all_bars"), F.col("done_bars"), F.col("ind")
-    rows = rows.withColumn("ind", fold_indicators(done)).withColumn(
-        "last_at", F.array_max(F.transform("all_bars", lambda x, i: F.when(x["confirmed"], i)))
+    ends = ends.join(series_validity(bars).filter("usable").select(*SERIES), list(SERIES))
+    n, m, end, idx = F.col("n"), F.col("m"), F.col("end"), F.col("idx")
+    plan_before = F.when(end == n - 1, n - 1).otherwise(n)
+    placed = rows.join(ends, list(SERIES))
+    tail = placed.groupBy(*SERIES, "n", "m").agg(
+        _last("close", n - 1).alias("latest_close"), _last("volume_quote", n - 1).alias("latest_volume"),
+        _last("open_time", n - 1).alias("latest_open_time"), _last("close_time", n - 1).alias("latest_close_time"),
+        _last("confirmed", n - 1).alias("latest_confirmed"), _last("close", F.greatest(F.lit(0), n - 5)).alias("close_5th"),
+        _last("prior_high", n - 1).alias("latest_prior_high"), _last("prior_high", n - 2).alias("previous_prior_high"), _last("high", n - 2).alias("previous_high"),
+        _last("close", end).alias("last_close"), _last("prior_high", end).alias("last_prior_high"),
+        _last("close", F.greatest(F.lit(0), end - 4)).alias("close_4_before_last"), _last("close", m - 11).alias("close_10"),
+        F.max(F.when(F.col("confirmed") & (idx >= plan_before - LOOKBACK) & (idx < plan_before), F.col("high"))).alias("level"),
     )
-
-    def bar(position: Column) -> Column:
-        return F.get(every, position)
-
-    def low_pivot(x: Column, i: Column) -> Column:
-        ok = x["confirmed"] & (i >= 2) & (i + 2 < F.size(every))
-        for k in (-2, -1, 1, 2):
-            near = F.get(every, i + k)
-            ok = ok & near["confirmed"] & (x["low"] < near["low"])
-        return F.coalesce(ok, F.lit(False))
-
-    rows = rows.withColumn("lows", F.slice(F.reverse(F.filter("all_bars", low_pivot)), 1, 2))
-    latest, last = bar(n - 1), bar(F.col("last_at"))
-    volumes = F.array_sort(F.transform(F.slice(done, -LOOKBACK, LOOKBACK), lambda x: x["volume_quote"]))
-    plan_before = F.when(F.col("last_at") == n - 1, n - 1).otherwise(n)
-    level = _prior_high_at(plan_before)
-    return rows.select(
-        *SERIES, "bars", "completed",
-        latest["close"].alias("latest_close"), latest["volume_quote"].alias("latest_volume"),
-        latest["open_time"].alias("latest_open_time"), latest["close_time"].alias("latest_close_time"),
-        latest["confirmed"].alias("latest_confirmed"),
-        bar(F.greatest(F.lit(0), n - 5))["close"].alias("close_5th"),
-        _prior_high_at(n - 1).alias("latest_prior_high"),
-        _prior_high_at(n - 2).alias("previous_prior_high"), bar(n - 2)["high"].alias("previous_high"),
-        last["close"].alias("last_close"), _prior_high_at(F.col("last_at")).alias("last_prior_high"),
-        bar(F.greatest(F.lit(0), F.col("last_at") - 4))["close"].alias("close_4_before_last"),
-        F.get(done, m - 5)["close"].alias("completed_close_4"),
-        ((F.get(volumes, F.lit(LOOKBACK // 2 - 1)) + F.get(volumes, F.lit(LOOKBACK // 2))) / 2).alias("volume_median20"),
-        ind["e20"].alias("ema20"), ind["e50"].alias("ema50"), F.get(ind["rsi"], F.lit(0)).alias("rsi14"),
-        ind["h0"].alias("macd_histogram"), ind["atr"].alias("atr14"),
-        ind["h1"].alias("histogram_1"), ind["h2"].alias("histogram_2"),
-        F.get(ind["rsi"], F.lit(10)).alias("rsi_10"), bar(m - 11)["close"].alias("close_10"),
-        F.exists(F.slice(ind["rsi"], 2, LOOKBACK - 1), lambda v: v.between(35.0, 45.0)).alias("rsi_was_low"),
-        F.when(level > 0, level).alias("confirmation_level"),
-        F.coalesce(F.get("lows", F.lit(0))["low"] > F.get("lows", F.lit(1))["low"], F.lit(False)).alias("higher_low"),
+    newest = Window.partitionBy(*SERIES).orderBy(idx.desc())
+    lows = rows.filter("low_pivot").withColumn("k", F.row_number().over(newest)).filter("k <= 2").groupBy(*SERIES).agg(
+        (F.max(F.when(F.col("k") == 1, F.col("low"))) > F.max(F.when(F.col("k") == 2, F.col("low")))).alias("higher_low")
+    )
+    done = completed_indicators(bars).join(ends.select(*SERIES, "m"), list(SERIES))
+    volumes = F.sort_array(F.collect_list(F.when(idx >= m - LOOKBACK, F.col("volume_quote"))))  # LOOKBACK values
+    read = done.groupBy(*SERIES).agg(
+        _last("close", m - 5).alias("completed_close_4"), volumes.alias("v"), _last("ema20", m - 1).alias("ema20"), _last("ema50", m - 1).alias("ema50"),
+        _last("rsi14", m - 1).alias("rsi14"), _last("macd_histogram", m - 1).alias("macd_histogram"), _last("atr14", m - 1).alias("atr14"),
+        _last("macd_histogram", m - 2).alias("histogram_1"), _last("macd_histogram", m - 3).alias("histogram_2"), _last("rsi14", m - 11).alias("rsi_10"),
+        F.coalesce(F.bool_or(F.when((idx >= m - LOOKBACK) & (idx < m - 1), F.col("rsi14").between(35.0, 45.0))), F.lit(False)).alias("rsi_was_low"),
+    )
+    both = tail.join(read, list(SERIES)).join(lows, list(SERIES), "left")
+    return both.select(
+        *SERIES, n.cast("int").alias("bars"), m.cast("int").alias("completed"), "latest_close", "latest_volume", "latest_open_time", "latest_close_time",
+        "latest_confirmed", "close_5th", "latest_prior_high", "previous_prior_high", "previous_high", "last_close", "last_prior_high",
+        "close_4_before_last", "completed_close_4",
+        ((F.get("v", F.lit(LOOKBACK // 2 - 1)) + F.get("v", F.lit(LOOKBACK // 2))) / 2).alias("volume_median20"),
+        "ema20", "ema50", "rsi14", "macd_histogram", "atr14", "histogram_1", "histogram_2", "rsi_10", "close_10", "rsi_was_low",
+        F.when(F.col("level") > 0, F.col("level")).alias("confirmation_level"), F.coalesce("higher_low", F.lit(False)).alias("higher_low"),
     )
 
 
@@ -258,9 +179,10 @@ def completed_return(reading: Column) -> Column:
     return F.when(base > 0, (reading["last_close"] / base - 1) * 100).otherwise(F.lit(0.0))
 
 
-def level_pivots(bars: DataFrame, timeframe: str = "4H", last: int = PLAN_BARS, limit: int = READ_LIMIT) -> DataFrame:
-    """Pivots inside the newest ``last`` bars of one frame, one row per pivot."""
-    rows = newest_bars(bars.filter(F.col("timeframe") == timeframe), limit).filter(F.col("idx") >= F.col("n") - last)
+def level_pivots(bars: DataFrame, timeframe: str = "4H", last: int = PLAN_BARS) -> DataFrame:
+    """Pivots inside the newest ``last`` bars of one frame, which the plan looks at; one row per pivot."""
+    newest = Window.partitionBy(*SERIES).orderBy(F.col("open_time").desc())
+    rows = bars.filter(F.col("timeframe") == timeframe).withColumn("idx", -F.row_number().over(newest)).filter(F.col("idx") >= -last)
     order = Window.partitionBy(*SERIES).orderBy("idx")
     kinds = F.array_compact(
         F.array(

@@ -47,12 +47,10 @@ def pool_context(bars: DataFrame, assets: DataFrame, benchmarks: dict[str, str])
     return median.join(bench, "asset_class", "inner")
 
 
-def scan(
-    bars: DataFrame, assets: DataFrame, as_of: Column, benchmarks: dict[str, str], limit: int = br.READ_LIMIT
-) -> DataFrame:
+def scan(bars: DataFrame, assets: DataFrame, as_of: Column, benchmarks: dict[str, str]) -> DataFrame:
     """Score every asset of the pool. ``assets`` carries class, change, funding, OI changes and tick size."""
     assets = staged(assets, "scan-assets")
-    wide = op.frames_side_by_side(br.frame_readings(bars, limit))
+    wide = op.frames_side_by_side(br.frame_readings(bars))
     context = pool_context(bars, assets, benchmarks)
     joined = wide.join(assets, "instrument_id").join(context, "asset_class")
     return op.score_opportunities(op.evidence(joined, as_of))
