@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import quality as q
 from tidemark.functions.timecol import HOUR, MINUTE
-from tidemark.operators import candidates as ca, history as hi, opportunity as op, registry as rg, scoring as sc, study as st, trades as tr, universe as un
+from tidemark.operators import candidates as ca, generations as ge, history as hi, opportunity as op, registry as rg, scoring as sc, study as st, trades as tr, universe as un
 from tidemark.sinks import tables as tb
 from tidemark.sources import payloads as pl
 
@@ -168,10 +168,23 @@ def test_pool_payload_rules(spark):
 def test_truncated_trades_and_bad_side(spark):
     def doc(n, side="buy"):
         return json.dumps({"data": [{"attributes": {"tx_from_address": "a", "kind": side, "volume_in_usd": "1", "block_timestamp": "2026-01-01T12:00:00Z"}} for _ in range(n)]})
-    df = spark.createDataFrame([(doc(301), "bsc", "p", T0), (doc(299), "bsc", "q", T0), (doc(1, "swap"), "bsc", "r", T0)], ["payload", "chain", "pool", "collected_at"])
+    late = json.loads(doc(301))
+    late["data"][300]["attributes"]["kind"] = "swap"
+    df = spark.createDataFrame([(doc(301), "bsc", "p", T0), (doc(299), "bsc", "q", T0), (doc(1, "swap"), "bsc", "r", T0), (json.dumps(late), "bsc", "s", T0)], ["payload", "chain", "pool", "collected_at"])
     rows, bad = pl.pool_trades(df)
     got = {r["pool"]: (r["n"], r["t"]) for r in rows.groupBy("pool").agg(F.count("*").alias("n"), F.max("truncated").alias("t")).collect()}
-    assert got == {"p": (300, True), "q": (299, False)} and [r["reason"] for r in bad.collect()] == ["unknown_side"]
+    assert got == {"p": (301, True), "q": (299, False)} and sorted((r["pool"], r["reason"]) for r in bad.collect()) == [("r", "unknown_side"), ("s", "unknown_side")]
+
+
+def test_numbers_are_plain_decimals(spark):
+    texts = ["1.5", "-2e3", ".5", "7.", "+1", "1.5d", "3f", " 2 ", "", "NaN", "0x1", "1_0", "1e", "."]
+    got = [r["n"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(pl.number(F.col("t")).alias("n")).collect()]
+    assert got == [1.5, -2000.0, 0.5, 7.0, 1.0] + [None] * 9
+
+
+def test_limits_are_the_callers(spark):
+    snaps = spark.range(150).selectExpr("id", "'t' AS token_id", "timestamp_seconds(id) AS collected_at", "CAST(id AS DOUBLE) AS raw_score")
+    assert ge.score_change(snaps, 150).collect()[0]["points"] == 150
 
 
 def test_candidate_merge_order(spark):

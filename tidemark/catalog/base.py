@@ -66,7 +66,7 @@ ASOF = """clock AS (SELECT max(t) + 43200000000 AS as_of FROM ticks)"""
 
 # Bar lengths in microseconds of the four stand-in frames.
 FRAMES = """frames AS (SELECT * FROM (VALUES ('15m', 86400000000), ('1H', 172800000000), ('4H', 604800000000),
-  ('1D', 2419200000000)) f(timeframe, dur))"""
+  ('1Dutc', 2419200000000)) f(timeframe, dur))"""
 
 BARS = """bars AS (SELECT instrument_id, timeframe, t - t % dur AS open_t, t - t % dur + dur AS close_t,
   arg_min(price, (t, seq1, seq2, price)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (t, seq1, seq2, price)) AS close,

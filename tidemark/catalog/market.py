@@ -280,7 +280,7 @@ define("wide", """SELECT e.instrument_id, a.* EXCLUDE (instrument_id), b.r AS be
   r.cclose AS r_close, r.c4 AS r_c4, r.atr AS r_atr, r.rsi AS r_rsi, r.rsi_low AS r_rsi_low, r.h0 AS r_h0, r.h1 AS r_h1, r.h2 AS r_h2, r.higher_low AS r_hl,
   t.cclose AS t_close, t.ema20 AS t_ema20, t.ema50 AS t_ema50, t.atr AS t_atr, d.cclose AS d_close, d.ema20 AS d_ema20, d.ema50 AS d_ema50, d.h0 AS d_h0, d.h1 AS d_h1, d.atr AS d_atr
   FROM (SELECT *, """ + VR + """ AS vr FROM rd WHERE timeframe = '15m') e JOIN (SELECT * FROM rd WHERE timeframe = '1H') r USING (instrument_id)
-  JOIN (SELECT * FROM rd WHERE timeframe = '4H') t USING (instrument_id) JOIN (SELECT * FROM rd WHERE timeframe = '1D') d USING (instrument_id)
+  JOIN (SELECT * FROM rd WHERE timeframe = '4H') t USING (instrument_id) JOIN (SELECT * FROM rd WHERE timeframe = '1Dutc') d USING (instrument_id)
   JOIN assets a USING (instrument_id) JOIN rret x USING (instrument_id)
   JOIN (SELECT asset_class, r FROM rret JOIN assets USING (instrument_id) WHERE instrument_id IN ('I0-USDT-SWAP', 'I14-USDT-SWAP')) b USING (asset_class)
   JOIN (SELECT asset_class, quantile_cont(r, 0.5) AS med FROM rret JOIN assets USING (instrument_id) GROUP BY 1) p USING (asset_class)""", "rd", "clock", "assets", "rret")

@@ -77,6 +77,38 @@ def momentum_pools(spark, sf_dir):
     return pl.momentum_pools(pool_documents(spark, sf_dir))[1].select("run_id", "chain", "source", "returned_items", "unique_candidates", "first_error")
 
 
+def broken(docs, key, every, text="{broken"):
+    """The same documents, every so manieth one replaced by text that is no such document."""
+    return docs.withColumn("payload", F.when(key % every == 0, text).otherwise(F.col("payload")))
+
+
+@query("s3_quarantine", oracle("SELECT o_orderkey AS page, 'unreadable' AS reason FROM orders WHERE o_orderkey % 19 = 0"))
+def momentum_quarantine(spark, sf_dir):
+    return pl.refused(broken(pool_documents(spark, sf_dir), F.col("page"), 19), pl.POOLS).select("page", "reason")
+
+
+@query("s5_quarantine", oracle("SELECT CAST(c_custkey AS VARCHAR) AS file, 'unreadable' AS reason FROM customer WHERE c_custkey % 7 = 0"))
+def pair_quarantine(spark, sf_dir):
+    return pl.refused(broken(pair_documents(spark, sf_dir), F.col("file").cast("bigint"), 7, "[{"), pl.PAIRS).select("file", "reason")
+
+
+@query("s7_quarantine", oracle("SELECT p_partkey AS file, 'unreadable' AS reason FROM part WHERE p_partkey % 5 = 0"))
+def boost_quarantine(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part")
+    item = F.struct(F.lit("bsc").alias("chainId"), F.concat(F.lit("Boost"), "p_partkey").alias("tokenAddress"))
+    docs = p.select(F.to_json(F.array(item)).alias("payload"), F.col("p_partkey").alias("file"))
+    return pl.refused(broken(docs, F.col("file"), 5, "not json"), pl.BOOSTS).select("file", "reason")
+
+
+@query("s8_quarantine", oracle("SELECT s_suppkey AS file, CASE WHEN s_suppkey % 4 = 0 THEN 'unreadable' ELSE 'refused' END AS reason FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 4 = 1"))
+def derivatives_quarantine(spark, sf_dir):
+    s = ad.table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    body = F.to_json(F.struct(F.when(k % 4 == 1, "50011").otherwise("0").alias("code"), F.array(F.struct(k.cast("string").alias("instId"), F.lit("1").alias("oiUsd"))).alias("data")))
+    docs = broken(s.select(body.alias("payload"), k.alias("file")), F.col("file"), 4)
+    return pl.refused(docs, pl.OPEN_INTEREST).select("file", "reason")
+
+
 @query("j1_included_token_lookup", oracle("SELECT k AS page, CAST(pos AS BIGINT) AS pos, token_id, CASE WHEN pos = 0 AND k % 4 <> 0 THEN 'SYM' ELSE '' END AS symbol FROM pools2", "pools2"))
 def included_token_lookup(spark, sf_dir):
     rows = pl._flat_pools(pl.parse(pool_documents(spark, sf_dir), pl.POOLS))
@@ -236,7 +268,7 @@ def candle_quarantine(spark, sf_dir):
 @query("t10_latest_candles", oracle("SELECT l_partkey AS instrument_id, epoch_us(l_shipdate) AS open_us, arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS close FROM lineitem GROUP BY 1, 2"))
 def latest_candles(spark, sf_dir):
     li = ad.table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("instrument_id"), F.lit("1D").alias("timeframe"), F.col("l_shipdate").cast("timestamp").alias("open_time"),
+        F.col("l_partkey").alias("instrument_id"), F.lit("1Dutc").alias("timeframe"), F.col("l_shipdate").cast("timestamp").alias("open_time"),
         F.col("l_extendedprice").alias("close"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("ingested"),
     )
     return pl.latest_candles(li, "ingested").select("instrument_id", micros("open_time").alias("open_us"), "close")

@@ -12,7 +12,7 @@ from tidemark.operators.smoothing import indicators
 from tidemark.session import staged
 
 # Bar lengths, look-backs and the smallest usable history.
-FRAMES = {"15m": 15 * MINUTE, "1H": HOUR, "4H": 4 * HOUR, "1D": DAY}
+FRAMES = {"15m": 15 * MINUTE, "1H": HOUR, "4H": 4 * HOUR, "1Dutc": DAY}
 SERIES = ("instrument_id", "timeframe")
 MIN_COMPLETED = 50
 LOOKBACK = 20

@@ -156,7 +156,7 @@ def radar_gate() -> Column:
 
 
 def radar(views: DataFrame, limit: int = RADAR_LIMIT) -> DataFrame:
-    return views.filter(radar_gate()).orderBy(*radar_order()).limit(max(0, min(limit, RADAR_LIMIT)))
+    return views.filter(radar_gate()).orderBy(*radar_order()).limit(limit)
 
 
 def archive(
@@ -177,7 +177,7 @@ def archive(
     ):
         if value:
             rows = rows.filter(F.col(column) == value)
-    return rows.orderBy(*radar_order()).limit(max(0, min(limit, ARCHIVE_LIMIT)))
+    return rows.orderBy(*radar_order()).limit(limit)
 
 
 def by_address(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def newest_per_token(snapshots: DataFrame, n: int, cutoffs: DataFrame | None = N
 
 def score_change(snapshots: DataFrame, limit: int = TIMELINE_LIMIT) -> DataFrame:
     """Change between the first and last scored points of each token's newest timeline."""
-    points = newest_per_token(snapshots, min(limit, TIMELINE_LIMIT)).filter(F.col("raw_score").isNotNull())
+    points = newest_per_token(snapshots, limit).filter(F.col("raw_score").isNotNull())
     at = F.struct("collected_at", "id")
     ends = points.groupBy("token_id").agg(
         F.count(F.lit(1)).alias("points"), F.min_by("raw_score", at).alias("__a"), F.max_by("raw_score", at).alias("__b"),

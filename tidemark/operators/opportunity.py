@@ -18,7 +18,7 @@ CONFIRMATION_WEIGHT = 0.20
 MAX_RISK_PCT = 15.0
 MIN_REWARD_RISK = 1.3
 TOP_PER_RUN = 10
-EXECUTION, REVERSAL, TREND, REGIME = "15m", "1H", "4H", "1D"
+EXECUTION, REVERSAL, TREND, REGIME = "15m", "1H", "4H", "1Dutc"
 
 
 def frames_side_by_side(readings: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from tidemark.session import use_utc
 
 # Bar lengths standing in for the quarter-hour, hour, four-hour and day frames: the ship dates
 # of the line items are whole days, so the finest bar is a day.
-TEST_FRAMES = {"15m": DAY, "1H": 2 * DAY, "4H": 7 * DAY, "1D": 28 * DAY}
+TEST_FRAMES = {"15m": DAY, "1H": 2 * DAY, "4H": 7 * DAY, "1Dutc": 28 * DAY}
 RUN_WIDTH = 20 * MINUTE
 
 

@@ -54,7 +54,8 @@ OPEN_INTEREST = "struct<code:string,msg:string,data:array<struct<instId:string,o
 FUNDING = "struct<code:string,msg:string,data:array<struct<instId:string,fundingRate:string>>>"
 CANDLES = "struct<code:string,msg:string,data:array<array<string>>>"
 MAX_POOL_AGE = 6 * HOUR
-TRADE_LIMIT = 300
+TRADE_PAGE = 300  # a page this full may have been cut by the sender
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 POOL_NUMBERS = {
     "price_usd": ("base_token_price_usd",), "market_cap_usd": ("market_cap_usd",), "fdv_usd": ("fdv_usd",),
@@ -90,8 +91,18 @@ def judge(docs: DataFrame, reason: Column) -> DataFrame:
 
 
 def number(text: Column) -> Column:
-    """Double from text; NULL when it does not parse."""
-    return F.trim(text).try_cast("double")
+    """Double from plain decimal text; NULL for anything else, blanks and type suffixes included."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
+def refused(payloads: DataFrame, shape: str) -> DataFrame:
+    """Documents that cannot be used at all, with the reason: unreadable, or answered with an error code."""
+    reason = F.when(F.col("doc").isNull(), "unreadable")
+    if shape.startswith("struct"):
+        if "code:string" in shape:
+            reason = reason.when(F.col("doc.code") != "0", "refused")
+        reason = reason.when(F.col("doc.data").isNull(), "unreadable")
+    return judge(parse(payloads, shape), reason).filter(F.col("reason").isNotNull()).drop("doc")
 
 
 def instant(text: Column) -> Column:
@@ -214,14 +225,14 @@ def momentum_pools(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pool_trades(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(trades, quarantine): the first 300 trades of each document with the truncated flag.
+    """(trades, quarantine): every trade of each document; ``truncated`` marks documents that fill a page.
 
-    One bad trade among them rejects the document.
+    One bad trade rejects the document.
     """
-    docs = parse(payloads, TRADES).withColumn("taken", F.slice("doc.data", 1, TRADE_LIMIT))
+    docs = parse(payloads, TRADES)
 
     def some(test) -> Column:
-        return F.exists("taken", lambda t: test(t["attributes"]))
+        return F.exists("doc.data", lambda t: test(t["attributes"]))
 
     reason = (
         F.when(F.col("doc").isNull() | F.col("doc.data").isNull(), "unreadable")
@@ -231,15 +242,15 @@ def pool_trades(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(some(lambda a: instant(a["block_timestamp"]).isNull()), "bad_time")
     )
     judged = judge(docs, reason)
-    good = judged.filter(F.col("reason").isNull()).withColumn("truncated", F.size("doc.data") >= TRADE_LIMIT)
-    flat = good.select("*", F.posexplode("taken").alias("pos", "t"))
+    good = judged.filter(F.col("reason").isNull()).withColumn("truncated", F.size("doc.data") >= TRADE_PAGE)
+    flat = good.select("*", F.posexplode("doc.data").alias("pos", "t"))
     trades = flat.select(
         "chain", "pool", "collected_at", "truncated", "pos",
         canonical_address(F.col("chain"), F.col("t.attributes.tx_from_address")).alias("address"),
         F.col("t.attributes.kind").alias("side"), number(F.col("t.attributes.volume_in_usd")).alias("volume_usd"),
         instant(F.col("t.attributes.block_timestamp")).alias("traded_at"),
     )
-    return trades, judged.filter(F.col("reason").isNotNull()).drop("doc", "taken")
+    return trades, judged.filter(F.col("reason").isNotNull()).drop("doc")
 
 
 def links(info: Column) -> Column:
