@@ -88,19 +88,20 @@ def admission(spark, sf_dir):
     return candidates(spark, sf_dir).groupBy(s.alias("admission_source")).agg(F.count(F.lit(1)).alias("candidates"))
 
 
-@query("a6_source_report", oracle("""SELECT chain, coalesce(source, 'NONE') AS source, count(*) AS returned_items, count(DISTINCT token_id) FILTER (pool <> '') AS unique_candidates,
-  arg_min('no pool ' || seq, seq) FILTER (pool = '') AS first_error FROM cand GROUP BY 1, 2""", "cand"))
+@query("a6_source_report", oracle("""SELECT seq // 50 AS run_id, chain, coalesce(source, 'NONE') AS source, count(*) AS returned_items, count(DISTINCT token_id) FILTER (pool <> '') AS unique_candidates,
+  arg_min('no pool ' || seq, seq) FILTER (pool = '') AS first_error FROM cand GROUP BY 1, 2, 3""", "cand"))
 def source_report(spark, sf_dir):
-    c = ca.normalize(candidates(spark, sf_dir)).withColumn("source", F.coalesce("source", F.lit("NONE")))
+    c = ca.normalize(candidates(spark, sf_dir)).withColumn("source", F.coalesce("source", F.lit("NONE"))).withColumn("run_id", F.floor(F.col("seq") / 50))
     c = c.withColumn("error", F.when(F.col("pair_address") == "", F.concat(F.lit("no pool "), F.col("seq"))))
     return ca.source_report(c)
 
 
-@query("a5_discovery_coverage", oracle("SELECT chain, max(t) AS newest_us, min(t) AS oldest_us, count(DISTINCT seq % 3) AS pages_fetched, count(DISTINCT token_id) AS unique_candidates FROM cand GROUP BY 1", "cand"))
+@query("a5_discovery_coverage", oracle("SELECT seq // 50 AS run_id, chain, max(t) AS newest_us, min(t) AS oldest_us, count(DISTINCT seq % 3) AS pages_fetched, count(DISTINCT token_id) FILTER (seq % 4 <> 0) AS unique_candidates FROM cand GROUP BY 1, 2", "cand"))
 def discovery_coverage(spark, sf_dir):
     c = ca.normalize(candidates(spark, sf_dir)).withColumn("page", F.col("seq") % 3).withColumn("pool_created_at", F.col("discovery_pool_created_at"))
+    c = c.withColumn("run_id", F.floor(F.col("seq") / 50)).withColumn("kept", F.col("seq") % 4 != 0)
     return ca.discovery_coverage(c).select(
-        "chain", micros("newest_pool_at").alias("newest_us"), micros("oldest_pool_at").alias("oldest_us"), "pages_fetched", "unique_candidates"
+        "run_id", "chain", micros("newest_pool_at").alias("newest_us"), micros("oldest_pool_at").alias("oldest_us"), "pages_fetched", "unique_candidates"
     )
 
 

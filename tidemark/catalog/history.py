@@ -118,7 +118,9 @@ define("liq", """SELECT *, pt * 0.5::DOUBLE + po * 0.35::DOUBLE + pa * 0.1::DOUB
 
 def gated(spark, sf_dir):
     now = F.timestamp_micros(F.lit(978307200000000))
-    return un.gate(ad.listed_suppliers(spark, sf_dir), now, "crypto", 300 * DAY, 1e6, 1e5)
+    rows = ad.listed_suppliers(spark, sf_dir)
+    again = rows.filter(F.crc32("instrument_id") % 3 == 0).withColumn("turnover_24h_usd", F.col("turnover_24h_usd") * 2)  # later listings of the same instrument
+    return un.gate(rows.unionByName(again), now, "crypto", 300 * DAY, 1e6, 1e5)
 
 
 @query("w20_pool_percentiles", oracle("SELECT instrument_id, round(pt, 6) AS p_turnover, round(po, 6) AS p_open_interest, round(pa, 6) AS p_age FROM liq", "liq"))

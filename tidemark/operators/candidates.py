@@ -302,16 +302,16 @@ def best_pairs(pairs: DataFrame, position: str) -> DataFrame:
 
 
 def discovery_coverage(pools: DataFrame) -> DataFrame:
-    """Newest and oldest pool, pages and distinct tokens per chain and run."""
-    return pools.groupBy("chain").agg(
+    """Newest and oldest of all pools and pages, and distinct tokens of the ``kept`` ones, per run and chain."""
+    return pools.groupBy("run_id", "chain").agg(
         F.max("pool_created_at").alias("newest_pool_at"), F.min("pool_created_at").alias("oldest_pool_at"),
-        F.countDistinct("page").alias("pages_fetched"), F.countDistinct("token_id").alias("unique_candidates"),
+        F.countDistinct("page").alias("pages_fetched"), F.countDistinct(F.when(F.col("kept"), F.col("token_id"))).alias("unique_candidates"),
     )
 
 
 def source_report(items: DataFrame) -> DataFrame:
-    """Returned against distinct items per chain and source, with the first error."""
-    return items.groupBy("chain", "source").agg(
+    """Returned against distinct items per run, chain and source, with the first error."""
+    return items.groupBy("run_id", "chain", "source").agg(
         F.count(F.lit(1)).alias("returned_items"),
         F.countDistinct(F.when(F.col("error").isNull(), F.col("token_id"))).alias("unique_candidates"),
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("first_error"),

@@ -52,23 +52,17 @@ def first_crossings(scores: DataFrame, activation_id: Column | int, thresholds:
 
     All thresholds share one partially aggregated pass; rows are never multiplied per threshold.
     """
-    row = F.struct(*FIELDS)
-    hits = [
-        F.min_by(row, F.when(F.col("raw_score") >= t, F.col("id"))).alias(f"__t{t}") for t in thresholds
-    ]
-    found = scores.filter(F.col("raw_score") >= min(thresholds)).groupBy("token_id", "score_version").agg(*hits)
-    each = F.array(*[F.struct(F.lit(t).cast("bigint").alias("threshold"), F.col(f"__t{t}").alias("s")) for t in thresholds])
-    out = found.select("token_id", "score_version", F.inline(each)).filter(F.col("s").isNotNull())
-    live = F.col("s.id") > (activation_id if isinstance(activation_id, Column) else F.lit(activation_id))
-    return out.select(
-        *SIGNAL_KEY,
-        F.col("s.chain").alias("chain"),
-        F.when(live, "LIVE").otherwise("BACKFILL").alias("signal_source"),
-        F.col("s.id").alias("signal_snapshot_id"),
-        F.col("s.collected_at").alias("signal_at"),
-        F.col("s.price_usd").alias("price_usd"),
-        F.col("s.raw_score").alias("raw_score"),
-        F.col("s.evidence_confidence").alias("evidence_confidence"),
+    # Only ids are aggregated, in hash tables; the few rows they name are then looked up.
+    first = [F.min(F.when(F.col("raw_score") >= t, F.col("id"))).alias(f"__t{t}") for t in thresholds]
+    high = scores.filter(F.col("raw_score") >= min(thresholds))
+    found = high.groupBy("token_id", "score_version").agg(*first)
+    each = F.array(*[F.struct(F.lit(t).cast("bigint").alias("threshold"), F.col(f"__t{t}").alias("id")) for t in thresholds])
+    named = found.select("token_id", "score_version", F.inline(each)).filter(F.col("id").isNotNull())
+    rows = high.select("token_id", "score_version", *FIELDS).join(named, ["token_id", "score_version", "id"]).dropDuplicates(list(SIGNAL_KEY))
+    live = F.col("id") > (activation_id if isinstance(activation_id, Column) else F.lit(activation_id))
+    return rows.select(
+        *SIGNAL_KEY, "chain", F.when(live, "LIVE").otherwise("BACKFILL").alias("signal_source"), F.col("id").alias("signal_snapshot_id"),
+        F.col("collected_at").alias("signal_at"), "price_usd", "raw_score", "evidence_confidence",
     )
 
 

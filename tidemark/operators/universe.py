@@ -36,8 +36,12 @@ def gate(
     min_open_interest: float = MIN_OPEN_INTEREST,
     allowed: Sequence[str] = (),
     excluded: Sequence[str] = (),
+    first: Sequence[str] = ("listed_at", "turnover_24h_usd"),
 ) -> DataFrame:
-    """Instruments passing every hard gate; the bounds themselves pass."""
+    """Instruments passing every hard gate; the bounds themselves pass.
+
+    Of an instrument listed more than once the first passing row in the order of ``first`` counts.
+    """
     age = micros(as_of) - micros("listed_at")
     ok = (
         F.col("instrument_id").endswith(QUOTE_SUFFIX) & (F.col("asset_class") == asset_class)
@@ -49,7 +53,9 @@ def gate(
         ok = ok & ~F.col("instrument_id").isin(*excluded)
     if allowed:
         ok = ok & F.col("symbol").isin(*allowed)
-    return instruments.filter(ok).withColumn("age_hours", age / float(HOUR))
+    place = F.row_number().over(Window.partitionBy("instrument_id").orderBy(*first))
+    once = instruments.filter(ok).withColumn("__n", place).filter("__n = 1").drop("__n")
+    return once.withColumn("age_hours", age / float(HOUR))
 
 
 def liquidity_scores(gated: DataFrame, pool: Sequence[str] = ("asset_class",)) -> DataFrame:
