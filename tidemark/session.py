@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_CONF = "spark.checkpoint.dir"
 
@@ -54,7 +54,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def staged(df, purpose: str):
+_STAGED: list[str] = []  # paths written by this driver and not yet released
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write an intermediate result once to the shared folder and read it back.
 
     Used where several branches of one plan need the same expensive rows: the files survive lost
@@ -63,4 +66,18 @@ def staged(df, purpose: str):
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_paths() -> list[str]:
+    """What ``staged`` has written so far and ``release`` has not emptied."""
+    return list(_STAGED)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Give back the space of staged results that nothing reads any more, by writing an empty table over each."""
+    for path in paths:
+        if path in _STAGED:
+            spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
+            _STAGED.remove(path)
