@@ -284,7 +284,9 @@ def keep_one_per_group(
     named = group_rows(set_table(docs, width, common_elements(docs, width)), percent)
     rank = F.struct(F.col("id.id").isNull(), F.col("id.id"), F.col("id.at"))
     best = named.groupBy("comp").agg(F.min(rank).alias("best"), F.count("*").alias("k")).filter("k > 1")
-    lost = named.join(best, "comp").filter(F.col("id.at") != F.col("best.at")).select(F.col("id.at").alias("at"))
+    lost = staged(named.join(best, "comp").filter(F.col("id.at") != F.col("best.at")).select(F.col("id.at").alias("at")), "jaccard-lost")
+    if lost.count() <= MOST_SENT:
+        lost = F.broadcast(lost)
     return own.join(lost, "at", "left_anti").select("all.*")
 
 
