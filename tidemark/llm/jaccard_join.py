@@ -100,7 +100,7 @@ def common_elements(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def set_table(docs: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (row, id, n, point, tokens): the set in the common order as 6-byte numbers, and its counts by group."""
+    """Rows (row, id, n, digest, point, tokens): the set in the common order as 6-byte numbers, its counts by group, a sum of its hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     kind = dict(docs.dtypes)["id"]
 
@@ -110,10 +110,11 @@ def set_table(docs: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]
             for at in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(at, _SLICE)
                 h, first = _shingles(batch.column("text"), width)
-                sizes, points, sets = [], [], []
+                sizes, digests, points, sets = [], [], [], []
                 for a, b in zip(first[:-1], first[1:], strict=True):
                     own = distinct(h[a:b])[0]
                     sizes.append(len(own))
+                    digests.append(int(mix(own).sum(dtype=np.uint64).astype(np.int64)))
                     low = own & np.uint64(_LOW)
                     low.sort()
                     if len(keys) and len(low):
@@ -124,9 +125,10 @@ def set_table(docs: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]
                     points.append(np.minimum(np.bincount((low % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), _FULL).astype(np.uint16).tobytes())
                     sets.append(low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(points, pa.binary()), pa.array(sets, pa.binary())], names=["id", "n", "point", "tokens"])
+                    [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(points, pa.binary()), pa.array(sets, pa.binary())],
+                    names=["id", "n", "digest", "point", "tokens"])
 
-    made = docs.select("id", "text").mapInArrow(build, f"id {kind}, n long, point binary, tokens binary")
+    made = docs.select("id", "text").mapInArrow(build, f"id {kind}, n long, digest long, point binary, tokens binary")
     return staged(made.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
 
 
@@ -167,10 +169,10 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
             least = np.minimum(x, y)
             good = (least.sum(axis=1, dtype=np.int64) >= _asked(na, nb, percent)) | (least == _FULL).any(axis=1)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            yield batch.select(["a", "b", "same"]).filter(pa.array(good))
 
-    kind = dict(pairs.dtypes)["b"]
-    return pairs.select("a", "na", "pa", "b", "nb", "pb").mapInArrow(keep, f"a long, b {kind}")
+    same = "same" if "same" in pairs.columns else F.lit(False).alias("same")
+    return pairs.select("a", "na", "pa", "b", "nb", "pb", same).mapInArrow(keep, "a long, b long, same boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,15 +204,20 @@ def _sized(least: str, most: str, other: str, percent: int) -> str:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among pairs (a, na, b, nb) of similar sizes: summed minima, then the sets."""
-    side = lambda x: sets.select(F.col("row").alias(x), F.col("point").alias(f"p{x}"))
-    near = _bounded(pairs.join(side("a"), "a").join(side("b"), "b"), percent)
-    return staged(_verified(staged(near, "jaccard-pairs"), sets, percent), "jaccard-links")
+    """Links among pairs (a, na, b, nb) of similar sizes: summed minima, then the sets, unless these are equal by size, digest and point."""
+    side = lambda x: sets.select(F.col("row").alias(x), F.col("point").alias(f"p{x}"), F.col("digest").alias(f"d{x}"))
+    same = ((F.col("na") == F.col("nb")) & (F.col("da") == F.col("db")) & (F.col("pa") == F.col("pb"))).alias("same")
+    near = staged(_bounded(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "na", "pa", "b", "nb", "pb", same), percent), "jaccard-pairs")
+    equal = near.filter("same").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return staged(equal.unionByName(_verified(near.filter("NOT same"), sets, percent)), "jaccard-links")
 
 
 def _open(blocks: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows (token, row, n, comp) of elements that still lead to more than one node."""
-    named = blocks.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    """Rows (token, row, n, k, comp) of elements that still lead to more than one node."""
+    names = comps.withColumnRenamed("node", "row")
+    if comps.count() <= MOST_SENT:
+        names = F.broadcast(names)
+    named = blocks.join(names, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     apart = named.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("token")
     return named.join(apart, "token")
 
@@ -293,22 +300,28 @@ def keep_one_per_group(
 def group_rows(sets: DataFrame, percent: int) -> DataFrame:
     """Rows (row, id, n, comp) of a set table; comp is the least row reachable over links."""
     postings = leading_elements(sets, percent)
-    shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.min("row").alias("lead")).filter("k > 1").select("token", "lead")
+    shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.min("row").alias("lead")).filter("k > 1")
     blocks = staged(postings.join(shared, "token"), "rtree-blocks")
     first = blocks.filter("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b"), F.col("n").alias("nb")).distinct()
     first = first.join(sets.select(F.col("row").alias("a"), F.col("n").alias("na")), "a").filter(_sized("na", "na", "nb", percent))
     links = _links(first, sets, percent)
     comps = staged(components(links), "jaccard-comps")
-    opened = staged(_open(blocks.drop("lead"), comps), "rtree-open")
+    # Every row has met the leading row of its elements, so these and elements of two rows are done with.
+    rest = blocks.filter("k > 2 AND row <> lead").drop("lead")
+    opened = staged(_open(rest, comps), "rtree-open")
+    # Elements of many rows are led again by others; small ones cost no more in the descent.
+    large = opened.filter(f"k > {SMALL}")
+    led = False
     for turn in range(1, PACKINGS):
-        # Only elements of many rows are led again; small blocks cost no more in the descent.
-        leads = opened.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("row", F.lit(turn)), "row", "n", "comp")).alias("lead")).filter(
-            F.col("k") > SMALL).select("token", "lead")
-        if leads.isEmpty():
+        if large.isEmpty():
             break
-        more = _links(_led(opened.join(leads.select("token", F.col("lead.comp").alias("c")), "token").filter("comp <> c").drop("c"), leads, percent), sets, percent)
+        led = True
+        leads = large.groupBy("token").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)), "row", "n", "comp")).alias("lead"))
+        more = _links(_led(large.join(leads.select("token", F.col("lead.comp").alias("c")), "token").filter("comp <> c").drop("c"), leads, percent), sets, percent)
         links = staged(links.unionByName(more), "jaccard-links")
         comps = staged(components(links), "jaccard-comps")
+        large = staged(_open(large.drop("comp"), comps), "rtree-open")
+    if led:
         opened = staged(_open(opened.drop("comp"), comps), "rtree-open")
     if not opened.isEmpty():
         comps = staged(components(links.unionByName(_descend(opened, sets, percent))), "jaccard-comps")
