@@ -76,6 +76,11 @@ def archive_filter(spark, sf_dir):
     return ge.archive(named, " C:1 ", chain="BSC").select("token_id", "raw_score")
 
 
+@query("p24_archive_by_tier", oracle(f"""SELECT token_id, raw_score FROM tv WHERE effective_tier = 'HIDDEN' AND evidence_confidence IN ('LOW') ORDER BY {ORDER} LIMIT 500""", "tv"))
+def archive_by_tier(spark, sf_dir):
+    return ge.archive(views(spark, sf_dir), effective_tier="hidden", evidence_confidence="low").select("token_id", "raw_score")
+
+
 @query("p25_address_lookup", oracle("""SELECT a.address, CASE count(t.token_id) WHEN 1 THEN 'found' WHEN 0 THEN 'not_found' ELSE 'ambiguous' END AS state, CASE WHEN count(t.token_id) = 1 THEN min(t.token_id) END AS token_id
   FROM (SELECT DISTINCT upper('acc' || (c_custkey % 700)) AS address FROM customer) a LEFT JOIN (SELECT CASE c_custkey % 2 WHEN 0 THEN 'bsc' ELSE 'solana' END AS chain, 'ACC' || (c_custkey % 900) AS address, c_name AS token_id FROM customer) t
   ON (t.chain = 'bsc' AND lower(t.address) = lower(a.address)) OR (t.chain = 'solana' AND t.address = a.address) GROUP BY 1"""))
@@ -121,6 +126,12 @@ def score_change(spark, sf_dir):
     return ge.score_change(ad.snapshots(spark, sf_dir), 40)
 
 
+@query("w23_timeline", oracle("SELECT token_id, id, t AS at_us, raw_score FROM snap QUALIFY row_number() OVER (PARTITION BY token_id ORDER BY t DESC, id DESC) <= 40", "snap"))
+def timeline(spark, sf_dir):
+    rows = ge.newest_per_token(ad.snapshots(spark, sf_dir), 40)
+    return rows.select("token_id", "id", micros("collected_at").alias("at_us"), "raw_score")
+
+
 @query("s12_recent_history", oracle("SELECT id, row_number() OVER (PARTITION BY token_id ORDER BY t DESC, id DESC) AS recency FROM snap QUALIFY row_number() OVER (PARTITION BY token_id ORDER BY t DESC, id DESC) <= 12", "snap"))
 def recent_history(spark, sf_dir):
     return ge.newest_per_token(ad.snapshots(spark, sf_dir), ge.HISTORY_LIMIT).select("id", F.col("recency").cast("bigint").alias("recency"))

@@ -79,6 +79,11 @@ def leaderboard_by_rate(spark, sf_dir):
     return _ranked(spark, sf_dir, "rate", "desc")
 
 
+@query("o6_leaderboard_by_count", _board("appearances DESC, instrument_id"))
+def leaderboard_by_count(spark, sf_dir):
+    return _ranked(spark, sf_dir, "count", "desc")
+
+
 @query("o6_leaderboard_by_return", _board("ret ASC NULLS LAST, appearances DESC, instrument_id"))
 def leaderboard_by_return(spark, sf_dir):
     return _ranked(spark, sf_dir, "return", "asc")

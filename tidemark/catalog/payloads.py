@@ -27,6 +27,7 @@ def pool_documents(spark, sf_dir):
             F.struct(
                 F.concat(F.lit("Pool"), k).alias("address"), iso(created).alias("pool_created_at"), price.alias("base_token_price_usd"),
                 cap.alias("market_cap_usd"), F.struct(F.struct((k % 9).alias("buys"), (k % 4).alias("sells")).alias("m5")).alias("transactions"),
+                F.struct(F.when(k % 3 == 0, "12.5").alias("h1")).alias("volume_usd"),
             ).alias("attributes"),
             F.struct(F.struct(F.struct(ref.alias("id")).alias("data")).alias("base_token")).alias("relationships"),
         )
@@ -63,7 +64,7 @@ def quarantined(spark, sf_dir):
     return pl.new_pools(pool_documents(spark, sf_dir))[1].select("page", "reason")
 
 
-@query("s2_pool_attributes", oracle("SELECT count(*) AS pools, count(*) FILTER (cap_quality = 'fresh') AS with_cap, CAST(sum(k % 9) AS BIGINT) AS buys_m5, CAST(0 AS BIGINT) AS with_volume FROM (SELECT * FROM pools2 WHERE NOT bad AND back + 1 <= 6 QUALIFY row_number() OVER (PARTITION BY run_id, token_id ORDER BY k, pos) = 1)", "pools2"))
+@query("s2_pool_attributes", oracle("SELECT count(*) AS pools, count(*) FILTER (cap_quality = 'fresh') AS with_cap, CAST(sum(k % 9) AS BIGINT) AS buys_m5, count(*) FILTER (k % 3 = 0) AS with_volume FROM (SELECT * FROM pools2 WHERE NOT bad AND back + 1 <= 6 QUALIFY row_number() OVER (PARTITION BY run_id, token_id ORDER BY k, pos) = 1)", "pools2"))
 def pool_attributes(spark, sf_dir):
     rows, _ = pl.new_pools(pool_documents(spark, sf_dir))
     return rows.agg(
