@@ -131,17 +131,24 @@ def first_in_lookback(
 ) -> DataFrame:
     """Earliest row of the key in ``[t - lookback, t)`` as a struct, ties to the lowest id.
 
-    A row is repeated into the next bucket only when it lies within ``lookback`` of the boundary.
+    A forward as-of: every row asks at ``t - lookback`` for the next row, and one running pass from
+    late to early answers all questions of a bucket. A row is repeated into the bucket before only
+    when it lies within ``lookback`` of the boundary.
     """
     on = list(on)
     width = max(bucket, lookback)
     t = micros(time)
-    work = df.withColumn(_T, t).withColumn("__home", bucket_of(t, width))
-    near_end = F.col(_T) + lookback >= (F.col("__home") + 1) * width
-    spread = work.withColumn(
-        _B,
-        F.explode(F.when(near_end, F.array(F.col("__home"), F.col("__home") + 1)).otherwise(F.array("__home"))),
-    )
-    frame = Window.partitionBy(*on, _B).orderBy(_T).rangeBetween(-lookback, -1)
-    found = spread.withColumn(into, F.min_by(F.struct(*take), F.struct(_T, tiebreak)).over(frame))
-    return found.filter(F.col(_B) == F.col("__home")).drop(_T, _B, "__home")
+    points = df.select(
+        *on, t.alias(_T), F.lit(1).alias(_SIDE), F.col(tiebreak).cast("bigint").alias(_TIE), F.struct(t.alias("at"), F.struct(*take).alias("row")).alias(_PAY),
+    ).withColumn("__home", bucket_of(_T, width))
+    near = F.col(_T) - F.col("__home") * width < lookback
+    points = points.withColumn(_B, F.explode(F.when(near, F.array(F.col("__home") - 1, "__home")).otherwise(F.array("__home")))).drop("__home")
+    row = F.struct(*df.columns)
+    asks = df.select(
+        *on, (t - lookback).alias(_T), F.lit(0).alias(_SIDE), F.lit(None).cast("bigint").alias(_TIE), F.lit(None).cast(points.schema[_PAY].dataType).alias(_PAY), row.alias(_ROW),
+    ).withColumn(_B, bucket_of(_T, width))
+    both = asks.unionByName(points.withColumn(_ROW, F.lit(None).cast(asks.schema[_ROW].dataType)))
+    back = Window.partitionBy(*on, _B).orderBy(F.desc(_T), F.desc(_SIDE), F.desc(_TIE)).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__next", F.last(_PAY, ignorenulls=True).over(back)).filter(F.col(_ROW).isNotNull())
+    earlier = F.when(F.col("__next.at") < F.col(_T) + lookback, F.col("__next.row"))
+    return found.select(f"{_ROW}.*", earlier.alias(into))
