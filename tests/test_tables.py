@@ -50,6 +50,17 @@ def test_signal_stream_over_many_batches_equals_batch_and_resumes(spark):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
+def test_episodes_do_not_depend_on_batches(spark):
+    source = shared_dir(spark, "presences")
+    for part in ([1, 2, 10, 11], [3, 4], [20, 4], [30]):
+        spark.createDataFrame([("c", "I", s) for s in part], ["asset_class", "instrument_id", "seq"]).coalesce(1).write.mode("append").parquet(source)
+    for files in (1, 9):
+        root = shared_dir(spark, "episodes")
+        jobs.presence_stream(jobs.file_stream(spark, source, files_per_batch=files), f"{root}/table", f"{root}/checkpoint")
+        got = sorted((r["first_seq"], r["last_seq"], r["appearances"], r["closed"]) for r in jobs.read_episodes(spark, f"{root}/table").collect())
+        assert got == [(1, 4, 4, True), (10, 11, 2, True), (20, 20, 1, True), (30, 30, 1, False)]
+
+
 def test_snapshot_append_partitions_by_day(spark):
     path = shared_dir(spark, "snaps")
     tb.append_snapshots(ad.snapshots(spark, SF), path)

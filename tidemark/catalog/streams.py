@@ -72,16 +72,17 @@ def latest_state_stream(spark, sf_dir):
     return jobs.read_latest_state(spark, f"{root}/table").select("token_id", "seq")
 
 
-@query("t9_episode_stream", oracle("""SELECT instrument_id, s AS first_seq, l AS last_seq, n AS appearances FROM (SELECT instrument_id, ep, min(seq) AS s, max(seq) AS l, count(*) AS n,
+@query("t9_episode_stream", oracle("""SELECT instrument_id, s AS first_seq, l AS last_seq, n AS appearances, ep < last_ep AS closed FROM (SELECT instrument_id, ep, min(seq) AS s, max(seq) AS l, count(*) AS n,
   max(ep) OVER (PARTITION BY instrument_id) AS last_ep FROM (SELECT *, sum(isnew) OVER (PARTITION BY instrument_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS ep FROM
-  (SELECT m.instrument_id, e.seq, CASE WHEN coalesce(e.seq - lag(e.seq) OVER (PARTITION BY instrument_id ORDER BY e.seq) > 3, true) THEN 1 ELSE 0 END AS isnew FROM members m JOIN eff e USING (run_id))) GROUP BY 1, 2) WHERE ep < last_ep""", "eff", "members"))
+  (SELECT m.instrument_id, e.seq, CASE WHEN coalesce(e.seq - lag(e.seq) OVER (PARTITION BY instrument_id ORDER BY e.seq) > 3, true) THEN 1 ELSE 0 END AS isnew FROM members m JOIN eff e USING (run_id))) GROUP BY 1, 2)""", "eff", "members"))
 def episode_stream(spark, sf_dir):
     runs = hi.effective_runs(ad.opportunity_runs(spark, sf_dir), None, HOUR)
     seen = ad.run_members(spark, sf_dir).join(runs.select("asset_class", "run_id", "seq"), "run_id")
     root = shared_dir(spark, "presences")
     seen.select("asset_class", "instrument_id", "seq").write.parquet(root)
-    closed = jobs.drain(jobs.episode_stream(jobs.file_stream(spark, root)), "episodes")
-    return closed.select("instrument_id", "first_seq", "last_seq", "appearances")
+    table = shared_dir(spark, "episodes")
+    jobs.presence_stream(jobs.file_stream(spark, root, files_per_batch=2), f"{table}/table", f"{table}/checkpoint")
+    return jobs.read_episodes(spark, f"{table}/table").select("instrument_id", "first_seq", "last_seq", "appearances", "closed")
 
 
 @query("t5_sliding_windows", oracle("""SELECT pool, ws AS window_us, CAST(sum(b) AS BIGINT) AS buys, count(*) FILTER (b > 0) AS unique_buyers FROM (SELECT pool, (t // 21600000000 - o) * 21600000000 AS ws, address, count(*) FILTER (side = 'buy') AS b

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.timecol import HOUR
@@ -49,12 +50,12 @@ def statistics(
 
 def materialize(statistic_rows: DataFrame, run_id: int, path: str) -> None:
     """Append one immutable analysis run as its own partition."""
-    spark = statistic_rows.sparkSession
-    rows = statistic_rows.withColumn("analysis_run_id", F.lit(run_id))
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/analysis_run_id={run_id}")
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        raise ValueError(f"analysis run {run_id} already exists and is immutable")
-    rows.write.mode("append").partitionBy("analysis_run_id").parquet(path)
+    try:
+        statistic_rows.write.mode("errorifexists").parquet(f"{path}/analysis_run_id={run_id}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        raise ValueError(f"analysis run {run_id} already exists and is immutable") from e
 
 
 def latest_analysis(stored: DataFrame) -> DataFrame:

@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.timecol import MINUTE, micros
 from tidemark.operators import study as st
 from tidemark.session import shared_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def file_stream(spark: SparkSession, path: str, pattern: str = "*.parquet", files_per_batch: int = 64) -> DataFrame:
     """Stream of the parquet files of a folder; the schema is taken from the files already there."""
@@ -109,10 +108,12 @@ def signal_stream(
 
 
 def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    try:
+        return spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.option("basePath", path).parquet(path)
 
 
 # ---- outcomes -----------------------------------------------------------------------------------
@@ -179,40 +180,35 @@ def state_before(state: DataFrame, at: Column) -> DataFrame:
 
 # ---- count-gap episodes -------------------------------------------------------------------------
 
-EPISODE_SCHEMA = "asset_class string, instrument_id string, first_seq bigint, last_seq bigint, appearances bigint"
+
+def presence_stream(presences: DataFrame, table: str, checkpoint: str) -> None:
+    """Append each micro-batch of (asset_class, instrument_id, seq) to a table, one partition per batch.
+
+    The rows of a batch are made distinct; what an episode is depends on all scans, so it is decided
+    when the table is read and not by the order in which files arrive.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.select("asset_class", "instrument_id", "seq").distinct().write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+    each_batch(presences, handle, checkpoint)
 
 
-def episode_stream(presences: DataFrame, max_gap: int = 3) -> DataFrame:
-    """Closed listing episodes per instrument, by number of missed scans instead of time.
+def read_episodes(spark: SparkSession, table: str, max_gap: int = 3) -> DataFrame:
+    """Listing episodes per instrument, by number of missed scans instead of time.
 
-    One small state per instrument: first and last scan of the open episode and its count. An
-    episode closes when the instrument reappears more than ``max_gap`` scans later; a presence
-    row is at most one per instrument and scan.
+    An episode ends when the instrument is absent from ``max_gap`` scans in a row. ``closed`` tells
+    whether a later episode of the instrument has begun; the last one is still open. An instrument
+    has one row per scan at most, so its rows grow with time alone.
     """
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class Episodes(StatefulProcessor):
-        def init(self, handle):
-            self.open = handle.getValueState("open", "first_seq bigint, last_seq bigint, appearances bigint")
-
-        def handleInputRows(self, key, rows, timer_values):
-            first, last, seen = self.open.get() if self.open.exists() else (None, None, 0)
-            closed = []
-            for seq in sorted(int(s) for part in rows for s in part["seq"]):
-                if last is not None and seq - last > max_gap:
-                    closed.append((*key, first, last, seen))
-                    first, last, seen = None, None, 0
-                first, last, seen = (seq if first is None else first), seq, seen + 1
-            self.open.update((first, last, seen))
-            yield pd.DataFrame(
-                closed, columns=["asset_class", "instrument_id", "first_seq", "last_seq", "appearances"]
-            ).astype({"first_seq": "int64", "last_seq": "int64", "appearances": "int64"})
-
-        def close(self):
-            pass
-
-    presences.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return presences.groupBy("asset_class", "instrument_id").transformWithStateInPandas(
-        statefulProcessor=Episodes(), outputStructType=EPISODE_SCHEMA, outputMode="Append", timeMode="None"
+    seen = spark.read.option("basePath", table).parquet(table).select("asset_class", "instrument_id", "seq").distinct()
+    order = Window.partitionBy("asset_class", "instrument_id").orderBy("seq")
+    gap = F.col("seq") - F.lag("seq").over(order)
+    numbered = seen.withColumn("new", F.when(gap.isNull() | (gap > max_gap), 1).otherwise(0)).withColumn(
+        "episode", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    found = numbered.groupBy("asset_class", "instrument_id", "episode").agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("appearances")
     )
+    later = F.lead("episode").over(Window.partitionBy("asset_class", "instrument_id").orderBy("episode"))
+    return found.withColumn("closed", later.isNotNull()).drop("episode")
