@@ -20,9 +20,13 @@ SF = "/root/testdata/sf0.001"
 def test_publish_replaces_only_its_runs(spark):
     path = shared_dir(spark, "opps")
     runs = spark.createDataFrame([(1, "completed", 1), (2, "failed", 1), (3, "degraded", 1)], ["run_id", "status", "finished_at"])
-    tb.publish_runs(spark.createDataFrame([(1, "A"), (1, "B"), (2, "X"), (3, "C")], ["run_id", "instrument_id"]), runs, path)
-    tb.publish_runs(spark.createDataFrame([(1, "Z")], ["run_id", "instrument_id"]), runs, path)
-    assert sorted(map(tuple, spark.read.parquet(path).select("run_id", "instrument_id").collect())) == [(1, "Z"), (3, "C")]
+    rows = lambda *r: spark.createDataFrame(list(r), "run_id long, instrument_id string")
+    stored = lambda: sorted(map(tuple, tb.published(spark, path).select("run_id", "instrument_id").collect()))
+    tb.publish_runs(rows((1, "A"), (1, "B"), (2, "X"), (3, "C")), runs, path, 1)
+    tb.publish_runs(rows((1, "Z")), runs.filter("run_id = 1"), path, 2)
+    assert stored() == [(1, "Z"), (3, "C")]
+    tb.publish_runs(rows(), runs.filter("run_id = 3"), path, 3)
+    assert stored() == [(1, "Z")]
 
 
 def test_analysis_runs_are_immutable(spark):

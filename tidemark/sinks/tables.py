@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators.scoring import MAX_CHALLENGERS
 from tidemark.operators.study import report_order
@@ -126,15 +126,30 @@ def snapshot_row(snapshots: DataFrame) -> DataFrame:
 # ---- writers ------------------------------------------------------------------------------------
 
 
-def append_snapshots(snapshots: DataFrame, path: str) -> None:
-    """Append by date; rows of one day are spread over files by token so a day stays parallel."""
-    snapshot_row(snapshots).write.mode("append").partitionBy("dt").parquet(path)
+def append_snapshots(snapshots: DataFrame, path: str, files_per_day: int = 16) -> None:
+    """Append by date; rows of one day are spread over files by token so a day stays parallel and its files few."""
+    spread = F.pmod(F.xxhash64("token_id"), F.lit(files_per_day))
+    snapshot_row(snapshots).repartition("dt", spread).write.mode("append").partitionBy("dt").parquet(path)
 
 
-def publish_runs(opportunities: DataFrame, runs: DataFrame, path: str) -> None:
-    """Replace the rows of each published run as a whole."""
+def publish_runs(opportunities: DataFrame, runs: DataFrame, path: str, generation: int) -> None:
+    """Replace the rows of each published run as a whole, also by none.
+
+    Rows are written under a generation of their own; the list of the runs it publishes comes last and
+    makes it visible. Writing a generation twice is refused.
+    """
     rows, _ = publishable(opportunities, runs)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    rows.write.mode("errorifexists").parquet(f"{path}/rows/generation={generation}")
+    ok = runs.filter(F.col("status").isin("completed", "degraded") & F.col("finished_at").isNotNull())
+    ok.select("run_id").distinct().write.mode("errorifexists").parquet(f"{path}/runs/generation={generation}")
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest generation of every run."""
+    runs = spark.read.option("basePath", f"{path}/runs").parquet(f"{path}/runs")
+    newest = runs.groupBy("run_id").agg(F.max("generation").alias("generation"))
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    return rows.join(newest, ["run_id", "generation"]).drop("generation")
 
 
 def write_report_json(statistics: DataFrame, path: str) -> None:
