@@ -203,3 +203,9 @@ def test_token_upsert_keeps_first_seen(spark):
     schema = "token_id string, first_seen_price_usd double, name string, seen_at int"
     out = tb.upsert_tokens(spark.createDataFrame([("t", None, "old", 1)], schema), spark.createDataFrame([("t", 5.0, "new", 2)], schema)).collect()[0]
     assert out["first_seen_price_usd"] is None and out["name"] == "new"
+
+
+def test_algorithm_key_compares_whole_configs(spark):
+    texts = ['{"version": "a", "x": {"p": 1.0, "q": [2, 2.50]}}', '{"x": {"q": [2.0, 2.5], "p": 1}, "version": "b"}', '{"version": "a", "x": {"p": 1.0, "q": [2, 2.5], "r": 0}}', "[1]", "no"]
+    keys = [r["k"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(rg.algorithm_key(F.col("t")).alias("k")).collect()]
+    assert keys[0] == keys[1] != keys[2] and keys[3] is None and keys[4] is None

@@ -96,9 +96,12 @@ def config_violations(text: Column) -> Column:
 
 
 def algorithm_key(text: Column) -> Column:
-    """Hash of the config without its version; equal keys mean numerically identical scoring."""
-    cfg = F.from_json(text, sc.CONFIG_SCHEMA)
-    return F.sha2(F.to_json(cfg.dropFields("version")), 256)
+    """Hash of the whole config without its version; equal keys mean numerically identical scoring.
+
+    Key order and number format do not matter, further keys do. Text that is no object has no key.
+    """
+    parts = F.map_filter(F.try_parse_json(text).try_cast("map<string,variant>"), lambda k, _: k != "version")
+    return F.sha2(F.regexp_replace(F.to_json(parts), r"(\d)\.0(?=[,}\]])", "$1"), 256)
 
 
 def identical_algorithms(versions: DataFrame) -> DataFrame:
