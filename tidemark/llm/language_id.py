@@ -166,7 +166,7 @@ def train(docs: DataFrame, ident: str, text: str, lang: str, folds: int = 5, fol
 def predict(docs: DataFrame, net: ByteConvNet | None, text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to all rows and columns of ``docs``."""
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    base = docs.select(F.struct("*").alias("row"), F.col(text).alias("t"), letter.alias("letter"))
+    base = docs.select(F.struct("*").alias("row"), letter.alias("letter"))
     schema = T.StructType([base.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, text: str = "text") -> Dat
                 names = np.full(batch.num_rows, UNKNOWN, dtype=object)
                 scores = np.zeros(batch.num_rows)
                 if scorer and letters.any():
-                    p = scorer.predict(*raw(batch.column("t")))
+                    p = scorer.predict(*raw(batch.column("row").field(text)))
                     names[letters] = np.array(net.classes, dtype=object)[p.argmax(axis=1)][letters]
                     scores[letters] = p.max(axis=1)[letters]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(scores)], names=["row", "lang_pred", "score"])

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CACHE = 400_000
+CACHE = 100_000
 UNKNOWN_PENALTY = 10.0
 _WORDS = re.compile(r" *[^ ]+| +")
 
@@ -199,7 +199,7 @@ def _shared(df: DataFrame, model: PieceModel):
 
 def encode(df: DataFrame, model: PieceModel, text: str = "text", verify: bool = False) -> DataFrame:
     """Adds to the input ``row`` its ``piece_ids``; with ``verify`` also ``round_trip``, whether decoding them gives the text."""
-    base = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    base = df.select(F.struct("*").alias("row"))
     schema = T.StructType([base.schema["row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType())), *([T.StructField("round_trip", T.BooleanType())] if verify else [])])
     shared = _shared(df, model)
 
@@ -208,7 +208,7 @@ def encode(df: DataFrame, model: PieceModel, text: str = "text", verify: bool =
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = batch.column("t").to_pylist()
+                texts = [t or "" for t in batch.column("row").field(text).to_pylist()]
                 packed = [c.encode(t) for t in texts]
                 offsets = np.zeros(len(packed) + 1, dtype=np.int32)
                 np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
