@@ -85,10 +85,10 @@ def common_elements(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
             del parts
             flat &= np.uint64(_LOW)
             flat.sort()  # in place: a batch holds millions of elements
-            ends = np.flatnonzero(np.concatenate((flat[1:] != flat[:-1], np.ones(min(1, len(flat)), bool))))
-            n = np.diff(ends, prepend=-1)
-            again = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(flat[ends[again]].view(np.int64)), pa.array(n[again]), pa.array(np.zeros(again.sum(), np.int64))], names=["token", "n", "all"])
+            equal = np.flatnonzero(flat[1:] == flat[:-1])
+            heads = np.flatnonzero(np.diff(equal, prepend=-2) != 1)
+            again, n = flat[equal[heads]], np.diff(np.append(heads, len(equal))) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64))], names=["token", "n", "all"])
             yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0]), pa.array([len(flat)])], names=["token", "n", "all"])
 
     seen = staged(docs.select("text").mapInArrow(count, "token long, n long, all long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).filter(
