@@ -3,6 +3,7 @@
 import hashlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from tests.llm.data import DOCS, WORD, clashing, documents, folded, frame
@@ -100,3 +101,13 @@ def test_one_of_each_group_stays(spark):
     assert all(i is None or i in want or sizes[str(i)] == 0 for i in got) and got.count(910) + got.count(None) <= 2
     empty = spark.createDataFrame([], DOCS)
     assert jaccard_join.similar_groups(empty).count() == 0 and jaccard_join.keep_one_per_group(empty).count() == 0
+
+
+def test_tables_with_fewer_words_than_a_shingle(spark):
+    for n in range(1, 6):
+        text = " ".join(f"w{i}" for i in range(n))
+        rows = [(1, text, "en", "s", n), (2, None, "en", "s", 0), (3, "", "en", "s", 0)]
+        assert key(similar(spark.createDataFrame(rows, DOCS).coalesce(1))) == key(brute_groups(rows))
+    hashes = [jaccard_join._shingles(pa.array([" ".join("abcd"[:n])]), 5)[0].tolist() for n in range(1, 5)]
+    beside = jaccard_join._shingles(pa.array([*(" ".join("abcd"[:n]) for n in range(1, 5)), "a b c d e f g"]), 5)[0].tolist()
+    assert sum(hashes, []) == beside[:4]  # short texts hash alike beside longer ones

@@ -56,7 +56,8 @@ def _shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     h, n = w.hashes(), w.counts()
     whole = np.zeros(len(h), np.uint64)
     for j in range(width):
-        whole[: len(h) - j] = whole[: len(h) - j] * np.uint64(_STEP) + h[j:]
+        m = max(0, len(h) - j)  # all texts together may hold fewer words than a shingle
+        whole[:m] = whole[:m] * np.uint64(_STEP) + h[j : j + m]
     whole = mix(whole ^ np.uint64(width))
     counts = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     first = np.concatenate(([0], np.cumsum(counts)))
