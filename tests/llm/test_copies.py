@@ -1,6 +1,7 @@
 """Exact duplicates and similar groups against brute force."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import pyarrow as pa
@@ -111,3 +112,24 @@ def test_tables_with_fewer_words_than_a_shingle(spark):
     hashes = [jaccard_join._shingles(pa.array([" ".join("abcd"[:n])]), 5)[0].tolist() for n in range(1, 5)]
     beside = jaccard_join._shingles(pa.array([*(" ".join("abcd"[:n]) for n in range(1, 5)), "a b c d e f g"]), 5)[0].tolist()
     assert sum(hashes, []) == beside[:4]  # short texts hash alike beside longer ones
+
+
+def brute_links(rows, percent=80, width=5):
+    sets = []
+    for r in rows:
+        words = WORD.findall(folded(r[1]))
+        sets.append({tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set())
+    linked = [[bool(a & b) and 100 * len(a & b) >= percent * len(a | b) for b in sets] for a in sets]
+    return sorted((str(r[0]), sum(linked[i]) - linked[i][i]) for i, r in enumerate(rows))
+
+
+def test_links_of_every_row(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"v{i}" for i in range(150)]
+    rows = documents() + [(2000 + i, " ".join(w if rng.random() > 0.02 else f"new{i}" for w in base), "en", "s", 1) for i in range(25) for _ in range(1 + i % 3)]
+    rows += [(3000 + i, " ".join(f"w{k}" for k in range(i * 6, i * 6 + 120)), "en", "s", 1) for i in range(12)]
+    for page in (jaccard_join.PAGE, 4):
+        monkeypatch.setattr(jaccard_join, "PAGE", page)
+        got = sorted((str(r["doc_id"]), r["n_links"]) for r in jaccard_join.similar_groups(clashing(frame(spark, rows))).collect())
+        assert got == brute_links(rows)
+    assert any(n > 20 for _, n in got)

@@ -18,6 +18,10 @@ point that shares enough of those elements with another node descends: the bound
 most ``PAGE`` points of near sizes), then the points', then the sets. Points of one node are
 linked already and never compared again, so large groups of near copies cost no pair table.
 
+Links are counted in the components. Rows with equal sets are one class; of every component with more
+than two classes all pairs of class representatives are compared, page against page, as products of
+their element matrices in a task, so no table holds a row per pair. A class counts with its size.
+
 Defined results: texts without words, and null texts, have an empty set and link with nothing. With
 fewer words than a shingle has, the whole sequence is the only shingle. Rows with a null identifier
 take part; a component's name is its least identifier that is not null. Sets are compared by the
@@ -42,9 +46,11 @@ GROUPS = 64
 PACKINGS = 3
 PAGE = 128
 SMALL = 32
+ELEMENTS = 500_000  # elements of a page of representatives, on average
 MOST_SENT = 2_000_000  # row numbers that may be broadcast (16 MB)
 LEAST_COMMON, MOST_COMMON = 64, 1_000_000  # occurrences that make an element common; bound of the table of common ones
 _SLICE = 1000
+_COLUMNS = 16_384
 _LOW = (1 << 48) - 1
 _FULL = 65535  # a coordinate this large stands for any greater one
 _STEP = 0x9E3779B97F4A7C15
@@ -272,12 +278,66 @@ def _descend(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar_groups(
     df: DataFrame, percent: int = 80, width: int = 5, ident: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """Per row: identifier, ``n_shingles`` and ``component_id``, the least identifier reachable over links."""
+    """Per row: identifier, ``n_shingles``, ``component_id``, the least identifier reachable over links, and ``n_links``, the rows it links with."""
     docs = df.select(F.col(ident).alias("id"), F.col(text).alias("text"))
     sets = set_table(docs, width, common_elements(docs, width))
-    named = group_rows(sets, percent)
+    named = staged(group_rows(sets.withColumn("mark", F.xxhash64("point")), percent, "digest", "mark"), "jaccard-named")
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    return named.join(least, "comp").select(F.col("id").alias(ident), F.col("n").alias("n_shingles"), "component_id")
+    linked = staged(link_counts(named, sets, percent), "jaccard-counts")
+    if linked.count() <= MOST_SENT // 4:
+        linked = F.broadcast(linked)
+    return named.join(linked, ["comp", "n", "digest", "mark"], "left").join(least, "comp").select(
+        F.col("id").alias(ident), F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def link_counts(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (comp, n, digest, mark, n_links) of the classes of equal sets whose rows link with any other row."""
+    classes = staged(named.filter("n > 0").groupBy("comp", "n", "digest", "mark").agg(F.min("row").alias("row"), F.count("*").alias("k")), "jaccard-classes")
+    spans = classes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("all"), F.sum("k").alias("rows")).filter("rows > 1")
+    pages = F.least("m", F.ceil(F.greatest(F.col("all") / ELEMENTS, F.col("m") / PAGE))).cast("int")
+    spanned = staged(classes.join(spans, "comp").withColumn("pages", pages), "jaccard-spans")
+    # Two classes of a component are linked, as nothing else joins them.
+    reps = spanned.filter("m > 2").select("row", "k", "comp", "pages", F.pmod(F.xxhash64("row", F.lit(PAGE)), "pages").cast("int").alias("page"))
+    if reps.count() <= MOST_SENT // 4:
+        reps = F.broadcast(reps)
+    meets = sets.select("row", "tokens").join(reps, "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
+    meets = meets.select("comp", F.least("page", "other").alias("lo"), F.greatest("page", "other").alias("hi"), "page", "row", "k", "tokens")
+
+    def count(group: pa.Table) -> pa.Table:
+        rows, k, page = (group.column(c).to_numpy() for c in ("row", "k", "page"))
+        own = [_numbers(t.as_buffer()) for t in group.column("tokens")]
+        n = np.array([len(t) for t in own], np.int64)
+        good = _similar(own, n, percent)
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        if lo < hi:
+            good &= page[:, None] != page[None, :]
+        np.fill_diagonal(good, False)
+        links = good @ k
+        some = links > 0
+        return pa.table({"row": rows[some], "links": links[some]})
+
+    met = meets.groupBy("comp", "lo", "hi").applyInArrow(count, "row long, links long").groupBy("row").agg(F.sum("links").alias("links"))
+    others = F.when(F.col("m") == 2, F.col("rows") - F.col("k")).otherwise(F.coalesce("links", F.lit(0)))
+    return spanned.join(met, "row", "left").select("comp", "n", "digest", "mark", (F.col("k") - 1 + others).alias("n_links")).filter("n_links > 0")
+
+
+def _similar(own: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+    """Which of these sets are similar enough to which: intersections are products of the matrix of sets by elements."""
+    owner = np.repeat(np.arange(len(own)), n)
+    _, place, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    kept = times > 1  # others are in no intersection
+    number = np.cumsum(kept) - 1
+    inside = kept[place]
+    owner, place = owner[inside], number[place[inside]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    common = np.zeros((len(own), len(own)), np.int64)
+    for at in range(0, int(kept.sum()), _COLUMNS):
+        a, b = np.searchsorted(place, (at, at + _COLUMNS))
+        held = np.zeros((len(own), min(_COLUMNS, int(kept.sum()) - at)), np.float32)
+        held[owner[a:b], place[a:b] - at] = 1
+        common += (held @ held.T).astype(np.int64)  # exact: below 2 to the power 24
+    return 100 * common >= percent * (n[:, None] + n[None, :] - common)
 
 
 def keep_one_per_group(
@@ -298,8 +358,8 @@ def keep_one_per_group(
     return own.join(lost, "at", "left_anti").select("all.*")
 
 
-def group_rows(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (row, id, n, comp) of a set table; comp is the least row reachable over links."""
+def group_rows(sets: DataFrame, percent: int, *also: str) -> DataFrame:
+    """Rows (row, id, n, comp) of a set table and other columns asked for; comp is the least row reachable over links."""
     postings = leading_elements(sets, percent)
     shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.min("row").alias("lead")).filter("k > 1")
     blocks = staged(postings.join(shared, "token"), "rtree-blocks")
@@ -326,5 +386,5 @@ def group_rows(sets: DataFrame, percent: int) -> DataFrame:
         opened = staged(_open(opened.drop("comp"), comps), "rtree-open")
     if not opened.isEmpty():
         comps = staged(components(links.unionByName(_descend(opened, sets, percent))), "jaccard-comps")
-    slim = sets.select("row", "id", "n")
+    slim = sets.select("row", "id", "n", *also)
     return slim.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
