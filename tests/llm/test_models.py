@@ -149,3 +149,13 @@ def test_suffix_tree_probabilities():
 def test_lm_beats_base_on_held_out_texts(spark):
     out = suffix_tree.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out").agg({"base_score": "sum", "score": "sum"}).first()
     assert out["sum(score)"] > out["sum(base_score)"]
+
+
+def test_lm_trees_keep_one_threshold(spark, monkeypatch):
+    """Trees above the bound of a broadcast are looked up by joins and score alike; none of their contexts goes."""
+    score = lambda: sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in suffix_tree.score(frame(spark)).collect())
+    whole = score()
+    monkeypatch.setattr(suffix_tree, "MOST", 600)
+    monkeypatch.setattr(suffix_tree, "HEAD", 300)
+    tables = score()
+    assert [x[:2] for x in whole] == [x[:2] for x in tables] and all(math.isclose(x[2], y[2], rel_tol=1e-9) for x, y in zip(whole, tables, strict=True))

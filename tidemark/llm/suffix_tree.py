@@ -14,9 +14,10 @@ suffix's, down to the root, which leaves a share for unseen symbols. A symbol is
 longest state that is a suffix of what was read.
 
 All training words are counted in Spark; every distinct word is scored once, and texts look up their
-words: the most frequent ones in a broadcast of at most ``HEAD``, all others by a join. A tree's
-retained counts are bounded by ``MOST``: where more pass the divergence test, its threshold is
-doubled until they fit. That bounds the model, not the data.
+words: the most frequent ones in a broadcast of at most ``HEAD``, all others by a join. The divergence
+test has one threshold at every size. A tree of at most ``MOST`` retained counts is broadcast; a larger one
+stays in a written table, its symbols are valued level by level in Spark, and contexts with their symbols
+are looked up as words are. Scores do not depend on which of both it is.
 
 Defined results: null and empty texts hold only the end. A null identifier is not held out. Without
 training rows all counts are 0 and the trees are their uniform roots. Repeated rows count as often as they stand.
@@ -139,16 +140,47 @@ def retained(ngrams: DataFrame, depth: int, bits: int) -> DataFrame:
         F.sum(F.col("n") * F.log(F.col("n") / F.col("all") / F.col("q"))).alias("gain"), F.first("all").alias("all"), F.first("kinds").alias("kinds"),
     )
     tested = staged(gain.select("k", "ctx", (F.col("gain") / (0.5 * F.col("kinds") * F.log(F.col("all") + 1))).alias("ratio"), "kinds").filter("ratio > 1"), "pst-tests")
-    cut = 1.0
-    while True:
-        own = F.explode(F.array(*[
-            F.when(F.col("k") >= k, F.struct(F.lit(k).alias("k"), F.col("ctx").bitwiseAND(F.lit(_mask(k))).alias("ctx"))) for k in range(1, depth + 1)
-        ]))
-        states = tested.filter(F.col("ratio") > cut).select(own.alias("s")).filter("s IS NOT NULL").select("s.*").distinct()
-        held = counts.join(states, ["k", "ctx"], "left_semi").unionByName(counts.filter("k = 0"))
-        if tested.isEmpty() or held.count() <= MOST:
-            return held
-        cut *= 2
+    own = F.explode(F.array(*[
+        F.when(F.col("k") >= k, F.struct(F.lit(k).alias("k"), F.col("ctx").bitwiseAND(F.lit(_mask(k))).alias("ctx"))) for k in range(1, depth + 1)
+    ]))
+    states = tested.select(own.alias("s")).filter("s IS NOT NULL").select("s.*").distinct()
+    return staged(counts.join(states, ["k", "ctx"], "left_semi").unionByName(counts.filter("k = 0")), "pst-held")
+
+
+def log_table(keys: DataFrame, held: DataFrame, depth: int, bits: int) -> DataFrame:
+    """Rows (key, lp) of distinct keys: what ``SuffixTree.log10`` gives, for trees of any size.
+
+    From the root down, each level has its own distinct keys, so a context meets at most all symbols
+    in a join and a key at most the 256 contexts that are one byte longer.
+    """
+    low = lambda k: F.col("key").bitwiseAND(F.lit((1 << (8 * k + bits)) - 1))
+    cells = held.select("k", F.shiftleft("ctx", bits).bitwiseOR(F.col("sym")).alias("key"), "n")
+    root = held.filter("k = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("seen"), F.count("*").alias("kinds")).first()
+    below = root["seen"] + _ALPHA * (root["kinds"] + 1)
+    out = keys.select(low(0).alias("key")).distinct().join(cells.filter("k = 0").select("key", "n"), "key", "left").select(
+        "key", F.when(F.col("n").isNull(), _ALPHA / below / (1 << bits)).otherwise((F.col("n") + _ALPHA) / below).alias("p"))
+    for k in range(1, depth + 1):
+        states = held.filter(F.col("k") == k).groupBy("ctx").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+        level = keys.select(low(k).alias("key")).distinct().withColumn("up", low(k - 1)).withColumn("ctx", F.shiftright("key", bits))
+        level = level.join(out.withColumnRenamed("key", "up"), "up").join(states, "ctx", "left").join(cells.filter(F.col("k") == k).select("key", "n"), "key", "left")
+        out = level.select("key", F.when(F.col("all").isNull(), F.col("p")).otherwise(
+            (F.coalesce("n", F.lit(0)) + F.col("kinds") * F.col("p")) / (F.col("all") + F.col("kinds"))).alias("p"))
+    return out.select("key", F.log10("p").alias("lp"))
+
+
+def spelled_words(counted: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows (hash, spelled): ``SuffixTree.words`` of every distinct word, for trees of any size."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, word, nth = _symbols(batch.column("word"))
+            late = nth > 1
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("hash").to_numpy()[word[late]]), pa.array(keys[late].view(np.int64))], names=["hash", "key"])
+
+    # A key occurs in many words, so it is counted once a word and joined as often as words of it are.
+    symbols = staged(counted.select("hash", "word").mapInArrow(read, "hash long, key long").groupBy("hash", "key").agg(F.count("*").alias("times")), "pst-symbols")
+    values = staged(log_table(symbols.select("key").distinct(), held, SPELL_DEPTH, SPELL_BITS), "pst-spellings")
+    return symbols.join(values, "key").groupBy("hash").agg(F.sum(F.col("times") * F.col("lp")).alias("spelled"))
 
 
 @dataclass
@@ -245,7 +277,7 @@ def _text_keys(w: Words, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_classes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Rows (key, n): context and class of every word and end of the training texts."""
+    """Rows (key, n): context and class of every word and end of the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +286,7 @@ def count_classes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             for f in found:
                 yield pa.RecordBatch.from_arrays([pa.array(f.index.to_numpy()), pa.array(f.to_numpy())], names=["key", "n"])
 
-    return docs.filter("NOT held").select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def score(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,12 +300,20 @@ def score(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame
     n, v = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
     frequent = most_frequent(counted.filter("c > 0"), "c", CLASSES).select("hash").toArrow().to_pandas()["hash"].sort_values().to_numpy(np.int64)
 
-    def tree(ngrams: DataFrame, depth: int, bits: int) -> SuffixTree:
-        held = retained(staged(ngrams, "pst-ngrams"), depth, bits).toArrow().to_pandas()  # at most MOST rows
-        return SuffixTree.fit(held, depth, bits)
-
-    spelling = send(tree(count_ngrams(counted), SPELL_DEPTH, SPELL_BITS))
-    texts = send(tree(count_classes(docs, frequent), TEXT_DEPTH, CLASS_BITS))
+    def tree(held: DataFrame, depth: int, bits: int) -> SuffixTree | None:
+        return SuffixTree.fit(held.toArrow().to_pandas(), depth, bits) if held.count() <= MOST else None
+
+    spells = retained(staged(count_ngrams(counted), "pst-ngrams"), SPELL_DEPTH, SPELL_BITS)
+    steps = retained(staged(count_classes(docs.filter("NOT held"), frequent), "pst-ngrams"), TEXT_DEPTH, CLASS_BITS)
+    spelling, texts = send(tree(spells, SPELL_DEPTH, SPELL_BITS)), send(tree(steps, TEXT_DEPTH, CLASS_BITS))
+    few_spells, few_steps = spelling.value is not None, texts.value is not None
+    graded_words = counted.withColumn("spelled", F.lit(0.0)) if few_spells else counted.join(spelled_words(counted, spells), "hash", "left").withColumn("spelled", F.coalesce("spelled", F.lit(0.0)))
+    far_steps, near_steps = None, send((np.zeros(0, np.int64), np.zeros(0)))
+    if not few_steps:
+        read = staged(count_classes(docs, frequent), "pst-read")
+        far_steps = staged(read.join(log_table(read.select("key"), steps, TEXT_DEPTH, CLASS_BITS), "key"), "pst-steps")
+        most = most_frequent(far_steps, "n", HEAD).toArrow().to_pandas().sort_values("key")
+        near_steps = send((most["key"].to_numpy(np.int64), most["lp"].to_numpy(float)))
     # Words and occurrences of each class of rarer words; a class is two bytes.
     last_two = F.when(F.length("word") > 1, F.substring("word", -2, 2)).otherwise(F.concat(F.lit(bytes([START])), F.col("word")))
     rare = counted.filter("c > 0").filter(~F.col("hash").isin([int(x) for x in frequent]))
@@ -288,7 +328,7 @@ def score(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame
         own, all_n, all_kinds = classes.value
         for batch in batches:
             c, h = batch.column("c").to_numpy(), batch.column("hash").to_numpy()
-            spelled = 10.0 ** spelling.value.words(batch.column("word"))
+            spelled = 10.0 ** (spelling.value.words(batch.column("word")) if few_spells else batch.column("spelled").to_numpy())
             at = np.array([int.from_bytes(x[-2:] if len(x) > 1 else bytes([START]) + x, "big") for x in batch.column("word").to_pylist()], np.int64)
             share = (c + all_kinds[at] * spelled) / np.maximum(all_n[at] + all_kinds[at], 1)
             share = np.where(all_kinds[at] > 0, share, spelled)
@@ -297,7 +337,7 @@ def score(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame
                 batch.column("hash"), batch.column("total"), pa.array(c > 0), pa.array(np.log10(c + 1.0) - floor), pa.array(inside),
             ], names=["hash", "total", "known", "base", "score"])
 
-    graded = staged(counted.select("hash", "word", "c", "total").mapInArrow(grade, "hash long, total long, known boolean, base double, score double"), "pst-graded")
+    graded = staged(graded_words.select("hash", "word", "c", "total", "spelled").mapInArrow(grade, "hash long, total long, known boolean, base double, score double"), "pst-graded")
     top = most_frequent(graded, "total", HEAD).toArrow().to_pandas().sort_values("hash")
     head = send(tuple(top[x].to_numpy() for x in ("hash", "known", "base", "score")))
     end_known, end_base = int(ends > 0), float(np.log10(ends + 1) - floor)
@@ -314,24 +354,43 @@ def score(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame
                 hit = keys[place] == h if len(keys) else np.zeros(len(h), bool)
                 add = lambda x: np.bincount(doc[hit], x[place[hit]], len(sizes))
                 inner, stop = _text_keys(w, classes.value[0])
-                codes, found = pd.factorize(np.concatenate((inner, stop)))
-                step = texts.value.log10(found.view(np.uint64))[codes]
-                context = np.bincount(doc, step[: len(doc)], len(sizes)) + step[len(doc) :]
+                if few_steps:
+                    codes, found = pd.factorize(np.concatenate((inner, stop)))
+                    step = texts.value.log10(found.view(np.uint64))[codes]
+                    context = np.bincount(doc, step[: len(doc)], len(sizes)) + step[len(doc) :]
+                    far, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                else:
+                    far, owner = np.concatenate((inner, stop)), np.concatenate((doc, np.arange(len(sizes))))
+                    known_keys, values = near_steps.value
+                    near = np.minimum(np.searchsorted(known_keys, far), max(0, len(known_keys) - 1))
+                    there = known_keys[near] == far if len(known_keys) else np.zeros(len(far), bool)
+                    context = np.bincount(owner[there], values[near[there]], len(sizes))
+                    order = np.flatnonzero(~there)
+                    order = order[np.argsort(owner[order], kind="stable")]
+                    far, owner = far[order], owner[order]
+                ahead = np.zeros(len(sizes) + 1, np.int32)
+                np.cumsum(np.bincount(owner, minlength=len(sizes)), out=ahead[1:])
                 rest = np.zeros(len(sizes) + 1, np.int32)
                 np.cumsum(np.bincount(doc[~hit], minlength=len(sizes)), out=rest[1:])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id"), batch.column("held"), pa.array(sizes + 1), pa.array(add(known).astype(np.int64) + end_known),
                     pa.array(add(base) + end_base), pa.array(add(good) + context), pa.ListArray.from_arrays(pa.array(rest), pa.array(h[~hit])),
-                ], names=["id", "held", "n_tokens", "n_known", "base", "score", "rest"])
+                    pa.ListArray.from_arrays(pa.array(ahead), pa.array(far)),
+                ], names=["id", "held", "n_tokens", "n_known", "base", "score", "rest", "far"])
 
     kind = dict(docs.dtypes)["id"]
-    partial = staged(docs.mapInArrow(look_up, f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double, rest array<long>").withColumn(
+    partial = staged(docs.mapInArrow(look_up, f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double, rest array<long>, far array<long>").withColumn(
         "row", F.monotonically_increasing_id()), "pst-docs")
     tail = partial.select("row", F.explode("rest").alias("hash")).groupBy("row", "hash").agg(F.count("*").alias("n"))
     more = tail.join(graded.drop("total"), "hash").groupBy("row").agg(
         F.sum(F.col("n") * F.col("known").cast("long")).alias("k2"), F.sum(F.col("n") * F.col("base")).alias("b2"), F.sum(F.col("n") * F.col("score")).alias("s2"),
     )
-    return partial.drop("rest").join(more, "row", "left").select(
+    slim = partial.drop("rest", "far")
+    if far_steps is not None:
+        rare_steps = partial.select("row", F.explode("far").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
+        sums = rare_steps.join(far_steps, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("lp")).alias("far"))
+        slim = slim.join(sums, "row", "left").withColumn("score", F.col("score") + F.coalesce("far", F.lit(0.0)))
+    return slim.join(more, "row", "left").select(
         F.col("id").alias(ident), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("k2", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b2", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"),
