@@ -10,6 +10,7 @@ from tidemark.functions.timecol import HOUR, MINUTE
 from tidemark.operators import bars as br, smoothing as sm
 from tidemark.operators.joins import asof_backward, first_in_lookback, interval_join, previous_row
 from tidemark.operators.order_stats import grouped_median, pool_percentile, top_n_per_group
+from tidemark.operators.ranks import rank_rows
 from tidemark.operators.series import number_rows
 from tidemark.sources.adapters import TEST_FRAMES
 
@@ -165,3 +166,16 @@ def test_too_short_or_invalid_series_are_left_out(spark):
 
 def test_frames_are_multiples():
     assert all(w % min(TEST_FRAMES.values()) == 0 for w in TEST_FRAMES.values())
+
+
+def test_numbers_over_partitions(spark):
+    rows = [(c, i % 50, i) for c in ("a", "b", None) for i in range(700 if c == "a" else 3)]
+    df = spark.createDataFrame(rows, "c string, v int, i int").repartition(5)
+    got = rank_rows(df, [F.desc("v"), F.asc("i")], within=["c"]).collect()
+    want = {}
+    for c in ("a", "b", None):
+        for n, r in enumerate(sorted((r for r in rows if r[0] == c), key=lambda r: (-r[1], r[2])), 1):
+            want[r] = n
+    assert {(r["c"], r["v"], r["i"]): r["rank"] for r in got} == want and len(got) == len(rows)
+    assert sorted(r["rank"] for r in rank_rows(df, [F.asc("i"), F.asc("c")]).collect()) == list(range(1, len(rows) + 1))
+    assert rank_rows(df.limit(0), [F.asc("i")]).count() == 0
