@@ -14,6 +14,9 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Everything of ASCII but digits and lower-case letters parts words of the ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` kind.
+MARKS = np.zeros(256, dtype=bool)
+MARKS[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 # An odd multiplier has an inverse modulo 2^64, so a word's hash does not depend on where it stands.
 _STEP = 0x9E3779B97F4A7C15 | 1
@@ -80,10 +83,11 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array) -> Words:
+def words(column: pa.Array, parting: np.ndarray = _BLANK) -> Words:
+    """Words of every text; ``parting`` tells for each byte whether it stands between words."""
     data, offsets = raw(column)
     data = _FOLD[data]
-    solid = ~_BLANK[data]
+    solid = ~parting[data]
     begins, stops = solid.copy(), solid.copy()
     if len(data):
         begins[1:] &= ~solid[:-1]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cotraining, exact_dedup, jaccard_join, language_id, mixing, pieces, sharding, suffix_tree, topk_search, url_filter
+from tidemark.llm import (
+    cotraining, decontamination, exact_dedup, importance, jaccard_join, language_id, mixing, pieces, sharding, suffix_tree, topk_search, url_filter,
+)
 from tidemark.llm.common import LOWER, UPPER, table
 
 
@@ -84,6 +86,47 @@ m AS (SELECT page_id, arg_max(rule_host || rule_path, (length(rule_host || rule_
 SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN m ON h.page_id = m.page_id"""
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Words of lower-case ASCII letters, digits and whatever is not ASCII.
+WORDS_OF = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP11 = f"""WITH w AS (SELECT doc_id, {WORDS_OF} AS ws FROM documents), b AS (SELECT {WORDS_OF} AS ws FROM benchmark),
+crc AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+f AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT unnest(ws) AS word FROM (SELECT ws FROM w UNION ALL SELECT ws FROM b))),
+k AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+  lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) % 10000 AS bucket FROM f, crc),
+s AS (SELECT bucket, count(*) AS n FROM (SELECT unnest(ws) AS word FROM w) JOIN k USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM (SELECT unnest(ws) AS word FROM b) JOIN k USING (word) GROUP BY 1),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+  / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM (SELECT doc_id, unnest(ws) AS word FROM w) JOIN k USING (word) JOIN g USING (bucket) GROUP BY 1),
+d AS (SELECT w.doc_id, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight, ('0x' || substr(sha256('2024:' || w.doc_id), 1, 8))::BIGINT AS h
+  FROM w LEFT JOIN m USING (doc_id)),
+e AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM e WHERE n_features >= 20
+  QUALIFY rank <= (SELECT count(*) FILTER (n_features >= 20) * 10 // 100 FROM e))
+SELECT e.*, rank FROM e LEFT JOIN r USING (doc_id)"""
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return decontamination.digest(found, "doc_id")
+
+
+OP13 = f"""WITH d AS (SELECT doc_id, {WORDS_OF} AS ws FROM documents),
+b AS (SELECT item_id, ws, least(len(ws), 10) AS n FROM (SELECT item_id, {WORDS_OF} AS ws FROM benchmark) WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM b)),
+x AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS run FROM (SELECT d.*, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM b) WHERE len(ws) >= n)),
+hit AS (SELECT doc_id, item_id, i, x.n FROM x JOIN win USING (n, run)),
+cover AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
 QUERIES = {
     "op1_quality_cotraining": (op1_quality_cotraining, None),
     "op2_jaccard_join": (op2_jaccard_join, None),
@@ -95,4 +138,6 @@ QUERIES = {
     "op8_topk_search": (op8_topk_search, OP8),
     "op9_kd_sharding": (op9_kd_sharding, None),
     "op10_url_filter": (op10_url_filter, OP10),
+    "op11_importance_resampling": (op11_importance_resampling, OP11),
+    "op13_decontamination": (op13_decontamination, OP13),
 }
