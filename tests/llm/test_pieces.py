@@ -88,3 +88,13 @@ def test_cache_limit_changes_nothing(monkeypatch):
     small = pieces.Codec(MODEL)
     text = "the ending of that thing and the rest of it " * 3
     assert small.encode(text) == CODEC.encode(text) and len(small.ids_of) <= 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abc theingé▁\n🙂ßxyz漢qu", min_size=1, max_size=40), min_size=1, max_size=30))
+def test_words_side_by_side_equal_single_ones(words):
+    import numpy as np
+
+    got = CODEC.automaton.best_paths(words)
+    assert [np.frombuffer(p, np.int32).tolist() for p, _ in got] == [CODEC.automaton.best_path(w) for w in words]
+    assert [b for _, b in got] == [w.encode() for w in words]
