@@ -192,6 +192,9 @@ class Index:
     sample_rows: np.ndarray
     sample_labels: np.ndarray
 
+    def block_counts(self) -> list[int]:
+        return [self.blocks.get(leaf, 1) for leaf in range(len(self.tree.paths))]
+
     def leaves(self, ask: Ask) -> np.ndarray:
         """Which anchors have to look into which leaf."""
         out = np.zeros((len(ask.m), len(self.tree.paths)), dtype=bool)
@@ -264,7 +267,7 @@ def build(rows: DataFrame, width: int) -> tuple[Index, DataFrame, DataFrame]:
     schema = (f"leaf int, part int, width int, ids array<{kind}>, rows array<long>, labels array<long>, m binary, low array<double>, high array<double>, "
               "least_norm double, most_norm double, least_label long, most_label long")
     shape = to_arrow_schema(T.StructType.fromDDL(schema))
-    part = F.pmod(F.xxhash64("row"), _by_leaf(blocks, tree)).cast("int")
+    part = F.pmod(F.xxhash64("row"), _by_leaf([blocks.get(i, 1) for i in range(len(tree.paths))])).cast("int")
     packed = staged(led.withColumn("part", part).repartition(_parts(rows, blocks), "leaf", "part").groupBy("leaf", "part").applyInArrow(pack, schema), "gnat-blocks")
     least = packed.select("leaf", F.posexplode(F.arrays_zip("low", "high")).alias("slot", "d")).groupBy("leaf", "slot").agg(F.min("d.low").alias("low"), F.max("d.high").alias("high"))
     heads = packed.groupBy("leaf").agg(*[f(c).alias(c) for f, c in ((F.min, "least_norm"), (F.max, "most_norm"), (F.min, "least_label"), (F.max, "most_label"))])
@@ -299,9 +302,9 @@ def _climb(index: Index, slots: dict) -> None:
                     head[name] = max(head[name], own[name])
 
 
-def _by_leaf(counts: dict[int, int], tree: Tree) -> Column:
+def _by_leaf(numbers: list[int]) -> Column:
     """A number for each leaf, as a column over ``leaf``."""
-    return F.get(F.expr(f"array({', '.join(str(max(1, counts.get(i, 1))) for i in range(len(tree.paths)))})"), F.col("leaf"))
+    return F.get(F.expr(f"array({', '.join(map(str, numbers))})"), F.col("leaf"))
 
 
 def _parts(df: DataFrame, blocks: dict[int, int]) -> int:
@@ -336,17 +339,37 @@ def _scored(ix: Index, r: dict, k: int, same: bool) -> list[dict]:
         return []
     cm = np.frombuffer(r["m"], np.int64).reshape(len(r["rows"]), r["width"])
     c_rows, c_labels = np.array(r["rows"], np.int64), np.array(r["labels"], np.int64)
+    scores = products(qm[some], cm)
+    fit = (labels[some, None] == c_labels) if same else (labels[some, None] != c_labels)
+    fit &= (rows[some, None] != c_rows) & (scores >= low[some].min(axis=1)[:, None]) & (scores <= high[some].max(axis=1)[:, None])
     out = []
-    for own, i in zip(products(qm[some], cm), some.tolist(), strict=True):
-        fit = ((c_labels == labels[i]) if same else (c_labels != labels[i])) & (c_rows != rows[i])
+    for a in np.flatnonzero(fit.any(axis=1)).tolist():  # few anchors find anything in most blocks
+        i, near = some[a], np.flatnonzero(fit[a])
+        own = scores[a][near]
         for j in range(len(r["windows"][i])):
-            at = np.flatnonzero(fit & (own >= low[i, j]) & (own <= high[i, j]))
-            if len(at):
-                best = at[select(own[at], k)].tolist()
-                out += [{"a_row": int(rows[i]), "window": j, "id": r["ids"][b], "row": r["rows"][b], "score": int(own[b])} for b in best]
+            inside = np.flatnonzero((own >= low[i, j]) & (own <= high[i, j]))
+            if len(inside):
+                best = near[inside[select(own[inside], k)]].tolist()
+                out += [{"a_row": int(rows[i]), "window": j, "id": r["ids"][b], "row": r["rows"][b], "score": int(scores[a, b])} for b in best]
     return out
 
 
+def _groups(counts: dict[int, int], tree: Tree) -> tuple[list[int], list[int]]:
+    """First group and number of groups of every leaf's anchors: leaves side by side share one while it holds at most ``QUERIES``."""
+    first, many, at, room = [], [], 0, QUERIES
+    for leaf in range(len(tree.paths)):
+        n = counts.get(leaf, 0)
+        if n > room:
+            at, room = at + 1, QUERIES
+        first.append(at)
+        many.append(max(1, -(-n // QUERIES)))
+        if many[-1] > 1:
+            at, room = at + many[-1], QUERIES
+        else:
+            room -= n
+    return first, many
+
+
 def search(anchors: DataFrame, index: Index, packed: DataFrame, k: int, same: bool) -> DataFrame:
     """The k best rows of every window of every anchor.
 
@@ -356,7 +379,7 @@ def search(anchors: DataFrame, index: Index, packed: DataFrame, k: int, same: bo
     spark = anchors.sparkSession
     shared = spark.sparkContext.broadcast(index)  # the tree and the sample
     kind = dict(anchors.dtypes)["id"]
-    counts = {r["leaf"]: -(-r["n"] // QUERIES) for r in anchors.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    first, many = _groups({r["leaf"]: r["n"] for r in anchors.groupBy("leaf").agg(F.count("*").alias("n")).collect()}, index.tree)
     schema = "leaf int, q_width int, q_rows array<long>, q_labels array<long>, q_m binary, windows array<array<struct<low:bigint,high:bigint>>>"
 
     def route(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -380,10 +403,10 @@ def search(anchors: DataFrame, index: Index, packed: DataFrame, k: int, same: bo
             out.append((leaf, m.shape[1], rows[some].tolist(), labels[some].tolist(), m[some].tobytes(), [windows[i] for i in some]))
         return pd.DataFrame(out, columns=["leaf", "q_width", "q_rows", "q_labels", "q_m", "windows"])
 
-    salt = F.pmod(F.xxhash64("row", F.lit(1)), _by_leaf(counts, index.tree)).cast("int")
-    slim = anchors.select("row", "label", "v", "leaf", "windows", salt.alias("salt"))
-    groups = slim.repartition(tasks(spark), "leaf", "salt").groupBy("leaf", "salt").applyInPandas(route, schema)
-    sent = groups.withColumn("part", F.explode(F.sequence(F.lit(0), _by_leaf(index.blocks, index.tree) - 1)))
+    group = _by_leaf(first) + F.pmod(F.xxhash64("row", F.lit(1)), _by_leaf(many)).cast("int")
+    slim = anchors.select("row", "label", "v", "leaf", "windows", group.alias("ask"))
+    groups = slim.repartition(tasks(spark), "ask").groupBy("ask").applyInPandas(route, schema)
+    sent = groups.withColumn("part", F.explode(F.sequence(F.lit(0), _by_leaf(index.block_counts()) - 1)))
     parts = _parts(anchors, index.blocks)
     met = sent.repartition(parts, "leaf", "part").join(packed.repartition(parts, "leaf", "part"), ["leaf", "part"])
 
