@@ -8,7 +8,7 @@ from tidemark.catalog.base import define, oracle, query
 from tidemark.catalog.study import HZ
 from tidemark.functions.timecol import HOUR, micros
 from tidemark.operators import history as hi, study as st
-from tidemark.session import shared_dir, staged, use_utc
+from tidemark.session import shared_dir, use_utc
 from tidemark.sources import adapters as ad
 from tidemark.streaming import jobs
 
@@ -23,19 +23,22 @@ define("sws", """SELECT pool, ws, CAST(sum(b) AS BIGINT) AS buys, CAST(sum(s) AS
   HAVING ws + 21600000000 <= (SELECT max(t) // 1000 * 1000 FROM trades WHERE side IS NOT NULL)""", "sw", "trades")
 
 
-def window_table(spark, sf_dir):
+def windows(spark, sf_dir, width, slide=None):
     good = ad.trades_from(events(spark, sf_dir)).filter(F.col("side").isNotNull())
-    return jobs.drain(jobs.trade_window_stream(good, "6 hours"), "trade-windows")
+    root = shared_dir(spark, "trade-windows")
+    table = jobs.TradeWindows(spark, root, width, slide, pool_type=dict(good.dtypes)["pool"])
+    table.consume(good, f"{root}/checkpoint")
+    return table.closed()
 
 
 @query("t5_tumbling_windows", oracle("SELECT pool, ws AS window_us, buys, sells, unique_buyers FROM sws", "sws"))
 def tumbling_windows(spark, sf_dir):
-    return window_table(spark, sf_dir).select("pool", micros("window_start").alias("window_us"), "buys", "sells", "unique_buyers")
+    return windows(spark, sf_dir, "6 hours").select("pool", micros("window_start").alias("window_us"), "buys", "sells", "unique_buyers")
 
 
 @query("t5_previous_window", oracle("SELECT a.pool, a.ws AS window_us, b.unique_buyers AS previous_unique_buyers, round(b.vol, 4) AS previous_volume_usd FROM sws a LEFT JOIN sws b ON a.pool = b.pool AND b.ws + 21600000000 = a.ws", "sws"))
 def previous_window(spark, sf_dir):
-    return jobs.with_previous_window(window_table(spark, sf_dir)).select(
+    return jobs.with_previous_window(windows(spark, sf_dir, "6 hours")).select(
         "pool", micros("window_start").alias("window_us"), "previous_unique_buyers", F.round("previous_volume_usd", 4).alias("previous_volume_usd")
     )
 
@@ -44,8 +47,9 @@ def previous_window(spark, sf_dir):
 def signal_stream(spark, sf_dir):
     root = shared_dir(use_utc(spark), "signals")
     scores = ad.scores_from(ad.snapshots_from(events(spark, sf_dir)))
-    jobs.signal_stream(scores, f"{root}/table", f"{root}/checkpoint", 0)
-    return spark.read.parquet(f"{root}/table").select("token_id", "score_version", "threshold", "signal_snapshot_id")
+    table = jobs.signal_table(spark, f"{root}/table")
+    jobs.signal_stream(scores, table, f"{root}/checkpoint", 0)
+    return table.read().select("token_id", "score_version", "threshold", "signal_snapshot_id")
 
 
 @query("t2_t4_outcome_stream", oracle("""SELECT token_id, score_version, CAST(threshold AS BIGINT) AS threshold, horizon, status, xid AS selected_snapshot_id, round(ret, 8) AS return_decimal FROM outc
@@ -54,13 +58,12 @@ def outcome_stream(spark, sf_dir):
     snaps = ad.snapshots(spark, sf_dir)
     entries = st.paper_entries(st.first_crossings(ad.scores_from(snaps), 0))
     pending = st.expand_horizons(entries, HZ).filter(F.col("status") == "PENDING")
-    root = shared_dir(spark, "pending")
-    pending.write.parquet(root)
-    live = ad.snapshots_from(events(spark, sf_dir))
-    joined = jobs.outcome_stream(
-        jobs.file_stream(spark, root), st.price_observations(live, F.lit(2**62)), max(h.tolerance for h in HZ)
-    )
-    done = jobs.settle(jobs.drain(joined, "outcomes"))
+    root = shared_dir(spark, "outcomes")
+    pending.write.parquet(f"{root}/pending")
+    stored = lambda: spark.read.parquet(f"{root}/pending")
+    outcomes = jobs.Outcomes(spark, root)
+    outcomes.consume(ad.snapshots_from(events(spark, sf_dir)), stored, f"{root}/checkpoint", max(h.tolerance for h in HZ))
+    done = outcomes.settled(stored()).filter(F.col("status") != "PENDING")
     return done.withColumn("return_decimal", F.round("return_decimal", 8) + 0.0)
 
 
@@ -68,8 +71,9 @@ def outcome_stream(spark, sf_dir):
 def latest_state_stream(spark, sf_dir):
     root = shared_dir(use_utc(spark), "state")
     obs = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("token_id"), F.col("event_id").alias("seq"), F.col("ts").alias("observed_at"))
-    jobs.latest_state_stream(obs, f"{root}/table", f"{root}/checkpoint")
-    return jobs.read_latest_state(spark, f"{root}/table").select("token_id", "seq")
+    table = jobs.state_table(spark, f"{root}/table", "token_id string, seq long, observed_at timestamp")
+    jobs.latest_state_stream(obs, table, f"{root}/checkpoint")
+    return table.read().select("token_id", "seq")
 
 
 @query("t9_episode_stream", oracle("""SELECT instrument_id, s AS first_seq, l AS last_seq, n AS appearances, ep < last_ep AS closed FROM (SELECT instrument_id, ep, min(seq) AS s, max(seq) AS l, count(*) AS n,
@@ -80,14 +84,13 @@ def episode_stream(spark, sf_dir):
     seen = ad.run_members(spark, sf_dir).join(runs.select("asset_class", "run_id", "seq"), "run_id")
     root = shared_dir(spark, "presences")
     seen.select("asset_class", "instrument_id", "seq").write.parquet(root)
-    table = shared_dir(spark, "episodes")
-    jobs.presence_stream(jobs.file_stream(spark, root, files_per_batch=2), f"{table}/table", f"{table}/checkpoint")
-    return jobs.read_episodes(spark, f"{table}/table").select("instrument_id", "first_seq", "last_seq", "appearances", "closed")
+    where = shared_dir(spark, "episodes")
+    table = jobs.episode_table(spark, f"{where}/table")
+    jobs.presence_stream(jobs.file_stream(spark, root, files_per_batch=2), table, f"{where}/checkpoint")
+    return jobs.read_episodes(table).select("instrument_id", "first_seq", "last_seq", "appearances", "closed")
 
 
 @query("t5_sliding_windows", oracle("""SELECT pool, ws AS window_us, CAST(sum(b) AS BIGINT) AS buys, count(*) FILTER (b > 0) AS unique_buyers FROM (SELECT pool, (t // 21600000000 - o) * 21600000000 AS ws, address, count(*) FILTER (side = 'buy') AS b
   FROM trades CROSS JOIN (VALUES (0), (1)) v(o) WHERE side IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING ws + 43200000000 <= (SELECT max(t) // 1000 * 1000 FROM trades WHERE side IS NOT NULL)""", "trades"))
 def sliding_windows(spark, sf_dir):
-    good = ad.trades_from(events(spark, sf_dir)).filter(F.col("side").isNotNull())
-    out = jobs.drain(jobs.trade_window_stream(good, "12 hours", slide="6 hours"), "sliding-windows")
-    return out.select("pool", micros("window_start").alias("window_us"), "buys", "unique_buyers")
+    return windows(spark, sf_dir, "12 hours", "6 hours").select("pool", micros("window_start").alias("window_us"), "buys", "unique_buyers")

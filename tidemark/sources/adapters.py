@@ -30,10 +30,15 @@ def adapt_events(events: DataFrame) -> DataFrame:
     """Events with a TIMESTAMP time and the integer inside ``props`` as ``k``."""
     return events.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
-        F.from_json("props", "k INT")["k"].alias("k"),
+        F.from_json("props", "k INT")["k"].alias("k"), *_file(events),
     )
 
 
+def _file(df: DataFrame) -> list[str]:
+    """The file of a row, where a stream tells it."""
+    return [c for c in df.columns if c == "file"]
+
+
 def chain_of(key: Column) -> Column:
     return F.when(key % 3 == 0, "bsc").when(key % 3 == 1, "solana").otherwise("base")
 
@@ -52,6 +57,7 @@ def trades_from(events: DataFrame) -> DataFrame:
         side.alias("side"),
         F.col("value").alias("volume_usd"),
         F.col("ts").alias("traded_at"),
+        *_file(events),
     )
 
 

@@ -1,40 +1,26 @@
 """Incremental forms of the operators on Structured Streaming.
 
-Time always means event time: windows close when the watermark, the newest observed time, passes
-them. Keys that must be remembered for ever live in tables, not in state.
+Time always means event time: windows close when the newest observed time passes them. What must be
+remembered lives in keyed tables that merge rows in any order, so results do not depend on how rows are
+dealt to files, nor on the order in which files arrive.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions.timecol import MINUTE, micros
+from tidemark.functions.timecol import bucket_of, micros
 from tidemark.operators import study as st
-from tidemark.session import shared_dir
+from tidemark.streaming.keyed import KeyedTable, table_or_none
 
 
 def file_stream(spark: SparkSession, path: str, pattern: str = "*.parquet", files_per_batch: int = 64) -> DataFrame:
-    """Stream of the parquet files of a folder; the schema is taken from the files already there."""
+    """Stream of the parquet files of a folder, with the ``file`` of each row; the schema is taken from the files already there."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
-        .parquet(path)
-    )
-
-
-def drain(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
-    """Process everything available now into a table of the shared folder and read it back."""
-    spark = stream.sparkSession
-    root = shared_dir(spark, purpose)
-    query = (
-        stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True).start(f"{root}/table")
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/table")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return stream.select("*", F.col("_metadata.file_path").alias("file"))
 
 
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -48,31 +34,73 @@ def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], chec
 # ---- trade windows ------------------------------------------------------------------------------
 
 
-def trade_window_stream(trades: DataFrame, width: str = "5 minutes", delay: str = "0 seconds", slide: str | None = None) -> DataFrame:
-    """Tumbling (or sliding) trade statistics per pool, emitted once the watermark closes a window.
+def _add_up(keys: Sequence[str], sums: Sequence[str], newest: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in newest])
+
+    return merge
 
-    Two chained aggregations: addresses first, then pools, so distinct counts need no sets in
-    state and a hot pool is split over its addresses.
+
+class TradeWindows:
+    """Trade statistics of tumbling or sliding windows, the same for every order in which files arrive.
+
+    The table holds partial sums per window, pool and address, so a hot pool is spread over its addresses,
+    distinct counts need no sets, and rows that come late are added like others. The frontier is the
+    newest time that all files of a batch have reached, and never goes back; windows that end up to it
+    are closed. A row of a window that was closed when it arrived is listed in the late table; its
+    window is then published again with a higher ``version``, the last batch that changed it.
     """
-    buy, sell, usd = F.col("side") == "buy", F.col("side") == "sell", F.col("volume_usd")
-    span = F.window("traded_at", width, slide) if slide else F.window("traded_at", width)
-    per_address = (
-        trades.withWatermark("traded_at", delay).groupBy(span.alias("w"), "pool", "address").agg(
-            F.count_if(buy).alias("b"), F.count_if(sell).alias("s"),
-            F.sum(F.when(buy, usd).otherwise(0.0)).alias("bv"), F.sum(F.when(sell, usd).otherwise(0.0)).alias("sv"),
+
+    KEYS = ("window_start", "window_end", "pool", "address")
+
+    def __init__(self, spark: SparkSession, root: str, width: str = "5 minutes", slide: str | None = None, pool_type: str = "string", every: int = 8):
+        self.spark, self.root, self.width, self.slide = spark, root, width, slide
+        self.table = KeyedTable(
+            spark, f"{root}/windows", f"window_start timestamp, window_end timestamp, pool {pool_type}, address string, b long, s long, bv double, sv double, version long",
+            self.KEYS, _add_up(self.KEYS, ("b", "s", "bv", "sv"), ("version",)), every=every,
+        )
+        self.frontier = KeyedTable(spark, f"{root}/frontier", "name string, reached timestamp", ("name",), _add_up(("name",), (), ("reached",)), buckets=1, every=every)
+
+    def consume(self, trades: DataFrame, checkpoint: str, source: str = "file") -> None:
+        """Run over everything available; ``source`` names the column that tells the file of a row."""
+        buy, sell, usd = F.col("side") == "buy", F.col("side") == "sell", F.col("volume_usd")
+        span = F.window("traded_at", self.width, self.slide) if self.slide else F.window("traded_at", self.width)
+
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            if self.frontier.holds(batch_id):  # written last
+                return
+            rows = batch.withColumn("w", span).select("w.start", "w.end", *batch.columns).withColumnsRenamed({"start": "window_start", "end": "window_end"})
+            reached = self.reached(batch_id)
+            if reached is not None:
+                late = rows.filter(F.col("window_end") <= F.lit(reached))
+                late.write.mode("overwrite").parquet(f"{self.root}/late/batch_id={batch_id}")
+            sums = rows.groupBy(*self.KEYS).agg(
+                F.count_if(buy).alias("b"), F.count_if(sell).alias("s"),
+                F.sum(F.when(buy, usd).otherwise(0.0)).alias("bv"), F.sum(F.when(sell, usd).otherwise(0.0)).alias("sv"),
+            )
+            self.table.apply(sums.withColumn("version", F.lit(batch_id).cast("long")), batch_id)
+            newest = batch.groupBy(source).agg(F.max("traded_at").alias("t")).agg(F.min("t").alias("reached"))
+            self.frontier.apply(newest.select(F.lit("trades").alias("name"), "reached"), batch_id)
+
+        each_batch(trades, handle, checkpoint)
+
+    def reached(self, before: int | None = None):
+        """The frontier, of the batches before a number if one is given; None at the beginning."""
+        row = self.frontier.read(before).first()
+        return row["reached"] if row else None
+
+    def closed(self) -> DataFrame:
+        """Statistics per pool of the windows that end up to the frontier."""
+        total = F.sum(F.col("bv") + F.col("sv"))
+        return self.table.read().filter(F.col("window_end") <= F.lit(self.reached())).groupBy("window_start", "window_end", "pool").agg(
+            F.sum("b").alias("buys"), F.sum("s").alias("sells"), F.count_if(F.col("b") > 0).alias("unique_buyers"),
+            F.count_if(F.col("s") > 0).alias("unique_sellers"), F.sum("bv").alias("buy_volume_usd"), F.sum("sv").alias("sell_volume_usd"),
+            F.when(total > 0, F.max(F.col("bv") + F.col("sv")) / total).otherwise(0.0).alias("top_share"), F.max("version").alias("version"),
         )
-    )
-    total = F.sum(F.col("bv") + F.col("sv"))
-    per_pool = per_address.groupBy("w", "pool").agg(
-        F.sum("b").alias("buys"), F.sum("s").alias("sells"), F.count_if(F.col("b") > 0).alias("unique_buyers"),
-        F.count_if(F.col("s") > 0).alias("unique_sellers"), F.sum("bv").alias("buy_volume_usd"),
-        F.sum("sv").alias("sell_volume_usd"), F.max(F.col("bv") + F.col("sv")).alias("top_volume"), total.alias("total_volume"),
-    )
-    return per_pool.select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "pool", "buys", "sells", "unique_buyers",
-        "unique_sellers", "buy_volume_usd", "sell_volume_usd",
-        F.when(F.col("total_volume") > 0, F.col("top_volume") / F.col("total_volume")).otherwise(0.0).alias("top_share"),
-    )
+
+    def late(self) -> DataFrame | None:
+        """Rows that came after their window had been closed, with the batch they came in; None where no batch has followed another."""
+        return table_or_none(self.spark, f"{self.root}/late")
 
 
 def with_previous_window(stats: DataFrame) -> DataFrame:
@@ -87,90 +115,95 @@ def with_previous_window(stats: DataFrame) -> DataFrame:
 # ---- signals ------------------------------------------------------------------------------------
 
 
-def signal_stream(
-    scores: DataFrame, table: str, checkpoint: str, activation_id: int, thresholds: Sequence[int] = st.THRESHOLDS
-) -> None:
-    """Append the first crossings of each micro-batch that no earlier batch has produced.
-
-    A batch owns the partition of its id, so a replay after a failure rewrites the same rows and
-    never adds them twice.
-    """
-    spark = scores.sparkSession
+def _first_signals(rows: DataFrame) -> DataFrame:
+    cols = [c for c in rows.columns if c not in st.SIGNAL_KEY]
+    return rows.groupBy(*st.SIGNAL_KEY).agg(F.min_by(F.struct(*cols), "signal_snapshot_id").alias("r")).select(*st.SIGNAL_KEY, "r.*")
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        found = st.first_crossings(batch, activation_id, thresholds)
-        stored = _table_or_none(spark, table)
-        if stored is not None:
-            found = st.new_signals(found, stored.filter(F.col("batch_id") < batch_id))
-        found.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
-    each_batch(scores, handle, checkpoint)
+def signal_table(spark: SparkSession, path: str, every: int = 8) -> KeyedTable:
+    """First crossings ever: of a key the lowest snapshot id stays, whenever it comes."""
+    schema = ("token_id string, score_version string, threshold long, chain string, signal_source string, signal_snapshot_id long, "
+              "signal_at timestamp, price_usd double, raw_score double, evidence_confidence string")
+    return KeyedTable(spark, path, schema, st.SIGNAL_KEY, _first_signals, every=every)
 
 
-def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.option("basePath", path).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def signal_stream(
+    scores: DataFrame, table: KeyedTable, checkpoint: str, activation_id: int, thresholds: Sequence[int] = st.THRESHOLDS
+) -> None:
+    """Merge the first crossings of each micro-batch into the table."""
+    each_batch(scores, lambda batch, batch_id: table.apply(st.first_crossings(batch, activation_id, thresholds), batch_id), checkpoint)
 
 
 # ---- outcomes -----------------------------------------------------------------------------------
 
+OUTCOME_KEY = (*st.SIGNAL_KEY, "horizon")
 
-def outcome_stream(pending: DataFrame, prices: DataFrame, widest: int, delay: str = "0 seconds") -> DataFrame:
-    """Left outer interval join of pending outcomes and prices.
 
-    A match is a valid price inside the window; a row without one comes out, with NULLs, once the
-    watermark has moved strictly past the window's end, which is the insufficient-data rule. A
-    window may hold several prices: the earliest per key is the selected one.
-    """
-    left = pending.withWatermark("window_end_at", delay).withColumnRenamed("token_id", "l_token")
-    right = prices.withWatermark("obs_at", delay)
-    near = F.col("obs_at") >= F.col("window_end_at") - F.expr(f"INTERVAL {widest // 1_000_000} SECONDS")
-    rule = (
-        (F.col("l_token") == F.col("token_id")) & near & (F.col("obs_at") <= F.col("window_end_at"))
-        & (F.col("obs_at") >= F.col("target_at")) & (F.col("obs_at") > F.col("signal_at"))
-        & (F.col("obs_id") > F.col("signal_snapshot_id"))
-    )
-    return left.join(right, rule, "leftOuter").select(
-        F.col("l_token").alias("token_id"), "score_version", "threshold", "horizon", "entry_price_usd", "obs_id", "obs_at", "obs_price"
-    )
+def _earliest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*OUTCOME_KEY).agg(F.min(F.struct("obs_at", "obs_id", "obs_price")).alias("s")).select(*OUTCOME_KEY, "s.*")
 
 
-def settle(joined: DataFrame) -> DataFrame:
-    """One row per outcome from the joined stream: matured with its first price, or insufficient."""
-    first = F.min(F.when(F.col("obs_id").isNotNull(), F.struct("obs_at", "obs_id", "obs_price")))
-    out = joined.groupBy(*st.SIGNAL_KEY, "horizon").agg(first.alias("s"), F.max("entry_price_usd").alias("entry"))
-    return out.select(
-        *st.SIGNAL_KEY, "horizon", F.when(F.col("s").isNotNull(), "MATURED").otherwise("INSUFFICIENT_DATA").alias("status"),
-        F.col("s.obs_id").alias("selected_snapshot_id"), (F.col("s.obs_price") / F.col("entry") - 1).alias("return_decimal"),
-    )
+class Outcomes:
+    """Selected price of pending outcomes while snapshots stream by.
 
+    A batch's valid prices meet the pending outcomes of their token in time buckets of ``width`` and are
+    folded to one candidate per outcome before anything is written; of candidates the earliest stays,
+    whenever it comes. The frontier is the newest observed time of any snapshot. ``pending`` gives the
+    outcomes as they are when a batch begins; those must be stored before the prices of their windows.
+    """
 
-# ---- latest state -------------------------------------------------------------------------------
+    def __init__(self, spark: SparkSession, root: str, every: int = 8):
+        kinds = "token_id string, score_version string, threshold long, horizon string, obs_at timestamp, obs_id long, obs_price double"
+        self.table = KeyedTable(spark, f"{root}/selected", kinds, OUTCOME_KEY, _earliest, every=every)
+        self.frontier = KeyedTable(spark, f"{root}/frontier", "name string, reached timestamp", ("name",), _add_up(("name",), (), ("reached",)), buckets=1, every=every)
+
+    def consume(self, snapshots: DataFrame, pending: Callable[[], DataFrame], checkpoint: str, width: int) -> None:
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            if self.frontier.holds(batch_id):
+                return
+            prices = st.price_observations(batch, F.lit(2**62)).withColumn("slot", bucket_of(micros("obs_at"), width))
+            ends = batch.agg(F.min("collected_at").alias("first"), F.max("collected_at").alias("last")).first()
+            if ends["last"] is not None:
+                # Windows that no price of the batch can fall into are not read.
+                open_ = pending().filter((F.col("window_end_at") >= F.lit(ends["first"])) & (F.col("target_at") <= F.lit(ends["last"])))
+                slots = F.sequence(bucket_of(micros("target_at"), width), bucket_of(micros("window_end_at"), width))
+                spread = open_.select(*OUTCOME_KEY, "signal_at", "signal_snapshot_id", "target_at", "window_end_at", F.explode(slots).alias("slot"))
+                rule = (
+                    (F.col("obs_at") >= F.col("target_at")) & (F.col("obs_at") <= F.col("window_end_at"))
+                    & (F.col("obs_at") > F.col("signal_at")) & (F.col("obs_id") > F.col("signal_snapshot_id"))
+                )
+                self.table.apply(_earliest(spread.join(prices, ["token_id", "slot"]).filter(rule)), batch_id)
+            self.frontier.apply(batch.agg(F.max("collected_at").alias("reached")).select(F.lit("snapshots").alias("name"), "reached"), batch_id)
+
+        each_batch(snapshots, handle, checkpoint)
+
+    def settled(self, pending: DataFrame) -> DataFrame:
+        """One row per outcome: matured with its price, insufficient once the frontier is strictly past its window, else pending."""
+        row = self.frontier.read().first()
+        past = F.lit(row["reached"] if row else None) > F.col("window_end_at")
+        out = pending.select(*OUTCOME_KEY, "entry_price_usd", "window_end_at").join(self.table.read(), list(OUTCOME_KEY), "left")
+        status = F.when(F.col("obs_id").isNotNull(), "MATURED").when(F.coalesce(past, F.lit(False)), "INSUFFICIENT_DATA").otherwise("PENDING")
+        return out.select(
+            *OUTCOME_KEY, status.alias("status"), F.col("obs_id").alias("selected_snapshot_id"), (F.col("obs_price") / F.col("entry_price_usd") - 1).alias("return_decimal")
+        )
 
 
-def latest_state_stream(observations: DataFrame, table: str, checkpoint: str) -> None:
-    """Monotonic latest observation per token: older or equally old ones never replace it.
+# ---- latest state -------------------------------------------------------------------------------
 
-    The maximum is a mergeable aggregate, so each micro-batch is reduced before the shuffle and
-    only changed tokens are written; readers take the newest write per token.
-    """
-    cols = F.struct(*[c for c in observations.columns if c != "token_id"])
-    best = observations.groupBy("token_id").agg(F.max_by(cols, F.struct("observed_at", -F.col("seq"))).alias("s"))
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.select("token_id", "s.*").write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+def state_table(spark: SparkSession, path: str, schema: str, every: int = 8) -> KeyedTable:
+    """Monotonic latest observation per token: an older one, or an equally old one of a higher number, never replaces it."""
 
-    each_batch(best, handle, checkpoint, mode="update")
+    def newest(rows: DataFrame) -> DataFrame:
+        cols = F.struct(*[c for c in rows.columns if c != "token_id"])
+        return rows.groupBy("token_id").agg(F.max_by(cols, F.struct("observed_at", -F.col("seq"))).alias("s")).select("token_id", "s.*")
 
+    return KeyedTable(spark, path, schema, ("token_id",), newest, every=every)
 
-def read_latest_state(spark: SparkSession, table: str) -> DataFrame:
-    rows = spark.read.option("basePath", table).parquet(table)
-    cols = F.struct(*[c for c in rows.columns if c not in ("token_id", "batch_id")])
-    return rows.groupBy("token_id").agg(F.max_by(cols, "batch_id").alias("s")).select("token_id", "s.*")
+
+def latest_state_stream(observations: DataFrame, table: KeyedTable, checkpoint: str) -> None:
+    """Merge each micro-batch, reduced to one row per token, into the table."""
+    each_batch(observations, lambda batch, batch_id: table.apply(table.merge(batch), batch_id), checkpoint)
 
 
 def state_before(state: DataFrame, at: Column) -> DataFrame:
@@ -180,35 +213,44 @@ def state_before(state: DataFrame, at: Column) -> DataFrame:
 
 # ---- count-gap episodes -------------------------------------------------------------------------
 
+INSTRUMENT = ("asset_class", "instrument_id")
 
-def presence_stream(presences: DataFrame, table: str, checkpoint: str) -> None:
-    """Append each micro-batch of (asset_class, instrument_id, seq) to a table, one partition per batch.
-
-    The rows of a batch are made distinct; what an episode is depends on all scans, so it is decided
-    when the table is read and not by the order in which files arrive.
-    """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.select("asset_class", "instrument_id", "seq").distinct().write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-
-    each_batch(presences, handle, checkpoint)
 
-
-def read_episodes(spark: SparkSession, table: str, max_gap: int = 3) -> DataFrame:
+def episode_table(spark: SparkSession, path: str, max_gap: int = 3, every: int = 8) -> KeyedTable:
     """Listing episodes per instrument, by number of missed scans instead of time.
 
-    An episode ends when the instrument is absent from ``max_gap`` scans in a row. ``closed`` tells
-    whether a later episode of the instrument has begun; the last one is still open. An instrument
-    has one row per scan at most, so its rows grow with time alone.
+    An episode ends when the instrument is absent from ``max_gap`` scans in a row. It keeps the runs of
+    consecutive scans it consists of: presences that come late, or twice, fall into the runs, extend or
+    join them, and bridge two episodes where the gap closes. An instrument has one presence per scan at
+    most, so its rows grow with time alone, and a run stands for all its presences.
     """
-    seen = spark.read.option("basePath", table).parquet(table).select("asset_class", "instrument_id", "seq").distinct()
-    order = Window.partitionBy("asset_class", "instrument_id").orderBy("seq")
-    gap = F.col("seq") - F.lag("seq").over(order)
-    numbered = seen.withColumn("new", F.when(gap.isNull() | (gap > max_gap), 1).otherwise(0)).withColumn(
-        "episode", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    found = numbered.groupBy("asset_class", "instrument_id", "episode").agg(
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("appearances")
-    )
-    later = F.lead("episode").over(Window.partitionBy("asset_class", "instrument_id").orderBy("episode"))
-    return found.withColumn("closed", later.isNotNull()).drop("episode")
+
+    def merge(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy(*INSTRUMENT).orderBy("a", "b")
+        runs = rows.select(*INSTRUMENT, F.inline("runs"))
+        gap = F.col("a") - F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        upto = order.rowsBetween(Window.unboundedPreceding, 0)
+        begins = lambda most: F.when(gap.isNull() | (gap > most), 1).otherwise(0)
+        marked = runs.withColumn("new_run", begins(1)).withColumn("new_episode", begins(max_gap))
+        numbered = marked.withColumn("run", F.sum("new_run").over(upto)).withColumn("episode", F.sum("new_episode").over(upto))
+        joined = numbered.groupBy(*INSTRUMENT, "episode", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        return joined.groupBy(*INSTRUMENT, "episode").agg(
+            F.min("a").alias("first_seq"), F.max("b").alias("last_seq"), F.sum(F.col("b") - F.col("a") + 1).alias("appearances"),
+            F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"),
+        ).drop("episode")
+
+    schema = "asset_class string, instrument_id string, first_seq long, last_seq long, appearances long, runs array<struct<a:bigint,b:bigint>>"
+    return KeyedTable(spark, path, schema, INSTRUMENT, merge, every=every)
+
+
+def presence_stream(presences: DataFrame, table: KeyedTable, checkpoint: str) -> None:
+    """Merge the presences (asset_class, instrument_id, seq) of each micro-batch into the episodes of their instruments."""
+    seq = F.col("seq").cast("long")
+    one = presences.select(*INSTRUMENT, seq.alias("first_seq"), seq.alias("last_seq"), F.lit(1).cast("long").alias("appearances"), F.array(F.struct(seq.alias("a"), seq.alias("b"))).alias("runs"))
+    each_batch(one, lambda batch, batch_id: table.apply(table.merge(batch), batch_id), checkpoint)
+
+
+def read_episodes(table: KeyedTable) -> DataFrame:
+    """Episodes with ``closed``, whether a later one of the instrument has begun; the last one is still open."""
+    last = F.max("first_seq").over(Window.partitionBy(*INSTRUMENT))
+    return table.read().withColumn("closed", F.col("first_seq") < last).drop("runs")
