@@ -181,6 +181,22 @@ def test_snapshot_append_partitions_by_day(spark):
     assert back.count() == ad.snapshots(spark, SF).count() and "dt" in back.columns
 
 
+def test_files_of_a_day_follow_its_volume(spark):
+    path = shared_dir(spark, "snaps")
+    day = F.when(F.col("id") % 50 == 0, F.lit("2024-01-02 01:00:00")).otherwise(F.lit("2024-01-01 01:00:00")).cast("timestamp")
+    rows = spark.range(0, 60_000, 1, 12).withColumn("token_id", F.sha2(F.col("id").cast("string"), 256)).withColumn("collected_at", day)
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "256k")
+    try:
+        tb.append_snapshots(rows, path)
+    finally:
+        spark.conf.set(name, before)
+    files = {d: len([f for f in os.listdir(f"{path}/dt={d}") if f.endswith(".parquet")]) for d in ("2024-01-01", "2024-01-02")}
+    assert files["2024-01-01"] >= 6 and files["2024-01-02"] == 1
+    assert spark.read.parquet(path).count() == 60_000
+
+
 def test_report_files(spark):
     json_path, text_path = shared_dir(spark, "json"), shared_dir(spark, "text")
     stats = REGISTRY["a12_threshold_statistics"].run(spark, SF)

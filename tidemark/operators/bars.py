@@ -182,7 +182,9 @@ def completed_return(reading: Column) -> Column:
 def level_pivots(bars: DataFrame, timeframe: str = "4H", last: int = PLAN_BARS) -> DataFrame:
     """Pivots inside the newest ``last`` bars of one frame, which the plan looks at; one row per pivot."""
     newest = Window.partitionBy(*SERIES).orderBy(F.col("open_time").desc())
-    rows = bars.filter(F.col("timeframe") == timeframe).withColumn("idx", -F.row_number().over(newest)).filter(F.col("idx") >= -last)
+    rows = bars.filter(F.col("timeframe") == timeframe).withColumn("rn", F.row_number().over(newest))
+    # The filter is on the row number itself, so each input partition is cut to ``last`` rows before the exchange.
+    rows = rows.filter(F.col("rn") <= last).withColumn("idx", -F.col("rn")).drop("rn")
     order = Window.partitionBy(*SERIES).orderBy("idx")
     kinds = F.array_compact(
         F.array(

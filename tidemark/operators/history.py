@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.timecol import DAY, MINUTE, bucket_of, micros
 from tidemark.operators.joins import asof_backward
+from tidemark.operators.ranks import rank_rows
 from tidemark.session import staged
 
 MISSES_TO_END = 3
@@ -16,18 +17,20 @@ PUBLISHED = ("completed", "degraded")
 def effective_runs(runs: DataFrame, as_of: Column | None = None, bucket: int = RUN_BUCKET) -> DataFrame:
     """One published run per class and time bucket, the latest with ties to the highest id, numbered per class.
 
-    After the per-bucket reduction a class holds at most one row per bucket of calendar time.
+    Classes are few and time is long, so runs are numbered over range partitions, not in one task per class.
     """
+    return rank_rows(_chosen_runs(runs, as_of, bucket), [F.col("finished_at").asc(), F.col("run_id").asc()], within=["asset_class"], into="seq")
+
+
+def _chosen_runs(runs: DataFrame, as_of: Column | None, bucket: int) -> DataFrame:
     ok = F.col("status").isin(*PUBLISHED) & F.col("finished_at").isNotNull()
     if as_of is not None:
         ok = ok & (F.col("finished_at") <= as_of)
-    kept = (
+    return (
         runs.filter(ok).groupBy("asset_class", bucket_of(micros("finished_at"), bucket).alias("bucket"))
         .agg(F.max(F.struct("finished_at", "run_id")).alias("r"))
         .select("asset_class", "bucket", "r.*")
     )
-    order = Window.partitionBy("asset_class").orderBy("finished_at", "run_id")
-    return kept.withColumn("seq", F.row_number().over(order).cast("bigint"))
 
 
 def episodes(runs: DataFrame, members: DataFrame, window_start: Column, window_end: Column, bucket: int = RUN_BUCKET) -> DataFrame:
@@ -102,14 +105,13 @@ def leaderboard(rows: DataFrame, sort: str = "rate", direction: str = "desc", st
     column = {"rate": "listing_rate", "count": "appearances", "return": "return_pct"}[sort]
     lead = F.col(column).asc_nulls_last() if direction == "asc" else F.col(column).desc_nulls_last()
     ties = [F.col("instrument_id")] if sort == "count" else [F.col("appearances").desc(), F.col("instrument_id")]
-    order = Window.partitionBy("asset_class").orderBy(lead, *ties)
-    return picked.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return rank_rows(picked, [lead, *ties], within=["asset_class"])
 
 
 def window_summary(runs: DataFrame, window_start: Column, window_end: Column, bucket: int = RUN_BUCKET) -> DataFrame:
     """Number of effective scans in the window and the time of the last one, per class."""
     inside = F.col("finished_at") >= window_start
-    return effective_runs(runs, window_end, bucket).groupBy("asset_class").agg(
+    return _chosen_runs(runs, window_end, bucket).groupBy("asset_class").agg(
         F.count_if(inside).alias("effective_scans"), F.max(F.when(inside, F.col("finished_at"))).alias("generated_at")
     )
 

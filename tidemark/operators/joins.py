@@ -7,7 +7,7 @@ summary row per bucket, or as a thin margin of replicated rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -68,6 +68,28 @@ def asof_backward(
     return joined.select(f"{_ROW}.*", F.coalesce("__local", "__carry").alias(into))
 
 
+def asof_instants(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    instants: Mapping[str, Column],
+    right_time: str,
+    take: Sequence[str],
+    tiebreak: str | None = None,
+    bucket: int = DAY,
+) -> DataFrame:
+    """Attach, under each name, the newest right row at or before that instant of the left row.
+
+    A left row asks once per instant in one union with the right rows, so these are shuffled once
+    however many instants there are; its answers are then put side by side.
+    """
+    asks = F.array(*[F.struct(F.lit(name).alias("name"), at.alias("at")) for name, at in instants.items()])
+    asking = left.withColumn("__id", F.monotonically_increasing_id()).select("*", F.explode(asks).alias("__ask")).select("*", F.col("__ask.at").alias("__at"))
+    found = asof_backward(asking, right, on, "__at", right_time, take, tiebreak, bucket=bucket, into="__found")
+    answers = [F.max(F.when(F.col("__ask.name") == name, F.col("__found"))).alias(name) for name in instants]
+    return found.groupBy("__id").agg(F.first(F.struct(*left.columns)).alias(_ROW), *answers).select(f"{_ROW}.*", *instants)
+
+
 def interval_join(
     intervals: DataFrame,
     points: DataFrame,

@@ -8,13 +8,14 @@ value reaches a chunk through one small state row per chunk. The seed, the mean
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.joins import previous_row
-from tidemark.operators.series import CHUNK
+from tidemark.operators.series import CHUNK, drop_margin, with_margin
 from tidemark.session import staged
 
 RSI_PERIOD = 14
@@ -81,27 +82,33 @@ def smooth(df: DataFrame, on: Sequence[str], idx: str, specs: Sequence[Smoother]
     return joined.withColumns(smoothed).drop("__chunk", *[f"__in_{s.out}" for s in specs], *[f"__s_{s.out}" for s in specs])
 
 
+#: What is left of a value after this many halvings is far below the rounding of any sum it is added to.
+FORGOTTEN = 200.0
+
+
 def _chunk_starts(ends: DataFrame, on: list[str], specs: Sequence[Smoother], chunk: int) -> DataFrame:
-    """Smoothed value each chunk starts from: an ordered fold over one row per ``chunk`` bars."""
-    fields = [f"__e_{s.out}" for s in specs]
-    listed = ends.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("__chunk", *fields))).alias("__ends"))
-
-    def step(acc: Column, row: Column) -> Column:
-        prev = F.element_at(acc, -1)
-        nxt = F.struct(
-            (row["__chunk"] + 1).alias("__chunk"),
-            *[
-                (prev[f"__s_{s.out}"] * F.lit((1.0 - s.alpha) ** chunk) + row[f"__e_{s.out}"]).alias(f"__s_{s.out}")
-                for s in specs
-            ],
-        )
-        return F.concat(acc, F.array(nxt))
+    """Smoothed value each chunk starts from: a parallel prefix over the affine maps of the chunks, level by level.
 
-    zero = F.array(
-        F.struct(F.lit(0).cast("bigint").alias("__chunk"), *[F.lit(0.0).alias(f"__s_{s.out}") for s in specs])
-    )
-    starts = listed.select(*on, F.explode(F.aggregate("__ends", zero, step)).alias("__st"))
-    return starts.select(*on, "__st.*")
+    A chunk maps the value it starts from to ``end + keep ** chunk * value``. A level joins every chunk
+    with the one 1, 2, 4, ... places before, which doubles the span its map covers; chunks further back
+    than ``FORGOTTEN`` halvings no longer count. Chunks lie in blocks that carry along as many chunks
+    of the block before as that takes, so no window is as long as a series.
+    """
+    decay = {s.out: math.log2(1.0 - s.alpha) * chunk for s in specs}  # negative: powers of two per chunk
+    reach = {out: max(1, math.ceil(FORGOTTEN / -d)) for out, d in decay.items()}
+    margin = 1 << (max(reach.values()) - 1).bit_length()
+    block = max(chunk, 2 * margin)
+    rows = with_margin(ends.withColumnRenamed("__chunk", "__at"), "__at", before=margin, after=0, chunk=block)
+    order = Window.partitionBy(*on, "__chunk").orderBy("__at")
+    span = 1
+    while span < margin:
+        # Places, not rows, are what a level looks back by; chunks have no gaps, as positions are dense.
+        joined = {
+            f"__e_{s.out}": F.col(f"__e_{s.out}") + F.lit(2.0 ** max(decay[s.out] * span, -1074.0)) * F.coalesce(F.lag(f"__e_{s.out}", span).over(order), F.lit(0.0))
+            for s in specs if span < reach[s.out]
+        }
+        rows, span = rows.withColumns(joined), 2 * span
+    return drop_margin(rows).select(*on, (F.col("__at") + 1).alias("__chunk"), *[F.col(f"__e_{s.out}").alias(f"__s_{s.out}") for s in specs])
 
 
 def rsi_from(gain: Column, loss: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.timecol import DAY, HOUR, MINUTE, micros
 from tidemark.operators import bars as br, opportunity as op
-from tidemark.operators.joins import asof_backward
+from tidemark.operators.joins import asof_instants
 from tidemark.operators.order_stats import grouped_median
 from tidemark.session import staged
 
@@ -22,17 +22,13 @@ def latest_derivatives(derivatives: DataFrame) -> DataFrame:
 def oi_changes(
     current: DataFrame, history: DataFrame, short: int = 15 * MINUTE, long: int = HOUR, bucket: int = DAY
 ) -> DataFrame:
-    """Open-interest change against the newest snapshot at or before two look-back instants."""
-    out = current
-    for name, back in (("oi_change_15m", short), ("oi_change_1h", long)):
-        out = out.withColumn("__at", F.timestamp_micros(micros("collected_at") - back))
-        out = asof_backward(
-            out, history, ["asset_class", "instrument_id"], "__at", "collected_at", ["open_interest_usd"], "id", bucket=bucket,
-            into="__base",
-        )
-        out = out.withColumn(name, op.oi_change(F.col("open_interest_usd"), F.col("__base.open_interest_usd")))
-        out = out.drop("__at", "__base")
-    return out
+    """Open-interest change against the newest snapshot at or before two look-back instants, in one pass over the history."""
+    names = {"oi_change_15m": short, "oi_change_1h": long}
+    instants = {f"__{name}": F.timestamp_micros(micros("collected_at") - back) for name, back in names.items()}
+    out = asof_instants(current, history, ["asset_class", "instrument_id"], instants, "collected_at", ["open_interest_usd"], "id", bucket=bucket)
+    for name in names:
+        out = out.withColumn(name, op.oi_change(F.col("open_interest_usd"), F.col(f"__{name}.open_interest_usd")))
+    return out.drop(*instants)
 
 
 def pool_context(bars: DataFrame, assets: DataFrame, benchmarks: dict[str, str]) -> DataFrame:

@@ -126,10 +126,9 @@ def snapshot_row(snapshots: DataFrame) -> DataFrame:
 # ---- writers ------------------------------------------------------------------------------------
 
 
-def append_snapshots(snapshots: DataFrame, path: str, files_per_day: int = 16) -> None:
-    """Append by date; rows of one day are spread over files by token so a day stays parallel and its files few."""
-    spread = F.pmod(F.xxhash64("token_id"), F.lit(files_per_day))
-    snapshot_row(snapshots).repartition("dt", spread).write.mode("append").partitionBy("dt").parquet(path)
+def append_snapshots(snapshots: DataFrame, path: str) -> None:
+    """Append by date. Adaptive execution splits large days and joins small ones, so files follow volume, not days."""
+    snapshot_row(snapshots).hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
 
 
 def publish_runs(opportunities: DataFrame, runs: DataFrame, path: str, generation: int) -> None:
