@@ -15,12 +15,12 @@ from tidemark.catalog import REGISTRY
 from tidemark.session import build_session
 
 HEADLINE = (
-    "a1_trade_window_stats", "c8_multi_version_scores", "c11_candidate_merge", "o7_bounded_universe",
+    "a1_trade_window_stats", "c8_multi_version_scores", "c8_four_versions", "c11_candidate_merge", "o7_bounded_universe",
     "j3_asof_inclusive", "j8_earliest_in_lookback", "w21_first_crossings", "l4_outcomes", "a12_threshold_statistics",
     "w25_resampled_bars", "w4_macd", "w10_false_breakouts", "c13_start_score", "c25_price_plan", "c21_liquid_universe",
     "w22_episodes", "o6_leaderboard_by_rate", "p28_token_views", "s1_new_pools", "t5_tumbling_windows",
 )
-ROWS = {"c8_multi_version_scores": "events", "j3_asof_inclusive": "events", "w4_macd": "lineitem", "a12_threshold_statistics": "events"}
+ROWS = {"c8_multi_version_scores": "events", "c8_four_versions": "events", "j3_asof_inclusive": "events", "w4_macd": "lineitem", "a12_threshold_statistics": "events"}
 
 
 def main() -> None:

@@ -48,7 +48,7 @@ def score(spark, champion=None, **values):
              "sell_volume_m5_usd", "participant_growth", "social_momentum", "token_age_seconds", "top10_holder_percent", "concentrated_activity",
              "suspected_bot_activity", "strong_dev_selling"]
     cols = [q.fresh_or_missing(F.lit(values.get(n)).cast("double")).alias(n) for n in names]
-    return sc.evaluate(sc.with_versions(spark.range(1).select(*cols), champion or sc.default_config())).collect()[0]
+    return sc.score(spark.range(1).select(*cols), champion or sc.default_config()).collect()[0]
 
 
 def test_score_caps_gates_and_risks(spark):
@@ -63,7 +63,7 @@ def test_score_caps_gates_and_risks(spark):
     empty = score(spark)
     assert empty["raw_score"] == 0.0 and empty["raw_tier"] == "HIDDEN"
     with pytest.raises(ValueError):
-        sc.with_versions(spark.range(1), sc.default_config("a"), [sc.default_config("a")])
+        sc.score(spark.range(1), sc.default_config("a"), [sc.default_config("a")])
 
 
 def test_episode_example(spark):

@@ -105,7 +105,8 @@ def inputs(spark, sf_dir):
 
 
 def scored(spark, sf_dir, *challengers):
-    return sc.evaluate(sc.with_versions(inputs(spark, sf_dir), sc.default_config(), challengers))
+    ready = sc.with_previous(ad.score_inputs(spark, sf_dir), ["token_id"], ["collected_at", "snapshot_id"], bucket_of(micros("collected_at"), DAY))
+    return sc.score(ready, sc.default_config(), challengers)
 
 
 @query("c1_score_evaluation", oracle("""SELECT snapshot_id, round(raw_momentum, 6) AS raw_momentum, available_maximum,
@@ -184,6 +185,19 @@ def multi_version_scores(spark, sf_dir):
     )
 
 
+V4 = sc.variant("SCORE_V1.3", tiers__watch=20.0)
+define("sc3", final_sql(totals_sql(f"SELECT * FROM ({points_sql((25, 20, 15, 15, 5, 10), None)})", (25, 20, 15, 15, 5, 10)), "SCORE_V1.2", "CHALLENGER"), "ratios")
+define("sc4", final_sql(totals_sql("SELECT * FROM pts1", V1_MAX), "SCORE_V1.3", "CHALLENGER").replace("raw_score >= 55", "raw_score >= 20"), "pts1")
+
+
+@query("c8_four_versions", oracle(" UNION ALL ".join(
+    f"SELECT snapshot_id, score_version, role, round(raw_score, 6) AS raw_score, raw_tier, effective_tier FROM {t}" for t in ("sc1", "sc2", "sc3", "sc4")), "sc1", "sc2", "sc3", "sc4"))
+def four_versions(spark, sf_dir):
+    return scored(spark, sf_dir, V4, V2, V3).select(
+        "snapshot_id", "score_version", "role", F.round("raw_score", 6).alias("raw_score"), "raw_tier", "effective_tier"
+    )
+
+
 @query("p3_evidence_ratio", oracle("""SELECT snapshot_id, CASE WHEN isinf(r_tx) THEN -1 ELSE round(r_tx, 8) END AS trade_ratio,
   CASE WHEN isinf(r_lq) THEN -1 ELSE round(r_lq, 8) END AS liquidity_ratio FROM ratios""", "ratios"))
 def evidence_ratio(spark, sf_dir):

@@ -96,12 +96,6 @@ def ladder(value: Column, steps: Sequence[tuple[float | Column, float | Column]]
     return chain.otherwise(F.lit(0.0))
 
 
-def config_ladder(value: Column, factor: Column, thresholds: str = "velocity_thresholds") -> Column:
-    """Ladder whose thresholds, multipliers and maximum come from a score-config struct."""
-    steps = [(factor[thresholds][s], factor["point_multipliers"][s]) for s in LADDER_STEPS]
-    return ladder(value, steps, factor["maximum"])
-
-
 def worst_quality(*qualities: Column) -> Column:
     """degraded beats cached beats fresh; any unusable input gives missing."""
     every = F.lit(True)

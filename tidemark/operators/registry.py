@@ -26,6 +26,21 @@ OBJECT_KEYS = {
     "clamp": ("minimum", "maximum"),
 }
 
+_STEPS = "struct<full:double,high:double,medium:double,low:double,minimum:double>"
+_FACTOR = (
+    f"struct<maximum:double,velocity_thresholds:{_STEPS},ratio_thresholds:{_STEPS},point_multipliers:{_STEPS}>"
+)
+CONFIG_SCHEMA = (
+    "struct<version:string,factors:struct<" + ",".join(f"{f}:{_FACTOR}" for f in sc.FACTORS) + ">,"
+    "age_bonus:struct<under_30m:double,under_60m:double,under_120m:double,later:double>,"
+    "age_cutoffs_minutes:struct<minutes_30:double,minutes_60:double,minutes_120:double>,"
+    "risk_penalties:struct<top10_over_80:double,top10_over_60:double,liquidity_below_2000:double,"
+    "liquidity_2000_to_5000:double,concentrated_activity:double,suspected_bot_activity:double,strong_dev_selling:double>,"
+    "risk_thresholds:struct<top10_high_percent:double,top10_medium_percent:double,liquidity_very_low_usd:double,"
+    "liquidity_low_usd:double>,tiers:struct<breakout:double,fast_rising:double,watch:double>,"
+    "clamp:struct<minimum:double,maximum:double>>"
+)
+
 
 def _same_keys(text: Column, path: str, keys: tuple[str, ...]) -> Column:
     body = text if path == "$" else F.get_json_object(text, path)
@@ -59,7 +74,7 @@ def _at_least_zero(*values: Column) -> Column:
 
 def config_violations(text: Column) -> Column:
     """Codes of every rule a config JSON breaks; empty when it is valid."""
-    cfg = F.from_json(text, sc.CONFIG_SCHEMA)
+    cfg = F.from_json(text, CONFIG_SCHEMA)
     checks: list[tuple[str, Column]] = [("root_keys", _same_keys(text, "$", ROOT_KEYS))]
     checks += [(f"{name}_keys", _same_keys(text, f"$.{name}", keys)) for name, keys in OBJECT_KEYS.items()]
     checks.append(("version", F.coalesce(cfg["version"].rlike(VERSION_PATTERN), F.lit(False))))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import copy
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import quality as q
+from tidemark.operators.joins import previous_row
 
 # Factor names, default config, tiers and confidence levels.
 VELOCITY_FACTORS = ("buyer_velocity", "volume_velocity", "buy_pressure", "participant_growth", "social_momentum")
@@ -26,20 +26,13 @@ RISK_FLAG_ORDER = (
     "HIGH_CONCENTRATION", "LOW_LIQUIDITY", "CONCENTRATED_ACTIVITY", "SUSPECTED_BOT_ACTIVITY", "STRONG_DEV_SELLING",
 )
 
-_STEPS = "struct<full:double,high:double,medium:double,low:double,minimum:double>"
-_FACTOR = (
-    f"struct<maximum:double,velocity_thresholds:{_STEPS},ratio_thresholds:{_STEPS},point_multipliers:{_STEPS}>"
-)
-CONFIG_SCHEMA = (
-    "struct<version:string,factors:struct<" + ",".join(f"{f}:{_FACTOR}" for f in FACTORS) + ">,"
-    "age_bonus:struct<under_30m:double,under_60m:double,under_120m:double,later:double>,"
-    "age_cutoffs_minutes:struct<minutes_30:double,minutes_60:double,minutes_120:double>,"
-    "risk_penalties:struct<top10_over_80:double,top10_over_60:double,liquidity_below_2000:double,"
-    "liquidity_2000_to_5000:double,concentrated_activity:double,suspected_bot_activity:double,strong_dev_selling:double>,"
-    "risk_thresholds:struct<top10_high_percent:double,top10_medium_percent:double,liquidity_very_low_usd:double,"
-    "liquidity_low_usd:double>,tiers:struct<breakout:double,fast_rising:double,watch:double>,"
-    "clamp:struct<minimum:double,maximum:double>>"
+# Tagged columns a score reads, and those it compares with the previous snapshot.
+EVIDENCE = (
+    "buyers_m5", "volume_m5_usd", "buys_m5", "sells_m5", "buy_volume_m5_usd", "sell_volume_m5_usd", "buyer_velocity", "volume_velocity",
+    "participant_growth", "social_momentum", "liquidity_usd", "market_cap_usd", "token_age_seconds", "top10_holder_percent",
+    "concentrated_activity", "suspected_bot_activity", "strong_dev_selling",
 )
+COMPARED = ("buyers_m5", "volume_m5_usd")
 
 
 def default_config(version: str = "SCORE_V1.0") -> dict:
@@ -87,27 +80,14 @@ def variant(version: str, **changes: float) -> dict:
     return cfg
 
 
-def config_column(cfg: dict) -> Column:
-    return F.from_json(F.lit(json.dumps(cfg)), CONFIG_SCHEMA)
-
-
-def with_versions(inputs: DataFrame, champion: dict, challengers: Sequence[dict] = ()) -> DataFrame:
-    """Repeat every input per active version, champion first, with role and config attached.
-
-    The active set is one champion and at most three challengers, so it travels as a literal.
-    """
+def active_versions(champion: dict, challengers: Sequence[dict] = ()) -> list[tuple[dict, str]]:
+    """The active configs with their roles, champion first: one champion and at most three challengers."""
     if len(challengers) > MAX_CHALLENGERS:
         raise ValueError(f"at most {MAX_CHALLENGERS} challengers may be active")
     names = [champion["version"], *[c["version"] for c in challengers]]
     if len(set(names)) != len(names):
         raise ValueError("active score versions must be unique")
-    ordered = [(champion, "CHAMPION"), *[(c, "CHALLENGER") for c in sorted(challengers, key=lambda c: c["version"])]]
-    entries = [F.struct(F.lit(role).alias("role"), config_column(cfg).alias("cfg")) for cfg, role in ordered]
-    spread = inputs.withColumn("__v", F.explode(F.array(*entries)))
-    return (
-        spread.withColumn("role", F.col("__v.role")).withColumn("cfg", F.col("__v.cfg"))
-        .withColumn("score_version", F.col("cfg.version")).drop("__v")
-    )
+    return [(champion, "CHAMPION"), *[(c, "CHALLENGER") for c in sorted(challengers, key=lambda c: c["version"])]]
 
 
 def tier_of(score: Column, tiers: Column) -> Column:
@@ -136,98 +116,58 @@ def confidence_of(count: Column) -> Column:
     return F.when(count == 5, "HIGH").when(count == 4, "GOOD").when(count == 3, "MEDIUM").otherwise("LOW")
 
 
-def age_bonus(age_seconds: Column, cfg: Column) -> Column:
-    """Bonus by token age in minutes; 0 for an unavailable (NULL) age."""
-    minutes = age_seconds / F.lit(60.0)
-    cut, bonus = cfg["age_cutoffs_minutes"], cfg["age_bonus"]
-    return (
-        F.when(minutes <= cut["minutes_30"], bonus["under_30m"]).when(minutes <= cut["minutes_60"], bonus["under_60m"])
-        .when(minutes <= cut["minutes_120"], bonus["under_120m"]).when(minutes.isNotNull(), bonus["later"])
-        .otherwise(F.lit(0.0))
-    )
+def evidence_values(df: DataFrame) -> DataFrame:
+    """Adds the value (NULL unless usable) and the quality of every tagged column a score reads, as plain columns.
 
+    Done before rows are sorted or shuffled, so that these carry numbers instead of tagged structs.
+    """
+    cols = {}
+    for name in EVIDENCE:
+        cols[f"__v_{name}"] = q.value_if_available(F.col(name)).cast("double")
+        cols[f"__q_{name}"] = F.col(name)["quality"]
+    return df.withColumns(cols)
 
-def risk_terms(cfg: Column) -> list[tuple[str, Column]]:
-    """(flag, penalty) per risk in reporting order; a penalty is NULL when the risk does not apply."""
-    limits, cost = cfg["risk_thresholds"], cfg["risk_penalties"]
-    top10 = q.value_if_available(F.col("top10_holder_percent"))
-    liquidity = q.value_if_available(F.col("liquidity_usd"))
 
-    def flagged(name: str, price: Column) -> Column:
-        return F.when(q.value_if_available(F.col(name)) != 0, price)
+def with_previous(df: DataFrame, on: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
+    """Score values of each row beside those of the snapshot before it."""
+    values = evidence_values(df)
+    found = previous_row(values, on, order, [f"__{kind}_{name}" for name in COMPARED for kind in "vq"], bucket, "__previous")
+    return found.withColumns({f"__{kind}_prev_{name}": F.col(f"__previous.__{kind}_{name}") for name in COMPARED for kind in "vq"}).drop("__previous")
 
-    terms = (
-        F.when(top10 > limits["top10_high_percent"], cost["top10_over_80"])
-        .when(top10 > limits["top10_medium_percent"], cost["top10_over_60"]),
-        F.when(liquidity < limits["liquidity_very_low_usd"], cost["liquidity_below_2000"])
-        .when(liquidity <= limits["liquidity_low_usd"], cost["liquidity_2000_to_5000"]),
-        flagged("concentrated_activity", cost["concentrated_activity"]),
-        flagged("suspected_bot_activity", cost["suspected_bot_activity"]),
-        flagged("strong_dev_selling", cost["strong_dev_selling"]),
-    )
-    return list(zip(RISK_FLAG_ORDER, terms))
+
+def _prepared(df: DataFrame) -> DataFrame:
+    """Values and qualities of a table that has not been through ``with_previous``; without previous columns there is no previous snapshot."""
+    if f"__v_{COMPARED[0]}" not in df.columns:
+        df = evidence_values(df)
+    missing = [name for name in COMPARED if f"__v_prev_{name}" not in df.columns]
+    return df.withColumns({f"__{kind}_prev_{name}": F.lit(None).cast("double" if kind == "v" else "string") for name in missing for kind in "vq"})
 
 
-def _with_previous(df: DataFrame) -> DataFrame:
-    """Ensure the previous-snapshot columns exist; absent means there is no previous snapshot."""
-    for name in ("buyers_m5", "volume_m5_usd"):
-        if f"prev_{name}" not in df.columns:
-            df = df.withColumn(f"prev_{name}", F.lit(None).cast(df.schema[name].dataType))
-    return df
+def _ratio(numerator: str, denominator: str) -> Column:
+    n, d = F.col(f"__v_{numerator}"), F.col(f"__v_{denominator}")
+    return F.when(d >= 0, q.open_ratio(n, d))
 
 
-def factor_ratios(df: DataFrame) -> DataFrame:
+def factor_ratios() -> dict[str, Column]:
     """Ratios behind the factors; NULL where the evidence is unavailable.
 
     Explicit velocities win; otherwise the current value is compared with the previous snapshot.
     """
-    df = _with_previous(df)
-
-    def velocity(explicit: str, current: str) -> Column:
-        own = q.value_if_available(F.col(explicit))
-        return F.coalesce(own, q.evidence_ratio(F.col(current), F.col(f"prev_{current}")))
-
-    return df.withColumns(
-        {
-            "__r_buyer_velocity": velocity("buyer_velocity", "buyers_m5"),
-            "__r_volume_velocity": velocity("volume_velocity", "volume_m5_usd"),
-            "__r_trades": q.evidence_ratio(F.col("buys_m5"), F.col("sells_m5")),
-            "__r_volumes": q.evidence_ratio(F.col("buy_volume_m5_usd"), F.col("sell_volume_m5_usd")),
-            "__r_participant_growth": q.value_if_available(F.col("participant_growth")),
-            "__r_social_momentum": q.value_if_available(F.col("social_momentum")),
-            "__r_liquidity_quality": q.evidence_ratio(F.col("liquidity_usd"), F.col("market_cap_usd")),
-        }
-    )
-
-
-def factor_points(df: DataFrame, cfg: Column) -> DataFrame:
-    """Points per factor, NULL when unavailable. Buy pressure averages its two ladders."""
-    factors = cfg["factors"]
-
-    def points(ratio: Column, name: str) -> Column:
-        steps = "ratio_thresholds" if name == LIQUIDITY_FACTOR else "velocity_thresholds"
-        return F.when(ratio.isNotNull(), q.config_ladder(ratio, factors[name], steps))
-
-    pressure = factors["buy_pressure"]
-    first, second = points(F.col("__r_trades"), "buy_pressure"), points(F.col("__r_volumes"), "buy_pressure")
-    both = (
-        F.when(F.col("__r_trades").isNotNull() & F.col("__r_volumes").isNotNull(), (first + second) / 2.0)
-        .otherwise(F.coalesce(first, second))
-    )
-    cols = {
-        f"__p_{n}": points(F.col(f"__r_{n}"), n) for n in FACTORS if n != "buy_pressure"
+    return {
+        "buyer_velocity": F.coalesce("__v_buyer_velocity", _ratio("buyers_m5", "prev_buyers_m5")),
+        "volume_velocity": F.coalesce("__v_volume_velocity", _ratio("volume_m5_usd", "prev_volume_m5_usd")),
+        "trades": _ratio("buys_m5", "sells_m5"), "volumes": _ratio("buy_volume_m5_usd", "sell_volume_m5_usd"),
+        "participant_growth": F.col("__v_participant_growth"), "social_momentum": F.col("__v_social_momentum"),
+        "liquidity_quality": _ratio("liquidity_usd", "market_cap_usd"),
     }
-    cols["__p_buy_pressure"] = F.when(both.isNotNull(), F.least(both, pressure["maximum"]))
-    return df.withColumns(cols)
 
 
-def evidence_quality(df: DataFrame) -> Column:
+def evidence_quality() -> Column:
     """Quality per evidence key; a derived velocity takes the worst of its two inputs."""
 
     def derived(explicit: str, current: str) -> Column:
-        own = F.col(explicit)["quality"]
-        pair = q.worst_quality(F.col(current)["quality"], F.col(f"prev_{current}")["quality"])
-        return F.when(q.usable(own), own).otherwise(pair)
+        own = F.col(f"__q_{explicit}")
+        return F.when(q.usable(own), own).otherwise(q.worst_quality(F.col(f"__q_{current}"), F.col(f"__q_prev_{current}")))
 
     entries = [
         F.lit("buyer_velocity"), derived("buyer_velocity", "buyers_m5"),
@@ -240,66 +180,100 @@ def evidence_quality(df: DataFrame) -> Column:
         ("concentrated_activity", "concentrated_activity"), ("suspected_bot_activity", "suspected_bot_activity"),
         ("strong_dev_selling", "strong_dev_selling"),
     ):
-        entries += [F.lit(key), q.canonical_quality(F.col(column)["quality"])]
+        entries += [F.lit(key), q.canonical_quality(F.col(f"__q_{column}"))]
     return F.create_map(*entries)
 
 
-def evaluate(df: DataFrame) -> DataFrame:
-    """Score each input under the config in ``cfg`` and keep every contribution."""
-    cfg = F.col("cfg")
-    work = factor_points(factor_ratios(df), cfg)
-    zero = F.lit(0.0)
-    raw, maximum, count = zero, zero, F.lit(0)
-    for name in FACTORS:
-        points = F.col(f"__p_{name}")
-        raw = raw + F.coalesce(points, zero)
-        maximum = maximum + F.when(points.isNotNull(), cfg["factors"][name]["maximum"]).otherwise(zero)
-    for name in CORE_FACTORS:
-        count = count + F.col(f"__p_{name}").isNotNull().cast("int")
-    penalty = zero
-    for _, cost in risk_terms(cfg):
-        penalty = penalty + F.coalesce(cost, zero)
-    flags = F.array_compact(F.array(*[F.when(cost.isNotNull(), flag) for flag, cost in risk_terms(cfg)]))
-    work = work.withColumns(
-        {
-            "raw_momentum": raw,
-            "available_maximum": maximum,
-            "age_bonus": age_bonus(q.value_if_available(F.col("token_age_seconds")), cfg),
-            "risk_penalty": penalty,
-            "risk_flags": flags,
-            "evidence_available": count,
-            "evidence_total": F.lit(len(CORE_FACTORS)),
-            "evidence_quality": evidence_quality(work),
-            "factors": F.create_map(
-                *[
-                    part
-                    for name in FACTORS
-                    for part in (
-                        F.lit(name),
-                        F.struct(
-                            F.coalesce(F.col(f"__p_{name}"), zero).alias("points"),
-                            cfg["factors"][name]["maximum"].alias("maximum"),
-                            F.col(f"__p_{name}").isNotNull().alias("available"),
-                        ),
-                    )
-                ]
-            ),
-        }
+def factor_points(cfg: dict) -> dict[str, Column]:
+    """Points per factor, NULL when unavailable. Buy pressure averages its two ladders."""
+
+    def points(ratio: str, name: str) -> Column:
+        factor = cfg["factors"][name]
+        steps = factor["ratio_thresholds" if name == LIQUIDITY_FACTOR else "velocity_thresholds"]
+        rungs = [(steps[s], factor["point_multipliers"][s]) for s in q.LADDER_STEPS]
+        return F.when(F.col(f"__r_{ratio}").isNotNull(), q.ladder(F.col(f"__r_{ratio}"), rungs, factor["maximum"]))
+
+    first, second = points("trades", "buy_pressure"), points("volumes", "buy_pressure")
+    both = F.coalesce((first + second) / 2.0, first, second)
+    out = {name: points(name, name) for name in FACTORS if name != "buy_pressure"}
+    out["buy_pressure"] = F.when(both.isNotNull(), F.least(both, F.lit(float(cfg["factors"]["buy_pressure"]["maximum"]))))
+    return {name: out[name] for name in FACTORS}
+
+
+def age_bonus(minutes: Column, cfg: dict) -> Column:
+    """Bonus by token age in minutes; 0 for an unavailable (NULL) age."""
+    cut, bonus = cfg["age_cutoffs_minutes"], {k: float(v) for k, v in cfg["age_bonus"].items()}
+    return (
+        F.when(minutes <= cut["minutes_30"], bonus["under_30m"]).when(minutes <= cut["minutes_60"], bonus["under_60m"])
+        .when(minutes <= cut["minutes_120"], bonus["under_120m"]).when(minutes.isNotNull(), bonus["later"]).otherwise(F.lit(0.0))
     )
-    clamp = cfg["clamp"]
-    normalized = F.when(
-        F.col("available_maximum") > 0, F.col("raw_momentum") / F.col("available_maximum") * clamp["maximum"]
-    ).otherwise(zero)
-    work = work.withColumn("normalized_momentum", normalized)
-    work = work.withColumn(
-        "raw_score",
-        F.least(
-            F.greatest(F.col("normalized_momentum") + F.col("age_bonus") - F.col("risk_penalty"), clamp["minimum"]),
-            clamp["maximum"],
-        ),
+
+
+def risk_costs(cfg: dict) -> dict[str, Column]:
+    """Penalty per risk in reporting order, NULL when the risk does not apply."""
+    limits, cost = cfg["risk_thresholds"], {k: F.lit(float(v)) for k, v in cfg["risk_penalties"].items()}
+    top10, liquidity = F.col("__v_top10_holder_percent"), F.col("__v_liquidity_usd")
+    terms = (
+        F.when(top10 > limits["top10_high_percent"], cost["top10_over_80"]).when(top10 > limits["top10_medium_percent"], cost["top10_over_60"]),
+        F.when(liquidity < limits["liquidity_very_low_usd"], cost["liquidity_below_2000"])
+        .when(liquidity <= limits["liquidity_low_usd"], cost["liquidity_2000_to_5000"]),
+        *[F.when(F.col(f"__v_{name}") != 0, cost[name]) for name in ("concentrated_activity", "suspected_bot_activity", "strong_dev_selling")],
     )
-    work = work.withColumn("raw_tier", tier_of(F.col("raw_score"), cfg["tiers"])).withColumn(
-        "evidence_confidence", confidence_of(F.col("evidence_available"))
+    return dict(zip(RISK_FLAG_ORDER, terms, strict=True))
+
+
+def _total(terms: Sequence[Column]) -> Column:
+    out = F.lit(0.0)
+    for term in terms:
+        out = out + F.coalesce(term, F.lit(0.0))
+    return out
+
+
+def _version_row(cfg: dict, role: str) -> Column:
+    """What one config makes of the ratios of a row, as a struct of numbers; the config itself is literals."""
+    points = factor_points(cfg)
+    maxima = {name: float(cfg["factors"][name]["maximum"]) for name in FACTORS}
+    costs = risk_costs(cfg)
+    return F.struct(
+        F.lit(role).alias("role"), F.lit(cfg["version"]).alias("score_version"),
+        F.struct(*[p.alias(name) for name, p in points.items()]).alias("__points"),
+        F.struct(*[F.lit(m).alias(name) for name, m in maxima.items()]).alias("__maxima"),
+        F.struct(*[c.alias(flag) for flag, c in costs.items()]).alias("__costs"),
+        _total([F.when(p.isNotNull(), maxima[name]) for name, p in points.items()]).alias("available_maximum"),
+        age_bonus(F.col("__minutes"), cfg).alias("age_bonus"),
+        F.struct(*[F.lit(float(v)).alias(k) for k, v in (*cfg["clamp"].items(), *cfg["tiers"].items())]).alias("__limits"),
     )
+
+
+def score(df: DataFrame, champion: dict, challengers: Sequence[dict] = ()) -> DataFrame:
+    """Every input once per active version, with every contribution to its score.
+
+    Ratios, age and qualities are computed once per input. The configs are compiled to literals, and one
+    array of their results, expanded at the end, stands for the versions, so no config travels with a row.
+    The outer form of the expansion keeps the optimizer from testing the array before it is made.
+    """
+    versions = active_versions(champion, challengers)
+    base = _prepared(df)
+    shared = base.withColumns({f"__r_{name}": ratio for name, ratio in factor_ratios().items()}).withColumn("__minutes", F.col("__v_token_age_seconds") / F.lit(60.0))
+    spread = shared.withColumn("__versions", F.array(*[_version_row(cfg, role) for cfg, role in versions])).select(*shared.columns, F.inline_outer("__versions"))
+    count = F.lit(0)
+    for name in CORE_FACTORS:
+        count = count + F.col(f"__points.{name}").isNotNull().cast("int")
+    work = spread.withColumns({
+        "raw_momentum": _total([F.col(f"__points.{name}") for name in FACTORS]), "risk_penalty": _total([F.col(f"__costs.{flag}") for flag in RISK_FLAG_ORDER]),
+        "risk_flags": F.array_compact(F.array(*[F.when(F.col(f"__costs.{flag}").isNotNull(), flag) for flag in RISK_FLAG_ORDER])),
+        "evidence_available": count, "evidence_total": F.lit(len(CORE_FACTORS)), "evidence_quality": evidence_quality(),
+        "factors": F.create_map(*[
+            part for name in FACTORS for part in (F.lit(name), F.struct(
+                F.coalesce(F.col(f"__points.{name}"), F.lit(0.0)).alias("points"), F.col(f"__maxima.{name}").alias("maximum"), F.col(f"__points.{name}").isNotNull().alias("available"),
+            ))
+        ]),
+    })
+    limits = F.col("__limits")
+    share = F.when(F.col("available_maximum") > 0, F.col("raw_momentum") / F.col("available_maximum") * limits["maximum"]).otherwise(F.lit(0.0))
+    work = work.withColumn("normalized_momentum", share)
+    whole = F.col("normalized_momentum") + F.col("age_bonus") - F.col("risk_penalty")
+    work = work.withColumn("raw_score", F.least(F.greatest(whole, limits["minimum"]), limits["maximum"]))
+    work = work.withColumn("raw_tier", tier_of(F.col("raw_score"), limits)).withColumn("evidence_confidence", confidence_of(F.col("evidence_available")))
     work = work.withColumn("effective_tier", cap_tier(F.col("raw_tier"), F.col("evidence_confidence")))
     return work.drop(*[c for c in work.columns if c.startswith("__")])
