@@ -52,19 +52,22 @@ define("pools", """SELECT o_orderkey AS k, o_orderkey // 100 AS run_id, CASE o_c
 define("pools2", "SELECT *, chain || ':' || CASE chain WHEN 'bsc' THEN lower(addr0) ELSE addr0 END AS token_id FROM pools", "pools")
 
 
-@query("s1_new_pools", oracle("""SELECT run_id, token_id, k AS page, CAST(pos AS BIGINT) AS pos, round(price, 4) AS price_usd, cap_quality FROM pools2 WHERE NOT bad AND back + 1 <= 6
-  QUALIFY row_number() OVER (PARTITION BY run_id, token_id ORDER BY k, pos) = 1""", "pools2"))
+define("firsts", "SELECT *, bad AND pos = 0 AS wrong FROM pools2 WHERE back + 1 <= 6 QUALIFY row_number() OVER (PARTITION BY run_id, token_id ORDER BY k, pos) = 1", "pools2")
+define("newp", "SELECT * FROM firsts WHERE k NOT IN (SELECT k FROM firsts WHERE wrong)", "firsts")
+
+
+@query("s1_new_pools", oracle("SELECT run_id, token_id, k AS page, CAST(pos AS BIGINT) AS pos, round(price, 4) AS price_usd, cap_quality FROM newp", "newp"))
 def new_pools(spark, sf_dir):
     rows, _ = pl.new_pools(pool_documents(spark, sf_dir))
     return rows.select("run_id", "token_id", "page", F.col("pos").cast("bigint").alias("pos"), F.round("price_usd.value", 4).alias("price_usd"), F.col("market_cap_usd.quality").alias("cap_quality"))
 
 
-@query("s1_quarantine", oracle("SELECT k AS page, 'bad_number' AS reason FROM pools2 WHERE bad AND pos = 0", "pools2"))
+@query("s1_quarantine", oracle("SELECT k AS page, 'bad_number' AS reason FROM firsts WHERE wrong", "firsts"))
 def quarantined(spark, sf_dir):
     return pl.new_pools(pool_documents(spark, sf_dir))[1].select("page", "reason")
 
 
-@query("s2_pool_attributes", oracle("SELECT count(*) AS pools, count(*) FILTER (cap_quality = 'fresh') AS with_cap, CAST(sum(k % 9) AS BIGINT) AS buys_m5, count(*) FILTER (k % 3 = 0) AS with_volume FROM (SELECT * FROM pools2 WHERE NOT bad AND back + 1 <= 6 QUALIFY row_number() OVER (PARTITION BY run_id, token_id ORDER BY k, pos) = 1)", "pools2"))
+@query("s2_pool_attributes", oracle("SELECT count(*) AS pools, count(*) FILTER (cap_quality = 'fresh') AS with_cap, CAST(sum(k % 9) AS BIGINT) AS buys_m5, count(*) FILTER (k % 3 = 0) AS with_volume FROM newp", "newp"))
 def pool_attributes(spark, sf_dir):
     rows, _ = pl.new_pools(pool_documents(spark, sf_dir))
     return rows.agg(
@@ -73,7 +76,7 @@ def pool_attributes(spark, sf_dir):
     )
 
 
-@query("s3_momentum_pools", oracle("SELECT run_id, chain, source, count(*) AS returned_items, count(DISTINCT token_id) FILTER (NOT (bad AND pos = 0)) AS unique_candidates, CASE WHEN bool_or(bad) THEN 'bad_number' END AS first_error FROM pools2 GROUP BY 1, 2, 3", "pools2"))
+@query("s3_momentum_pools", oracle("SELECT run_id, chain, source, count(*) AS returned_items, count(DISTINCT token_id) FILTER (NOT (bad AND pos = 0)) AS unique_candidates, CASE WHEN bool_or(bad AND pos = 0 AND coalesce(2 * k < good, true)) THEN 'bad_number' END AS first_error FROM (SELECT *, min(2 * k + pos) FILTER (NOT (bad AND pos = 0)) OVER (PARTITION BY run_id, source, token_id) AS good FROM pools2) GROUP BY 1, 2, 3", "pools2"))
 def momentum_pools(spark, sf_dir):
     return pl.momentum_pools(pool_documents(spark, sf_dir))[1].select("run_id", "chain", "source", "returned_items", "unique_candidates", "first_error")
 
@@ -85,20 +88,20 @@ def broken(docs, key, every, text="{broken"):
 
 @query("s3_quarantine", oracle("SELECT o_orderkey AS page, 'unreadable' AS reason FROM orders WHERE o_orderkey % 19 = 0"))
 def momentum_quarantine(spark, sf_dir):
-    return pl.refused(broken(pool_documents(spark, sf_dir), F.col("page"), 19), pl.POOLS).select("page", "reason")
+    return pl.momentum_pools(broken(pool_documents(spark, sf_dir), F.col("page"), 19))[2].select("page", "reason")
 
 
 @query("s5_quarantine", oracle("SELECT CAST(c_custkey AS VARCHAR) AS file, 'unreadable' AS reason FROM customer WHERE c_custkey % 7 = 0"))
 def pair_quarantine(spark, sf_dir):
-    return pl.refused(broken(pair_documents(spark, sf_dir), F.col("file").cast("bigint"), 7, "[{"), pl.PAIRS).select("file", "reason")
+    return pl.token_pairs(broken(pair_documents(spark, sf_dir), F.col("file").cast("bigint"), 7, "[{"))[1].select("file", "reason")
 
 
 @query("s7_quarantine", oracle("SELECT p_partkey AS file, 'unreadable' AS reason FROM part WHERE p_partkey % 5 = 0"))
 def boost_quarantine(spark, sf_dir):
     p = ad.table(spark, sf_dir, "part")
     item = F.struct(F.lit("bsc").alias("chainId"), F.concat(F.lit("Boost"), "p_partkey").alias("tokenAddress"))
-    docs = p.select(F.to_json(F.array(item)).alias("payload"), F.col("p_partkey").alias("file"))
-    return pl.refused(broken(docs, F.col("file"), 5, "not json"), pl.BOOSTS).select("file", "reason")
+    docs = p.select(F.to_json(F.array(item)).alias("payload"), F.col("p_partkey").alias("file"), F.current_timestamp().alias("collected_at"))
+    return pl.boost_seeds(broken(docs, F.col("file"), 5, "not json"))[1].select("file", "reason")
 
 
 @query("s8_quarantine", oracle("SELECT s_suppkey AS file, CASE WHEN s_suppkey % 4 = 0 THEN 'unreadable' ELSE 'refused' END AS reason FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 4 = 1"))
@@ -107,12 +110,14 @@ def derivatives_quarantine(spark, sf_dir):
     k = F.col("s_suppkey")
     body = F.to_json(F.struct(F.when(k % 4 == 1, "50011").otherwise("0").alias("code"), F.array(F.struct(k.cast("string").alias("instId"), F.lit("1").alias("oiUsd"))).alias("data")))
     docs = broken(s.select(body.alias("payload"), k.alias("file")), F.col("file"), 4)
-    return pl.refused(docs, pl.OPEN_INTEREST).select("file", "reason")
+    docs = docs.withColumn("batch", F.col("file"))
+    none = docs.limit(0)
+    return pl.derivatives_batch(none.withColumn("collected_at", F.current_timestamp()), none, docs, none)[2].select(F.col("batch").alias("file"), "reason")
 
 
 @query("j1_included_token_lookup", oracle("SELECT k AS page, CAST(pos AS BIGINT) AS pos, token_id, CASE WHEN pos = 0 AND k % 4 <> 0 THEN 'SYM' ELSE '' END AS symbol FROM pools2", "pools2"))
 def included_token_lookup(spark, sf_dir):
-    rows = pl._flat_pools(pl.parse(pool_documents(spark, sf_dir), pl.POOLS))
+    rows = pl.flat_pools(pl.parse(pool_documents(spark, sf_dir), pl.POOLS))
     return rows.select("page", F.col("pos").cast("bigint").alias("pos"), "token_id", "symbol")
 
 
@@ -175,7 +180,7 @@ def pair_documents(spark, sf_dir):
 @query("s5_token_pairs", oracle("""SELECT CAST(c_custkey AS VARCHAR) AS file, CAST(p AS BIGINT) AS pos, 'bsc:token' || (c_custkey % 300) AS token_id, CASE p WHEN 0 THEN 'p' ELSE 'q' END || c_custkey AS pair_address, c_acctbal AS price_usd,
   CASE WHEN p = 0 AND c_custkey % 4 = 0 THEN 'missing' ELSE 'fresh' END AS liquidity_quality, CASE WHEN c_custkey % 3 <> 0 THEN 1700000000000000 + c_custkey * 1000000 END AS created_us FROM customer CROSS JOIN (VALUES (0), (1)) v(p)"""))
 def token_pairs(spark, sf_dir):
-    return pl.token_pairs(pair_documents(spark, sf_dir)).select(
+    return pl.token_pairs(pair_documents(spark, sf_dir))[0].select(
         "file", F.col("pos").cast("bigint").alias("pos"), "token_id", "pair_address", F.col("price_usd.value").alias("price_usd"),
         F.col("liquidity.quality").alias("liquidity_quality"), micros("pair_created_at").alias("created_us"),
     )
@@ -183,7 +188,7 @@ def token_pairs(spark, sf_dir):
 
 @query("s6_links", oracle("SELECT CAST(c_custkey AS VARCHAR) AS file, CASE WHEN c_custkey % 2 = 0 THEN 'website,x,other' ELSE 'x,other' END AS kinds FROM customer"))
 def link_kinds(spark, sf_dir):
-    rows = pl.token_pairs(pair_documents(spark, sf_dir)).filter(F.col("pos") == 0)
+    rows = pl.token_pairs(pair_documents(spark, sf_dir))[0].filter(F.col("pos") == 0)
     return rows.select("file", F.array_join(F.transform("links", lambda l: l["kind"]), ",").alias("kinds"))
 
 
@@ -193,7 +198,7 @@ def boost_seeds(spark, sf_dir):
     k = F.col("p_partkey")
     item = F.struct(F.when(k % 3 == 0, "bsc").when(k % 3 == 1, "solana").otherwise("base").alias("chainId"), F.concat(F.lit("Boost"), k).alias("tokenAddress"))
     docs = p.select(F.to_json(F.array(item)).alias("payload"), F.lit("2024-01-01").cast("timestamp").alias("collected_at"))
-    return pl.boost_seeds(docs).select("token_id", F.col("momentum_sources")[0].alias("source"))
+    return pl.boost_seeds(docs)[0].select("token_id", F.col("momentum_sources")[0].alias("source"))
 
 
 def derivative_documents(spark, sf_dir):
@@ -223,13 +228,13 @@ define("derivdoc", """SELECT s_suppkey AS k, 'S' || s_suppkey || '-USDT-SWAP' AS
 
 @query("s8_derivatives_batch", oracle("SELECT instrument_id, asset_class, round(price, 2) AS price_usd, CASE WHEN k % 3 <> 0 THEN CAST(1000 AS DOUBLE) END AS open_interest_usd, k % 6 <> 0 AS listed FROM derivdoc WHERE NOT bad", "derivdoc"))
 def derivatives_batch(spark, sf_dir):
-    rows, _ = pl.derivatives_batch(*derivative_documents(spark, sf_dir))
+    rows, _, _ = pl.derivatives_batch(*derivative_documents(spark, sf_dir))
     return rows.select("instrument_id", "asset_class", F.round("price_usd", 2).alias("price_usd"), "open_interest_usd", F.col("listed_at").isNotNull().alias("listed"))
 
 
 @query("s9_derived_ticker", oracle("SELECT instrument_id, CASE WHEN k % 2 = 0 THEN 'B' || k ELSE 'S' || k END AS symbol, round((round(price, 2) / 100 - 1) * 100, 6) AS change_24h_pct, round(5 * round(price, 2), 4) AS turnover_24h_usd FROM derivdoc WHERE NOT bad", "derivdoc"))
 def derived_ticker(spark, sf_dir):
-    rows, _ = pl.derivatives_batch(*derivative_documents(spark, sf_dir))
+    rows, _, _ = pl.derivatives_batch(*derivative_documents(spark, sf_dir))
     return rows.select("instrument_id", "symbol", (F.round("change_24h_pct", 6) + 0.0).alias("change_24h_pct"), F.round("turnover_24h_usd", 4).alias("turnover_24h_usd"))
 
 

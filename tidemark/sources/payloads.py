@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import quality as q
 from tidemark.functions.identity import canonical_address, token_id
 from tidemark.functions.timecol import HOUR, micros, plus
 from tidemark.operators.bars import FRAMES
 from tidemark.operators.candidates import SOURCE_BOOST
+from tidemark.session import staged
 
 # Payload shapes and limits.
 _WINDOWS = "m5:string,h1:string,h6:string,h24:string"
@@ -80,14 +81,15 @@ def parse(payloads: DataFrame, shape: str) -> DataFrame:
     """Parse each document once.
 
     The one-element generator keeps the optimizer from copying the parser into every filter and
-    field that refers to the document.
+    field that refers to the document. The outer form keeps it from testing the array beforehand,
+    which would parse the document a second time.
     """
-    return payloads.select("*", F.inline(F.array(F.struct(F.from_json("payload", shape).alias("doc")))))
+    return payloads.select("*", F.inline_outer(F.array(F.struct(F.from_json("payload", shape).alias("doc")))))
 
 
 def judge(docs: DataFrame, reason: Column) -> DataFrame:
     """Attach the rejection reason, evaluated once per document."""
-    return docs.select("*", F.inline(F.array(F.struct(reason.alias("reason")))))
+    return docs.select("*", F.inline_outer(F.array(F.struct(reason.alias("reason")))))
 
 
 def number(text: Column) -> Column:
@@ -95,14 +97,20 @@ def number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def refused(payloads: DataFrame, shape: str) -> DataFrame:
-    """Documents that cannot be used at all, with the reason: unreadable, or answered with an error code."""
+def unusable(shape: str) -> Column:
+    """Why a parsed document cannot be used at all: unreadable, or answered with an error code; NULL if it can."""
     reason = F.when(F.col("doc").isNull(), "unreadable")
     if shape.startswith("struct"):
         if "code:string" in shape:
             reason = reason.when(F.col("doc.code") != "0", "refused")
         reason = reason.when(F.col("doc.data").isNull(), "unreadable")
-    return judge(parse(payloads, shape), reason).filter(F.col("reason").isNotNull()).drop("doc")
+    return reason
+
+
+def _split(payloads: DataFrame, shape: str) -> tuple[DataFrame, DataFrame]:
+    """(usable parsed documents, refused documents with the reason)."""
+    judged = judge(parse(payloads, shape), unusable(shape))
+    return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull()).drop("doc")
 
 
 def instant(text: Column) -> Column:
@@ -116,29 +124,15 @@ def _field(base: Column, path: Sequence[str]) -> Column:
     return base
 
 
-def _bad_number(attributes: Column) -> Column:
-    out = F.lit(False)
-    for path in POOL_NUMBERS.values():
-        raw = _field(attributes, path)
-        out = out | (raw.isNotNull() & number(raw).isNull())
-    return out
-
-
-def pool_market(attributes: Column, at: Column, source: str = "pools") -> dict[str, Column]:
+def pool_market(numbers: dict[str, Column], counters: dict[str, Column], at: Column, source: str = "pools") -> dict[str, Column]:
     """Tagged numbers and counters of one pool; absent windows and nulls are missing."""
-    out = {
-        name: q.fresh_or_missing(number(_field(attributes, path)), source, at) for name, path in POOL_NUMBERS.items()
-    }
-    for span in SPANS:
-        for raw, name in TRANSACTION_FIELDS.items():
-            value = attributes["transactions"][span][raw].cast("double")
-            out[f"{name}_{span}"] = q.fresh_or_missing(value, source, at)
-    return out
+    return {name: q.fresh_or_missing(value, source, at) for name, value in (numbers | counters).items()}
 
 
-def _flat_pools(docs: DataFrame) -> DataFrame:
-    """One row per pool with its base token looked up inside the same document."""
-    flat = docs.select("*", F.posexplode("doc.data").alias("pos", "pool"))
+def flat_pools(docs: DataFrame) -> DataFrame:
+    """One row per pool with its base token looked up inside the same document; a document without pools, or with a reason, is one row."""
+    pools = F.when(F.col("reason").isNull(), F.col("doc.data")) if "reason" in docs.columns else F.col("doc.data")
+    flat = docs.select("*", F.posexplode_outer(pools).alias("pos", "pool"))
     ref = F.col("pool.relationships.base_token.data.id")
     matches = F.filter("doc.included", lambda t: t["id"] == ref)
     token = F.get(matches, F.size(matches) - 1)["attributes"]
@@ -150,78 +144,95 @@ def _flat_pools(docs: DataFrame) -> DataFrame:
         flat.withColumn("address", address).withColumn("name", F.coalesce(token["name"], F.lit("")))
         .withColumn("symbol", F.coalesce(token["symbol"], F.lit("")))
         .withColumn("token_id", token_id(F.col("chain"), F.col("address")))
-        .withColumn("pool_created_at", instant(F.col("pool.attributes.pool_created_at")))
         .withColumn("pool_address", canonical_address(F.col("chain"), F.col("pool.attributes.address")))
     )
 
 
-def _first_pools(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    row = F.struct(*rows.columns)
-    return rows.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("r")).select("r.*")
+_NUMBERS = tuple(POOL_NUMBERS)
+_COUNTERS = {f"{name}_{span}": (span, raw) for span in SPANS for raw, name in TRANSACTION_FIELDS.items()}
+
+
+def _read_pools(payloads: DataFrame) -> DataFrame:
+    """Pools with typed numbers, written once: one pass parses a document, judges it and reads every number of it once.
+
+    ``bad_number`` marks pools of which a number does not parse; the text of a document stays with its first row.
+    """
+    meta = [c for c in payloads.columns if c != "payload"]
+    docs = judge(parse(payloads.withColumn("__doc", F.monotonically_increasing_id()), POOLS), unusable(POOLS))
+    flat = flat_pools(docs)
+    read = flat.withColumns({f"__{name}": number(_field(F.col("pool.attributes"), path)) for name, path in POOL_NUMBERS.items()})
+    bad = F.lit(False)
+    for name, path in POOL_NUMBERS.items():
+        bad = bad | (_field(F.col("pool.attributes"), path).isNotNull() & F.col(f"__{name}").isNull())
+    counters = [F.col("pool.attributes.transactions")[span][raw].cast("double").alias(f"__{name}") for name, (span, raw) in _COUNTERS.items()]
+    rows = read.select(
+        *meta, "__doc", F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("payload")).alias("payload"), "reason", "pos", "token_id", "address", "name", "symbol",
+        "pool_address", instant(F.col("pool.attributes.pool_created_at")).alias("pool_created_at"), bad.alias("bad_number"),
+        *[f"__{name}" for name in _NUMBERS], *counters,
+    )
+    return staged(rows, "landed-pools")
+
+
+def _market(at: Column) -> list[Column]:
+    values = pool_market({n: F.col(f"__{n}") for n in _NUMBERS}, {n: F.col(f"__{n}") for n in _COUNTERS}, at)
+    return [v.alias(k) for k, v in values.items()]
 
 
 def new_pools(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates, quarantine) of new-pool documents with chain, page, run_id and collected_at.
 
-    Pools older than six hours are dropped and the first pool per token and run wins. A document
-    with a bad creation time, or a bad number in a pool that would be kept, is quarantined whole.
+    Pools older than six hours are dropped and the first pool per token and run stands for it, in the
+    order of pages and positions and before its numbers are looked at. A document with a bad creation
+    time, or a bad number in a pool that stands for its token, is quarantined whole; the tokens its pools
+    stand for go with it, while what is wrong with a repeated pool does not matter.
     """
-    docs = parse(payloads, POOLS)
-    cutoff = F.timestamp_micros(micros("collected_at") - MAX_POOL_AGE)
-    bad_time = F.exists("doc.data", lambda p: instant(p["attributes"]["pool_created_at"]).isNull())
-    bad_value = F.exists(
-        "doc.data",
-        lambda p: (instant(p["attributes"]["pool_created_at"]) >= cutoff) & _bad_number(p["attributes"]),
-    )
-    reason = F.when(F.col("doc").isNull() | F.col("doc.data").isNull(), "unreadable").when(bad_time, "bad_pool_created_at").when(
-        bad_value, "bad_number"
-    )
-    judged = judge(docs, reason)
-    rows = _flat_pools(judged.filter(F.col("reason").isNull())).filter(F.col("pool_created_at") >= cutoff)
-    kept = _first_pools(
-        rows.select("run_id", "chain", "page", "pos", "collected_at", "token_id", "address", "name", "symbol", "pool_address",
-                    "pool_created_at", F.col("pool.attributes").alias("attributes")),
-        ["run_id", "token_id"], ["page", "pos"],
-    )
-    market = pool_market(F.col("attributes"), F.col("collected_at"))
-    candidates = kept.select(
+    rows = _read_pools(payloads)
+    # A document is one page of an interface, so its pools are few.
+    document = Window.partitionBy("__doc")
+    late = F.max((F.col("pos").isNotNull() & F.col("pool_created_at").isNull()).cast("int")).over(document)
+    timed = rows.withColumn("__late", late == 1)
+    recent = timed.filter(~F.col("__late") & (F.col("pool_created_at") >= F.timestamp_micros(micros("collected_at") - MAX_POOL_AGE)))
+    first = recent.groupBy("run_id", "token_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("run_id", "token_id", "payload")]), F.struct("page", "pos")).alias("r"))
+    chosen = first.select("run_id", "token_id", "r.*").withColumn("__bad", F.max(F.col("bad_number").cast("int")).over(document) == 1)
+    candidates = chosen.filter(~F.col("__bad")).select(
         "run_id", "chain", "page", "pos", "collected_at", "token_id", "address", "name", "symbol", "pool_address",
-        "pool_created_at", F.lit("LAUNCH").alias("origin"), *[v.alias(k) for k, v in market.items()],
+        "pool_created_at", F.lit("LAUNCH").alias("origin"), *_market(F.col("collected_at")),
     )
-    return candidates, judged.filter(F.col("reason").isNotNull()).drop("doc")
+    meta = payloads.columns
+    heads = timed.filter(F.col("pos").isNull() | (F.col("pos") == 0))
+    wrong = heads.withColumn("reason", F.when(F.col("__late"), "bad_pool_created_at").otherwise(F.col("reason"))).filter(F.col("reason").isNotNull())
+    numbers = heads.join(chosen.filter("__bad").select("__doc").distinct(), "__doc").withColumn("reason", F.lit("bad_number"))
+    return candidates, wrong.select(*meta, "reason").unionByName(numbers.select(*meta, "reason"))
 
 
-def momentum_pools(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidates, report) of trending and top-volume documents: no age cut, bad rows are skipped.
+def momentum_pools(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, report, refused) of trending and top-volume documents: no age cut, bad rows are skipped.
 
-    The report counts returned and distinct items per chain, source and run with the first error.
+    The first good pool per token, source and run wins. The report counts returned and distinct items per
+    chain, source and run with the first error; a bad number behind the token's good pool is none.
     """
-    rows = _flat_pools(parse(payloads, POOLS))
-    error = F.when(F.col("pool_created_at").isNull(), "bad_pool_created_at").when(
-        _bad_number(F.col("pool.attributes")), "bad_number"
+    rows = _read_pools(payloads)
+    place = F.struct("page", "pos")
+    untimed = F.col("pool_created_at").isNull()
+    good = ~untimed & ~F.col("bad_number")
+    kept = F.struct(*[c for c in rows.columns if c not in ("run_id", "chain", "source", "token_id", "payload")])
+    tokens = rows.filter(F.col("pos").isNotNull()).groupBy("run_id", "chain", "source", "token_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(untimed, place)).alias("untimed"), F.min(F.when(~untimed & F.col("bad_number"), place)).alias("wrong"),
+        F.min(F.when(good, place)).alias("at"), F.min_by(kept, F.when(good, place)).alias("r"),
     )
-    rows = rows.withColumn("error", error)
-    order = F.struct("page", "pos")
-    report = rows.groupBy("run_id", "chain", "source").agg(
-        F.count(F.lit(1)).alias("returned_items"),
-        F.countDistinct(F.when(F.col("error").isNull(), F.col("token_id"))).alias("unique_candidates"),
-        F.min_by("error", F.when(F.col("error").isNotNull(), order)).alias("first_error"),
+    errors = F.least(
+        F.when(F.col("untimed").isNotNull(), F.struct(F.col("untimed").alias("at"), F.lit("bad_pool_created_at").alias("code"))),
+        F.when(F.col("wrong").isNotNull() & F.coalesce(F.col("wrong") < F.col("at"), F.lit(True)), F.struct(F.col("wrong").alias("at"), F.lit("bad_number").alias("code"))),
     )
-    kept = _first_pools(
-        rows.filter(F.col("error").isNull()).select(
-            "run_id", "chain", "source", "page", "pos", "collected_at", "token_id", "address", "name", "symbol",
-            "pool_address", "pool_created_at", F.col("pool.attributes").alias("attributes"),
-        ),
-        ["run_id", "source", "token_id"], ["page", "pos"],
+    report = tokens.groupBy("run_id", "chain", "source").agg(
+        F.sum("n").alias("returned_items"), F.count("at").alias("unique_candidates"), F.min(errors)["code"].alias("first_error"),
     )
-    market = pool_market(F.col("attributes"), F.col("collected_at"))
-    candidates = kept.select(
+    candidates = tokens.filter(F.col("at").isNotNull()).select("run_id", "chain", "source", "token_id", "r.*").select(
         "run_id", "chain", "source", "collected_at", "token_id", "address", "name", "symbol",
         F.col("pool_address").alias("trigger_pool_address"), F.col("pool_created_at").alias("trigger_pool_created_at"),
-        F.lit("MOMENTUM").alias("origin"), F.array("source").alias("momentum_sources"),
-        *[v.alias(k) for k, v in market.items()],
+        F.lit("MOMENTUM").alias("origin"), F.array("source").alias("momentum_sources"), *_market(F.col("collected_at")),
     )
-    return candidates, report
+    return candidates, report, rows.filter(F.col("reason").isNotNull()).select(*payloads.columns, "reason")
 
 
 def pool_trades(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -268,9 +279,10 @@ def links(info: Column) -> Column:
     return F.concat(F.coalesce(sites, none), F.coalesce(others, none))
 
 
-def token_pairs(payloads: DataFrame, source: str = "pairs") -> DataFrame:
-    """One row per pair with tagged fields, links and boosts; ``bad_price`` marks an unparsable price."""
-    flat = parse(payloads, PAIRS).select("*", F.posexplode("doc").alias("pos", "p"))
+def token_pairs(payloads: DataFrame, source: str = "pairs") -> tuple[DataFrame, DataFrame]:
+    """(pairs, refused documents): a pair has tagged fields, links and boosts; ``bad_price`` marks an unparsable price."""
+    docs, refused = _split(payloads, PAIRS)
+    flat = docs.select("*", F.posexplode("doc").alias("pos", "p"))
     at = F.col("collected_at")
     chain = F.col("p.chainId")
     tag = lambda v: q.fresh_or_missing(v.cast("double"), source, at)
@@ -286,7 +298,7 @@ def token_pairs(payloads: DataFrame, source: str = "pairs") -> DataFrame:
         cols[f"buys_{span}"] = tag(F.col(f"p.txns.{span}.buys"))
         cols[f"sells_{span}"] = tag(F.col(f"p.txns.{span}.sells"))
     address = canonical_address(chain, F.col("p.baseToken.address"))
-    return flat.filter(F.coalesce(F.col("p.baseToken.address"), F.lit("")) != "").select(
+    pairs = flat.filter(F.coalesce(F.col("p.baseToken.address"), F.lit("")) != "").select(
         "file", "collected_at", "pos", chain.alias("chain"), token_id(chain, address).alias("token_id"), address.alias("address"),
         F.col("p.baseToken.name").alias("name"), F.col("p.baseToken.symbol").alias("symbol"),
         canonical_address(chain, F.col("p.pairAddress")).alias("pair_address"),
@@ -295,42 +307,46 @@ def token_pairs(payloads: DataFrame, source: str = "pairs") -> DataFrame:
         (F.col("p.priceUsd").isNotNull() & number(F.col("p.priceUsd")).isNull()).alias("bad_price"),
         *[v.alias(k) for k, v in cols.items()],
     )
+    return pairs, refused
 
 
-def boost_seeds(payloads: DataFrame, chains: Sequence[str] = ("bsc", "solana")) -> DataFrame:
-    """Addresses named by boosts on known chains; they carry no market evidence."""
-    flat = parse(payloads, BOOSTS).select("*", F.posexplode("doc").alias("pos", "b"))
+def boost_seeds(payloads: DataFrame, chains: Sequence[str] = ("bsc", "solana")) -> tuple[DataFrame, DataFrame]:
+    """(addresses named by boosts on known chains, refused documents); the addresses carry no market evidence."""
+    docs, refused = _split(payloads, BOOSTS)
+    flat = docs.select("*", F.posexplode("doc").alias("pos", "b"))
     chain = F.col("b.chainId")
     ok = chain.isin(*chains) & (F.coalesce(F.col("b.tokenAddress"), F.lit("")) != "")
     address = canonical_address(chain, F.col("b.tokenAddress"))
-    return flat.filter(ok).select(
+    seeds = flat.filter(ok).select(
         "collected_at", "pos", chain.alias("chain"), address.alias("address"), token_id(chain, address).alias("token_id"),
         F.lit("MOMENTUM").alias("origin"), F.array(F.lit(SOURCE_BOOST)).alias("momentum_sources"),
     )
-
-
-def _items(payloads: DataFrame, shape: str, *keep: str) -> DataFrame:
-    docs = parse(payloads, shape).filter(F.col("doc.code") == "0")
-    return docs.select(*keep, F.inline("doc.data"))
+    return seeds, refused
 
 
 def derivatives_batch(
     instruments: DataFrame, tickers: DataFrame, open_interest: DataFrame, funding: DataFrame, on: Sequence[str] = ("batch",)
-) -> tuple[DataFrame, DataFrame]:
-    """(snapshots with listing metadata, warnings) from four document kinds of the same batch.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(snapshots with listing metadata, warnings, refused documents by kind) from four document kinds of the same batch.
 
     Inner join of instruments and tickers, left joins for the optional measures. Instruments must
     be live, not pre-market, of category 1 (crypto) or 3 (stock).
     """
     on = list(on)
     key = [*on, "instId"]
-    inst = _items(instruments, INSTRUMENTS, *on, "collected_at")
+    kinds = {"instruments": (instruments, INSTRUMENTS), "tickers": (tickers, TICKERS), "open_interest": (open_interest, OPEN_INTEREST), "funding": (funding, FUNDING)}
+    items, refused = {}, None
+    for kind, (payloads, shape) in kinds.items():
+        docs, wrong = _split(payloads, shape)
+        items[kind] = docs.select(*on, *(["collected_at"] if kind == "instruments" else []), F.inline("doc.data"))
+        wrong = wrong.select(*on, F.lit(kind).alias("kind"), "payload", "reason")
+        refused = wrong if refused is None else refused.unionByName(wrong)
     cls = F.when(F.col("instCategory") == "1", "crypto").when(F.col("instCategory") == "3", "stock")
     live = (F.col("state") == "live") & ~F.coalesce(F.col("ruleType") == "pre_market", F.lit(False))
-    inst = inst.withColumn("asset_class", cls).filter(live & F.col("asset_class").isNotNull())
-    tick = _items(tickers, TICKERS, *on)
-    oi = _items(open_interest, OPEN_INTEREST, *on).withColumn("open_interest_usd", number(F.col("oiUsd"))).drop("oiUsd")
-    rate = _items(funding, FUNDING, *on).withColumn("funding_rate", number(F.col("fundingRate"))).drop("fundingRate")
+    inst = items["instruments"].withColumn("asset_class", cls).filter(live & F.col("asset_class").isNotNull())
+    tick = items["tickers"]
+    oi = items["open_interest"].withColumn("open_interest_usd", number(F.col("oiUsd"))).drop("oiUsd")
+    rate = items["funding"].withColumn("funding_rate", number(F.col("fundingRate"))).drop("fundingRate")
     rows = inst.join(tick, key).join(oi, key, "left").join(rate, key, "left")
     last, opened, volume = number(F.col("last")), number(F.col("open24h")), number(F.col("volCcy24h"))
     source_ms = F.col("ts").try_cast("bigint")
@@ -354,7 +370,7 @@ def derivatives_batch(
     )
     listing = judged.filter(F.col("warning").isNull() & ~listing_ok).withColumn("warning", F.lit("bad_listing"))
     warned = judged.filter(F.col("warning").isNotNull()).unionByName(listing)
-    return snapshots, warned.select(*on, F.col("instId").alias("instrument_id"), "warning")
+    return snapshots, warned.select(*on, F.col("instId").alias("instrument_id"), "warning"), refused
 
 
 def candle_rows(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
