@@ -179,3 +179,27 @@ def test_numbers_over_partitions(spark):
     assert {(r["c"], r["v"], r["i"]): r["rank"] for r in got} == want and len(got) == len(rows)
     assert sorted(r["rank"] for r in rank_rows(df, [F.asc("i"), F.asc("c")]).collect()) == list(range(1, len(rows) + 1))
     assert rank_rows(df.limit(0), [F.asc("i")]).count() == 0
+
+
+def test_range_summaries_equal_brute_force(spark):
+    from tidemark.operators.pyramid import covering_blocks, range_summaries
+
+    rng = random.Random(11)
+    rows = [("hot" if rng.random() < 0.6 else f"k{i % 3}", rng.randrange(0, 5000), i if rng.random() < 0.9 else rng.randrange(600), rng.uniform(-5, 5)) for i in range(600)]
+    points = spark.createDataFrame(rows, "key string, m long, id long, v double").withColumn("t", F.timestamp_micros(F.col("m") * MINUTE)).drop("m")
+    asked = sorted({(rng.choice(["hot", "k0", "k1", "none"]), a, a + rng.choice([0, 1, 14, 15, 16, 700, 4000]), rng.randrange(-1, 600)) for a in (rng.randrange(0, 4500) for _ in range(150))})
+    ranges = spark.createDataFrame(asked, "key string, a long, b long, after long").withColumns({"start": F.timestamp_micros(F.col("a") * MINUTE), "end": F.timestamp_micros(F.col("b") * MINUTE)})
+    got = range_summaries(ranges, points, ["key"], "start", "end", "after", "t", "v", "id", base=15 * MINUTE, levels=5)
+    found = {(r["key"], r["start"], r["end"], r["after"]): (r["n"], r["least"], r["greatest"]) for r in got.collect()}
+    times = {(r["key"], r["a"], r["b"], r["after"]): (r["start"], r["end"]) for r in ranges.collect()}
+    some = 0
+    for key, a, b, after in asked:
+        inside = [v for k, m, i, v in rows if k == key and a < m <= b and i > after]
+        want = (len(inside), min(inside), max(inside)) if inside else None
+        assert found.get((key, *times[key, a, b, after], after)) == want
+        some += want is not None
+    assert some > 30 and len(found) == some
+    blocks = spark.createDataFrame([(a, b) for a in range(0, 40) for b in range(a, 41)], "a long, b long").select("a", "b", covering_blocks(F.col("a"), F.col("b"), 4).alias("c")).collect()
+    for r in blocks:
+        assert sorted(x for c in r["c"] for x in range(c["block"] << c["level"], (c["block"] + 1) << c["level"])) == list(range(r["a"], r["b"]))
+        assert sum(c["level"] < 3 for c in r["c"]) <= 6

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import define, oracle, query
-from tidemark.functions.timecol import DAY, HOUR, micros
+from tidemark.functions.timecol import HOUR, micros
 from tidemark.operators import study as st
-from tidemark.operators.joins import asof_backward, first_in_lookback, interval_join
+from tidemark.operators.joins import asof_backward, first_in_lookback
 from tidemark.operators.order_stats import grouped_median
+from tidemark.operators.pyramid import range_summaries
 from tidemark.plans import outcome_study as plan
 from tidemark.session import shared_dir, staged
 from tidemark.sources import adapters as ad
@@ -138,18 +139,35 @@ def outcome_selection(spark, sf_dir):
 
 @query("j5_price_path", oracle("""SELECT token_id, score_version, CAST(threshold AS BIGINT) AS threshold, horizon, points FROM path""", "path"))
 def price_path(spark, sf_dir):
-    """Number of observations on each matured path, counted by a range join that never collects it."""
+    """Number of observations on each matured path."""
+    return _paths(spark, sf_dir).select(*KEY, "horizon", F.col("n").alias("points"))
+
+
+def _paths(spark, sf_dir):
+    """Matured outcomes with what their price path sums up to; thresholds and versions that share a path ask for it once."""
     matured = outcomes(spark, sf_dir).filter(F.col("status") == "MATURED").select(
-        *st.SIGNAL_KEY, "horizon", "signal_snapshot_id", "signal_at", "selected_at"
+        *st.SIGNAL_KEY, "horizon", "signal_snapshot_id", "signal_at", "selected_at", "entry_price_usd"
     )
+    matured = staged(matured, "matured")
     prices = st.price_observations(ad.snapshots(spark, sf_dir), _edge(spark, sf_dir))
-    after = (F.col("obs_at") > F.col("signal_at")) & (F.col("obs_id") > F.col("signal_snapshot_id"))
-    pairs = interval_join(matured, prices, ["token_id"], "signal_at", "selected_at", "obs_at", after, DAY)
-    return pairs.groupBy(*KEY, "horizon").agg(F.count(F.lit(1)).alias("points"))
+    path = ["token_id", "signal_at", "selected_at", "signal_snapshot_id"]
+    found = range_summaries(
+        matured.select(*path).distinct(), prices, ["token_id"], "signal_at", "selected_at", "signal_snapshot_id", "obs_at", "obs_price", "obs_id", HOUR
+    )
+    return matured.join(found, path)
 
 
 @query("a11_excursions", oracle(f"SELECT {KEY_SQL}, horizon, round(mfe, 8) AS mfe, round(mae, 8) AS mae FROM path", "path"))
 def excursions(spark, sf_dir):
+    change = lambda c: F.col(c) / F.col("entry_price_usd") - 1
+    return _paths(spark, sf_dir).select(
+        *KEY, "horizon", (F.round(F.greatest(F.lit(0.0), change("greatest")), 8) + 0.0).alias("mfe"), (F.round(F.least(F.lit(0.0), change("least")), 8) + 0.0).alias("mae")
+    )
+
+
+@query("a11_study_excursions", oracle(f"SELECT {KEY_SQL}, horizon, round(mfe, 8) AS mfe, round(mae, 8) AS mae FROM path", "path"))
+def study_excursions(spark, sf_dir):
+    """The same from the study's own range join, where the selected price is found as well."""
     return outcomes(spark, sf_dir).filter(F.col("status") == "MATURED").select(
         *KEY, "horizon", (F.round("mfe_decimal", 8) + 0.0).alias("mfe"), (F.round("mae_decimal", 8) + 0.0).alias("mae")
     )
