@@ -229,6 +229,31 @@ def integrity_audit(spark, sf_dir):
     return st.integrity_audit(outcomes(spark, sf_dir), _edge(spark, sf_dir))
 
 
+# One rule is broken at each threshold, so every count of the audit has rows to find.
+@query("l9_planted_violations", oracle("""SELECT CAST((SELECT count(*) FROM outc WHERE threshold = 85) AS BIGINT) AS duplicate_keys,
+  count(*) FILTER (status = 'MATURED' AND (xt <= st OR xid <= sid)) AS selected_not_later,
+  count(*) FILTER (status = 'MATURED' AND (xt < target OR xt > wend)) AS selected_outside_window,
+  count(*) FILTER (status = 'MATURED' AND xid > (SELECT hw FROM edge)) AS selected_above_watermark,
+  count(*) FILTER (status = 'MATURED' AND ret IS NULL) AS matured_without_metrics,
+  count(*) FILTER (status <> 'MATURED' AND (ret IS NOT NULL OR mfe IS NOT NULL)) AS metrics_without_maturity,
+  count(*) FILTER (status = 'MATURED' AND (mfe < 0 OR mae > 0)) AS excursion_sign,
+  count(*) FILTER (entry_status = 'EVALUABLE' AND entry IS NULL) AS entry_price_mismatch
+  FROM (SELECT * REPLACE (CASE WHEN threshold = 55 AND xt IS NOT NULL THEN st ELSE xt END AS xt, CASE WHEN threshold = 60 AND xid IS NOT NULL THEN 4611686018427387904 ELSE xid END AS xid,
+    CASE WHEN threshold <> 65 THEN ret END AS ret, CASE WHEN threshold = 70 AND status <> 'MATURED' THEN 1 WHEN threshold = 75 AND status = 'MATURED' THEN -1 ELSE mfe END AS mfe,
+    CASE WHEN threshold <> 80 THEN entry END AS entry) FROM outc)""", "outc"))
+def planted_violations(spark, sf_dir):
+    at, matured = F.col("threshold"), F.col("status") == "MATURED"
+    whole = outcomes(spark, sf_dir)
+    planted = whole.withColumns({
+        "selected_at": F.when((at == 55) & matured, F.col("signal_at")).otherwise(F.col("selected_at")),
+        "selected_snapshot_id": F.when((at == 60) & matured, F.lit(2**62)).otherwise(F.col("selected_snapshot_id")),
+        "return_decimal": F.when(at != 65, F.col("return_decimal")),
+        "mfe_decimal": F.when((at == 70) & ~matured, 1.0).when((at == 75) & matured, -1.0).otherwise(F.col("mfe_decimal")),
+        "entry_price_usd": F.when(at != 80, F.col("entry_price_usd")),
+    })
+    return st.integrity_audit(planted.unionByName(planted.filter(at == 85)), _edge(spark, sf_dir))
+
+
 @query("j14_study_join", oracle("""SELECT s.score_version, s.entry_status, o.status, count(*) AS outcomes FROM sig s JOIN outc o USING (token_id, score_version, threshold) GROUP BY ALL""", "sig", "outc"))
 def study_join(spark, sf_dir):
     signals = entries(spark, sf_dir).select(*st.SIGNAL_KEY, "entry_status")
