@@ -408,19 +408,36 @@ define("zones", """SELECT instrument_id, cur_price, kind, zone, min(price) AS zl
     (SELECT *, CASE WHEN coalesce(price - lag(price) OVER (PARTITION BY instrument_id, kind ORDER BY price) > 0.5 * atr, true) THEN 1 ELSE 0 END AS isnew FROM pv)) GROUP BY 1, 2, 3, 4""", "pv")
 define("lv", """SELECT instrument_id, arg_max({'l': zl, 'h': zh}, zh) FILTER (kind = 'low' AND zh < cur_price) AS sup,
   list(zl ORDER BY zl) FILTER (kind = 'high' AND zl > cur_price) AS res FROM zones GROUP BY 1""", "zones")
-DOWN = lambda x: f"round(floor({x} / 0.01 + 1e-10) * 0.01 * 10000) / 10000"
-UP = lambda x: f"round(ceil({x} / 0.01 - 1e-10) * 0.01 * 10000) / 10000"
-define("pl1", f"""SELECT *, {DOWN('sh')} AS p1, {DOWN('(sl + sh) / 2')} AS p2, {DOWN('sl')} AS p3, {UP('CASE WHEN coalesce(e_conf, 0) <= sh0 THEN e_lclose ELSE e_conf END')} AS pc,
-  {DOWN('sl - 0.5 * t_atr')} AS stop, {UP('res[1]')} AS t1 FROM (SELECT *, sup.l AS sl, sup.h AS sh0, CASE WHEN sup.h - sup.l < 0.5 * t_atr THEN sup.l + 0.5 * t_atr ELSE sup.h END AS sh
-  FROM sig4 LEFT JOIN lv USING (instrument_id) WHERE stage <> 'NONE')""", "sig4", "lv")
-define("pl2", f"""SELECT *, (t1 - fa) / (fa - stop) AS rr1, CASE WHEN t2a <= t1 THEN {UP('t1 + fa - stop')} ELSE t2a END AS t2 FROM
+DOWN = lambda x: f"round(floor(({x}) / 0.01 + 1e-10) * 0.01 * 10000) / 10000"
+UP = lambda x: f"round(ceil(({x}) / 0.01 - 1e-10) * 0.01 * 10000) / 10000"
+
+
+def define_plan(name, levels, *needs):
+    """The plan of every row of a table with price (e_lclose), zone (sl, sh0, sh), t_atr, e_conf, res and the scores."""
+    define(f"{name}1", f"""SELECT *, {DOWN('sh')} AS p1, {DOWN('(sl + sh) / 2')} AS p2, {DOWN('sl')} AS p3, {UP('CASE WHEN coalesce(e_conf, 0) <= sh0 THEN e_lclose ELSE e_conf END')} AS pc,
+  {DOWN('sl - 0.5 * t_atr')} AS stop, {UP('res[1]')} AS t1 FROM (SELECT *, CASE WHEN sh0 - sl < 0.5 * t_atr THEN sl + 0.5 * t_atr ELSE sh0 END AS sh FROM ({levels}))""", *needs)
+    define(f"{name}2", f"""SELECT *, (t1 - fa) / (fa - stop) AS rr1, CASE WHEN t2a <= t1 THEN {UP('t1 + fa - stop')} ELSE t2a END AS t2 FROM
   (SELECT *, CASE WHEN res[2] > t1 THEN {UP('res[2]')} ELSE {UP('fa + 2 * (fa - stop)')} END AS t2a, (fa - stop) / fa * 100 AS risk FROM
-  (SELECT *, p1 * 0.3::DOUBLE + p2 * 0.25::DOUBLE + p3 * 0.25::DOUBLE + pc * 0.2::DOUBLE AS fa FROM pl1))""", "pl1")
-define("pl3", """SELECT *, CASE WHEN daily_score = 0 THEN 'daily_veto' WHEN NOT coalesce(t_atr > 0, false) THEN 'no_atr' WHEN sl IS NULL THEN 'no_support'
+  (SELECT *, p1 * 0.3::DOUBLE + p2 * 0.25::DOUBLE + p3 * 0.25::DOUBLE + pc * 0.2::DOUBLE AS fa FROM {name}1))""", f"{name}1")
+    define(f"{name}3", f"""SELECT *, CASE WHEN daily_score = 0 THEN 'daily_veto' WHEN NOT coalesce(t_atr > 0, false) THEN 'no_atr' WHEN sl IS NULL THEN 'no_support'
   WHEN start_score < CASE WHEN high_vol THEN 70 ELSE 65 END THEN 'low_score' WHEN NOT (sl > 0 AND sh < e_lclose) THEN 'support_not_below_price'
   WHEN coalesce(len(res), 0) = 0 THEN 'no_resistance' WHEN NOT (p1 > p2 AND p2 > p3) THEN 'entries_collapse' WHEN NOT (p3 > 0 AND pc > 0) THEN 'entry_not_positive'
   WHEN NOT (stop > 0 AND stop < fa) THEN 'bad_stop' WHEN risk > 15 + 1e-9 THEN 'risk_too_high' WHEN NOT (t1 > fa AND t1 > e_lclose) THEN 'target_not_above'
-  WHEN rr1 < 1.3 - 1e-9 THEN 'reward_too_low' END AS why FROM pl2""", "pl2")
+  WHEN rr1 < 1.3 - 1e-9 THEN 'reward_too_low' END AS why FROM {name}2""", f"{name}2")
+
+
+def plan_sql(ident, src):
+    """Ident, rejection and, of accepted plans, the levels."""
+    kept = {"entry_1": "p1", "entry_3": "p3", "full_average_cost": "fa", "stop_price": "stop", "risk_pct": "risk", "target_1": "t1", "target_2": "t2", "reward_risk_1": "rr1"}
+    return oracle(f"SELECT {ident}, why AS plan_rejection, " + ", ".join(f"CASE WHEN why IS NULL THEN round({c}, 4) END AS {n}" for n, c in kept.items()) + f" FROM {src}", src)
+
+
+define_plan("pl", "SELECT *, sup.l AS sl, sup.h AS sh0 FROM sig4 LEFT JOIN lv USING (instrument_id) WHERE stage <> 'NONE'", "sig4", "lv")
+# Plans around the price of every part: zones, targets, swings and scores of all kinds, so that plans are accepted and refused for every reason.
+define_plan("pp", """SELECT k AS part, x AS e_lclose, CASE WHEN k % 23 <> 0 THEN x * (80 + k % 18) / 100 END AS sl, CASE WHEN k % 23 <> 0 THEN x * (80 + k % 18) / 100 + x * (k % 4) / 100 END AS sh0,
+  CASE WHEN k % 17 = 0 THEN 0 ELSE x * (1 + k % 3) / 100 END AS t_atr, CASE WHEN k % 3 <> 0 THEN x * (200 + k % 5) / 200 END AS e_conf,
+  CASE WHEN k % 19 = 0 THEN [] ELSE [x * (101 + 5 * (k % 13)) / 100, x * (120 + 10 * (k % 7)) / 100] END AS res, CASE WHEN k % 11 = 0 THEN 0 ELSE 8 END AS daily_score,
+  60 + k % 40 AS start_score, k % 5 = 0 AS high_vol FROM (SELECT p_partkey AS k, CAST(p_retailprice AS DOUBLE) AS x FROM part)""")
 
 
 @query("c23_level_clusters", oracle("SELECT instrument_id, kind, CAST(zone AS BIGINT) AS zone, round(zl, 6) AS zone_low, round(zh, 6) AS zone_high, strength FROM zones WHERE kind = 'high'", "zones"))
@@ -452,14 +469,32 @@ def nearest_levels(spark, sf_dir):
     )
 
 
-@query("c25_price_plan", oracle("""SELECT instrument_id, why AS plan_rejection, CASE WHEN why IS NULL THEN round(p1, 4) END AS entry_1, CASE WHEN why IS NULL THEN round(p3, 4) END AS entry_3,
-  CASE WHEN why IS NULL THEN round(fa, 4) END AS full_average_cost, CASE WHEN why IS NULL THEN round(stop, 4) END AS stop_price, CASE WHEN why IS NULL THEN round(risk, 4) END AS risk_pct,
-  CASE WHEN why IS NULL THEN round(t1, 4) END AS target_1, CASE WHEN why IS NULL THEN round(t2, 4) END AS target_2, CASE WHEN why IS NULL THEN round(rr1, 4) END AS reward_risk_1 FROM pl3""", "pl3"))
+PLAN_LEVELS = ("entry_1", "entry_3", "full_average_cost", "stop_price", "risk_pct", "target_1", "target_2", "reward_risk_1")
+
+
+@query("c25_price_plan", plan_sql("instrument_id", "pl3"))
 def price_plan(spark, sf_dir):
-    return plans(spark, sf_dir).select(
-        "instrument_id", "plan_rejection",
-        *[F.round(c, 4).alias(c) for c in ("entry_1", "entry_3", "full_average_cost", "stop_price", "risk_pct", "target_1", "target_2", "reward_risk_1")],
+    return plans(spark, sf_dir).select("instrument_id", "plan_rejection", *[F.round(c, 4).alias(c) for c in PLAN_LEVELS])
+
+
+@query("c25_plans_of_parts", plan_sql("part", "pp3"))
+def plans_of_parts(spark, sf_dir):
+    k, x = F.col("p_partkey"), F.col("p_retailprice").cast("double")
+    low = x * (80 + k % 18) / 100
+    level = lambda price: F.struct(price.alias("low"))
+    levels = F.array(level(x * (101 + 5 * (k % 13)) / 100), level(x * (120 + 10 * (k % 7)) / 100))
+    quoted = ad.table(spark, sf_dir, "part").select(
+        k.alias("part"), x.alias("current_price"), F.when(k % 23 != 0, F.struct(low.alias("low"), (low + x * (k % 4) / 100).alias("high"))).alias("support"),
+        F.struct(F.when(k % 17 == 0, 0.0).otherwise(x * (1 + k % 3) / 100).alias("atr14")).alias(f"f{op.TREND}"), F.when(k % 3 != 0, x * (200 + k % 5) / 200).alias("confirmation_level"),
+        F.when(k % 19 != 0, levels).otherwise(F.slice(levels, 1, 0)).alias("resistances"), (k % 11 != 0).alias("long_allowed"), (60 + k % 40).alias("start_score"),
+        (k % 5 == 0).alias("high_volatility"), F.lit(0.01).alias("tick_size"),
     )
+    return op.price_plan(quoted).select("part", "plan_rejection", *[F.round(c, 4).alias(c) for c in PLAN_LEVELS])
+
+
+@query("c25_plan_verdicts", oracle("SELECT coalesce(why, 'accepted') AS verdict, count(*) AS plans FROM pp3 GROUP BY 1", "pp3"))
+def plan_verdicts(spark, sf_dir):
+    return plans_of_parts(spark, sf_dir).groupBy(F.coalesce("plan_rejection", F.lit("accepted")).alias("verdict")).agg(F.count(F.lit(1)).alias("plans"))
 
 
 @query("p23_tick_rounding", oracle(f"SELECT event_id, {DOWN('value * 1.2345')} AS down, {UP('value * 1.2345')} AS up FROM events"))
