@@ -352,6 +352,19 @@ def execution(spark, sf_dir):
     return scored(spark, sf_dir).select("instrument_id", "breakout", "completed_breakout", *_int("execution_score", "derivatives_score"))
 
 
+# Every score meets every kind of confirmation, so that all six stages and the veto occur.
+@query("c19_stages_of_scores", oracle("""SELECT event_id, CASE WHEN veto THEN 'PRELAUNCH' ELSE nat END AS stage, veto AS vetoed FROM
+  (SELECT *, event_id % 5 = 0 AND nat NOT IN ('NONE', 'PRELAUNCH') AS veto FROM (SELECT *, CASE WHEN k < 50 THEN 'NONE' WHEN event_id % 13 = 0 THEN 'OVERHEATED' WHEN k < 65 THEN 'PRELAUNCH'
+    WHEN event_id % 2 = 0 AND event_id % 7 <> 0 AND event_id % 3 <> 0 AND k >= 80 THEN CASE WHEN k >= 90 THEN 'ACCELERATING' ELSE 'CONFIRMED' END ELSE 'STARTING' END AS nat FROM ev))""", "ev"))
+def stages_of_scores(spark, sf_dir):
+    e = F.col("event_id")
+    given = ad.adapt_events(ad.table(spark, sf_dir, "events")).select(
+        e, F.col("k").alias("start_score"), (e % 13 == 0).alias("overheated"), (e % 2 == 0).alias("reversal_confirmed"), (e % 7 == 0).alias("false_breakout"),
+        (e % 3 != 0).alias("completed_breakout"), (e % 5 != 0).alias("long_allowed"),
+    )
+    return op.with_stage(given).select("event_id", "stage", "vetoed")
+
+
 @query("c19_stage", oracle("""SELECT instrument_id, CAST(start_score AS BIGINT) AS start_score, CAST(opportunity_score AS BIGINT) AS opportunity_score, stage,
   concat_ws(',', CASE WHEN risk_div THEN 'BEARISH_DIVERGENCE' END, CASE WHEN crowded THEN 'CROWDED_FUNDING' END, CASE WHEN veto THEN 'DAILY_VETO' END,
     CASE WHEN risk_ext THEN 'EXTENDED_ABOVE_EMA20' END, CASE WHEN false_brk THEN 'FALSE_BREAKOUT' END) AS risk_flags FROM sig4""", "sig4"))

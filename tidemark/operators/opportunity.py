@@ -148,23 +148,29 @@ def score_opportunities(df: DataFrame) -> DataFrame:
         "opportunity_score",
         c("daily_score") + c("trend_score") + c("reversal_score") + c("execution_score") + c("derivatives_score"),
     )
-    both = c("reversal_confirmed") & ~c("false_breakout") & c("completed_breakout")
-    score = c("start_score")
-    natural = (
-        F.when(score < 50, "NONE").when(c("overheated"), "OVERHEATED").when(score < 65, "PRELAUNCH")
-        .when((score >= 90) & both, "ACCELERATING").when((score >= 80) & both, "CONFIRMED").otherwise("STARTING")
-    )
-    veto = ~c("long_allowed") & ~natural.isin("NONE", "PRELAUNCH")
+    work = with_stage(work)
     risks = F.array_sort(
         F.array_compact(
             F.array(
                 F.when(c("risk_divergence"), "BEARISH_DIVERGENCE"), F.when(c("risk_extended"), "EXTENDED_ABOVE_EMA20"),
                 F.when(c("crowded_funding"), "CROWDED_FUNDING"), F.when(c("false_breakout"), "FALSE_BREAKOUT"),
-                F.when(veto, "DAILY_VETO"),
+                F.when(c("vetoed"), "DAILY_VETO"),
             )
         )
     )
-    return work.withColumn("risk_flags", risks).withColumn("stage", F.when(veto, "PRELAUNCH").otherwise(natural))
+    return work.withColumn("risk_flags", risks).drop("vetoed")
+
+
+def with_stage(df: DataFrame) -> DataFrame:
+    """``stage`` from the start score and the confirmations; ``vetoed`` tells that the daily regime held it back."""
+    c, score = F.col, F.col("start_score")
+    both = c("reversal_confirmed") & ~c("false_breakout") & c("completed_breakout")
+    natural = (
+        F.when(score < 50, "NONE").when(c("overheated"), "OVERHEATED").when(score < 65, "PRELAUNCH")
+        .when((score >= 90) & both, "ACCELERATING").when((score >= 80) & both, "CONFIRMED").otherwise("STARTING")
+    )
+    staged_as = df.withColumn("__natural", natural).withColumn("vetoed", ~c("long_allowed") & ~c("__natural").isin("NONE", "PRELAUNCH"))
+    return staged_as.withColumn("stage", F.when(c("vetoed"), "PRELAUNCH").otherwise(c("__natural"))).drop("__natural")
 
 
 def visible(opportunities: DataFrame) -> DataFrame:
