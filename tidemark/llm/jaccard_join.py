@@ -47,9 +47,10 @@ PACKINGS = 3
 PAGE = 128
 SMALL = 32
 ELEMENTS = 500_000  # elements of a page of representatives, on average
-MOST_SENT = 2_000_000  # row numbers that may be broadcast (16 MB)
+MOST_SENT = 500_000  # row numbers that may be broadcast (about 16 MB as a hash table)
 LEAST_COMMON, MOST_COMMON = 64, 1_000_000  # occurrences that make an element common; bound of the table of common ones
-_SLICE = 1000
+_SLICE = 500
+_SHARES = 8  # parts of the hash range that a batch is counted in, one after the other
 _COLUMNS = 16_384
 _LOW = (1 << 48) - 1
 _FULL = 65535  # a coordinate this large stands for any greater one
@@ -87,16 +88,15 @@ def common_elements(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_shingles(batch.slice(at, _SLICE).column("text"), width)[0] for at in range(0, batch.num_rows, _SLICE)]
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            del parts
-            flat &= np.uint64(_LOW)
-            flat.sort()  # in place: a batch holds millions of elements
-            equal = np.flatnonzero(flat[1:] == flat[:-1])
-            heads = np.flatnonzero(np.diff(equal, prepend=-2) != 1)
-            again, n = flat[equal[heads]], np.diff(np.append(heads, len(equal))) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64))], names=["token", "n", "all"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0]), pa.array([len(flat)])], names=["token", "n", "all"])
+            parts = [_shingles(batch.slice(at, _SLICE).column("text"), width)[0] & np.uint64(_LOW) for at in range(0, batch.num_rows, _SLICE)]
+            for share in range(_SHARES):  # a batch holds millions of elements, so they are not put together all at once
+                flat = np.concatenate([part[part % np.uint64(_SHARES) == share] for part in parts]) if parts else np.zeros(0, np.uint64)
+                flat.sort()
+                equal = np.flatnonzero(flat[1:] == flat[:-1])
+                heads = np.flatnonzero(np.diff(equal, prepend=-2) != 1)
+                again, n = flat[equal[heads]], np.diff(np.append(heads, len(equal))) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64))], names=["token", "n", "all"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0]), pa.array([sum(map(len, parts))])], names=["token", "n", "all"])
 
     seen = staged(docs.select("text").mapInArrow(count, "token long, n long, all long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).filter(
         (F.col("n") >= LEAST_COMMON) | (F.col("all") > 0)), "common")
@@ -149,15 +149,17 @@ def leading_elements(sets: DataFrame, percent: int) -> DataFrame:
     """Rows (token, row, n): of every set the elements of which a similar set must share one."""
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column("n").to_numpy()
-            take = np.where(sizes > 0, sizes - (sizes * percent + 99) // 100 + 1, 0)
-            own = [_numbers(t.as_buffer()[: 6 * k]) for t, k in zip(batch.column("tokens"), take.tolist(), strict=True)]
-            flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
-            each = [len(t) for t in own]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(flat.view(np.int64)), pa.array(np.repeat(batch.column("row").to_numpy(), each)), pa.array(np.repeat(sizes, each)),
-            ], names=["token", "row", "n"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(at, _SLICE)
+                sizes = batch.column("n").to_numpy()
+                take = np.where(sizes > 0, sizes - (sizes * percent + 99) // 100 + 1, 0)
+                own = [_numbers(t.as_buffer()[: 6 * k]) for t, k in zip(batch.column("tokens"), take.tolist(), strict=True)]
+                flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+                each = [len(t) for t in own]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(flat.view(np.int64)), pa.array(np.repeat(batch.column("row").to_numpy(), each)), pa.array(np.repeat(sizes, each)),
+                ], names=["token", "row", "n"])
 
     return sets.select("row", "n", "tokens").mapInArrow(lead, "token long, row long, n long")
 
@@ -229,6 +231,21 @@ def _open(blocks: DataFrame, comps: DataFrame) -> DataFrame:
     return named.join(apart, "token")
 
 
+def _extended(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only the links between components found so far are solved, by the components' names."""
+    names = comps.select("node", "comp")
+    if comps.count() <= MOST_SENT:
+        names = F.broadcast(names)
+    for end in ("u", "v"):
+        links = links.join(names.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
+    joined = staged(components(links), "jaccard-joined")
+    renamed = joined.select(F.col("node").alias("comp"), F.col("comp").alias("least"))
+    if renamed.count() <= MOST_SENT:
+        renamed = F.broadcast(renamed)
+    old = comps.join(renamed, "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
+    return staged(old.unionByName(joined.join(comps.select("node"), "node", "left_anti").select("node", "comp")), "jaccard-comps")
+
+
 def _led(blocks: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
     """Pairs of the rows of every block with its leading row, where sizes allow a link."""
     pairs = blocks.join(leads, "token").filter("row <> lead.row").filter(_sized("n", "n", "lead.n", percent))
@@ -284,7 +301,7 @@ def similar_groups(
     named = staged(group_rows(sets.withColumn("mark", F.xxhash64("point")), percent, "digest", "mark"), "jaccard-named")
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     linked = staged(link_counts(named, sets, percent), "jaccard-counts")
-    if linked.count() <= MOST_SENT // 4:
+    if linked.count() <= MOST_SENT:
         linked = F.broadcast(linked)
     return named.join(linked, ["comp", "n", "digest", "mark"], "left").join(least, "comp").select(
         F.col("id").alias(ident), F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -298,7 +315,7 @@ def link_counts(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     spanned = staged(classes.join(spans, "comp").withColumn("pages", pages), "jaccard-spans")
     # Two classes of a component are linked, as nothing else joins them.
     reps = spanned.filter("m > 2").select("row", "k", "comp", "pages", F.pmod(F.xxhash64("row", F.lit(PAGE)), "pages").cast("int").alias("page"))
-    if reps.count() <= MOST_SENT // 4:
+    if reps.count() <= MOST_SENT:
         reps = F.broadcast(reps)
     meets = sets.select("row", "tokens").join(reps, "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
     meets = meets.select("comp", F.least("page", "other").alias("lo"), F.greatest("page", "other").alias("hi"), "page", "row", "k", "tokens")
@@ -365,8 +382,7 @@ def group_rows(sets: DataFrame, percent: int, *also: str) -> DataFrame:
     blocks = staged(postings.join(shared, "token"), "rtree-blocks")
     first = blocks.filter("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b"), F.col("n").alias("nb")).distinct()
     first = first.join(sets.select(F.col("row").alias("a"), F.col("n").alias("na")), "a").filter(_sized("na", "na", "nb", percent))
-    links = _links(first, sets, percent)
-    comps = staged(components(links), "jaccard-comps")
+    comps = staged(components(_links(first, sets, percent)), "jaccard-comps")
     # Every row has met the leading row of its elements, so these and elements of two rows are done with.
     rest = blocks.filter("k > 2 AND row <> lead").drop("lead")
     opened = staged(_open(rest, comps), "rtree-open")
@@ -379,12 +395,11 @@ def group_rows(sets: DataFrame, percent: int, *also: str) -> DataFrame:
         led = True
         leads = large.groupBy("token").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)), "row", "n", "comp")).alias("lead"))
         more = _links(_led(large.join(leads.select("token", F.col("lead.comp").alias("c")), "token").filter("comp <> c").drop("c"), leads, percent), sets, percent)
-        links = staged(links.unionByName(more), "jaccard-links")
-        comps = staged(components(links), "jaccard-comps")
+        comps = _extended(comps, more)
         large = staged(_open(large.drop("comp"), comps), "rtree-open")
     if led:
         opened = staged(_open(opened.drop("comp"), comps), "rtree-open")
     if not opened.isEmpty():
-        comps = staged(components(links.unionByName(_descend(opened, sets, percent))), "jaccard-comps")
+        comps = _extended(comps, _descend(opened, sets, percent))
     slim = sets.select("row", "id", "n", *also)
     return slim.join(comps.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
