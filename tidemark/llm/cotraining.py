@@ -13,7 +13,9 @@ and a pool of ``POOL`` unlabelled ones. Scores, and the features of the samples,
 Defined results: a null text counts as empty; null metadata are values of their own. Rows with a
 null identifier are scored but never learned from. A document with several labels has their mean, at
 least one half meaning good; null labels are ignored. Without labels every score is 0.5; with labels
-of one kind every score is their smoothed share. Repeated rows get the same score.
+of one kind every score is their smoothed share. Repeated rows get the same score; where one identifier has
+several texts, one of them is learned from, whichever comes first. Texts are read whole, however long. An empty
+table gives an empty result. Extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations

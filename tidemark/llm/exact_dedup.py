@@ -8,7 +8,8 @@ on in another one, and those few runs are joined up afterwards.
 
 Defined results: a null text equals the empty text. A null identifier ranks after all others and is
 the ``keep_id`` only where every copy's is null. Of repeated rows (same text and identifier) exactly
-one is kept. An empty table gives an empty result.
+one is kept. An empty table gives an empty result. Texts of any length are compared whole. Extra columns are
+carried by ``drop_duplicates``, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,6 +15,8 @@ of its own.
 Defined results: a null text has no words and is never taken. A null source is a source of its own,
 last in order. Repeated rows are rows like others. If the corpus has no words all targets are 0. An
 empty table gives an empty result. Reruns agree: the order is a hash of identifier and text.
+Texts of any length count whole, and long ones are taken whole or not at all. Extra columns are carried with
+``carry``, whatever their names.
 The table of sources is taken to be small enough for one task's sort; documents are not.
 """
 

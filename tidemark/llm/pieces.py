@@ -19,7 +19,8 @@ Defined results: null and empty texts have no pieces and decode to the empty tex
 length are encoded whole; a word's cost is linear in its length. The word cache is emptied before it
 grows over ``CACHE`` words, which changes no result. Of equally good segmentations the one whose last
 piece is longest is taken, at every position. The sign U+2581, with which models write the blank,
-is spelled in bytes, so decoding gives back every text unless the unknown piece was needed.
+is spelled in bytes, so decoding gives back every text unless the unknown piece was needed. Repeated rows are
+encoded alike. An empty table gives an empty result. Extra columns are carried, whatever their names.
 """
 
 from __future__ import annotations

@@ -21,6 +21,7 @@ are looked up as words are. Scores do not depend on which of both it is.
 
 Defined results: null and empty texts hold only the end. A null identifier is not held out. Without
 training rows all counts are 0 and the trees are their uniform roots. Repeated rows count as often as they stand.
+Texts of any length are read whole. An empty table gives an empty result. Extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ not by the corpus.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no rule and the
 verdict of an unlisted URL. Of fitting rules the one with most characters wins, then the longer host.
-A null or empty rule list blocks nothing. Rules that contradict each other are refused.
+A null or empty rule list blocks nothing. Rules that contradict each other are refused. Repeated rows are judged
+alike, each in its own row. URLs of any length are read whole. An empty table gives an empty result. Extra columns
+play no part, whatever their names.
 """
 
 from __future__ import annotations
