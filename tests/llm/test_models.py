@@ -48,6 +48,14 @@ def test_language_edge_rows(spark):
     assert [tuple(r)[2:] for r in language_id.identify(frame(spark, unlabelled)).collect()] == [("und", 0.0)]
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 120)
+    monkeypatch.setattr(language_id, "LEAST_EACH", 20)
+    rows = [(i, "the and with this thing " * 8, "en", "hot", 1) for i in range(3000)] + [(5000 + i, "zxqj vkwz qqzx jjvk " * 8, "rare", "s", 1) for i in range(40)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(frame(spark, rows)).filter("doc_id >= 4990 OR doc_id < 10").collect()}
+    assert set(got.values()) == {"en", "rare"} and all(lang == ("rare" if i >= 5000 else "en") for i, lang in got.items())
+
+
 def test_language_does_not_read_labels(spark):
     rows = [(i, t, lang, s, n) for i, t, lang, s, n in documents() if i is not None]
     net = language_id.train(frame(spark, rows), "doc_id", "text", "lang")

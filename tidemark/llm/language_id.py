@@ -2,14 +2,17 @@
 
 Filters of widths 2, 3 and 4 slide over the folded bytes of fixed-length windows; the greatest
 response of each filter in a window goes through a softmax layer. The network is trained in numpy on
-the driver from a bounded sample of labelled windows (``SAMPLE`` documents, one window each, chosen
-by a hash of the identifier). Prediction runs over every window of every text: windows overlap by
+the driver from a bounded sample of labelled windows, one of each chosen document: ``SAMPLE`` in all, dealt
+evenly to the languages and at least ``LEAST_EACH`` of each, by a hash of the identifier, so that a rare
+language is learned and a hot source takes no other's share. Prediction runs over every window of every text: windows overlap by
 one byte less than the widest filter, so no byte sequence is cut, and a document's windows are
 averaged by their length.
 
 Defined results: a null text, or one without a letter, gives ``und`` with score 0. Without labelled
 rows every text is ``und``; with one language in the labels every text with letters gets it. Texts of any length
 are read whole; memory is bounded by the window batch. Rows with a null identifier are never learned from.
+Equally likely languages go to the first by name. Repeated rows are predicted alike, each in its own row. An
+empty table gives an empty result. Extra columns are carried by ``predict``, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,14 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bytewords import _FOLD, raw
-from tidemark.llm.common import hash_sample
 
-SAMPLE = 6000
+SAMPLE = 6000  # windows learned from, dealt evenly to the languages
+LEAST_EACH = 50  # but as many of each language
 WINDOW = 512
 FILTERS = 8
 WIDTHS = (2, 3, 4)
@@ -148,10 +151,19 @@ def _in_fold(ident: str, folds: int, fold: int):
 
 def train(docs: DataFrame, ident: str, text: str, lang: str, folds: int = 5, fold: int = 0) -> ByteConvNet | None:
     """A network learned from labelled rows outside the held-out fold; None if there are none."""
-    usable = F.col(lang).isNotNull() & ~_in_fold(ident, folds, fold)
+    usable = F.col(lang).isNotNull() & ~_in_fold(ident, folds, fold) & F.col(text).rlike(r"\p{L}")
     place = F.pmod(F.xxhash64(F.col(ident), F.lit(1)), F.greatest(F.lit(1), F.length(text) - WINDOW + 1)) + 1
-    chosen = hash_sample(docs.filter(usable).select(F.col(ident).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), place.cast("int").alias("place")), "id", SAMPLE)
-    sample = chosen.filter(F.col("text").rlike(r"\p{L}")).select("h", "lang", F.substring("text", F.col("place"), F.lit(WINDOW)).alias("t")).collect()
+    h = F.xxhash64(F.col(ident))
+    counts = {r["lang"]: r["n"] for r in docs.filter(usable).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}  # one row per language
+    if not counts:
+        return None
+    each = max(LEAST_EACH, SAMPLE // len(counts))
+    # A threshold at twice a language's share goes first, so no task hands on more windows than that.
+    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, int(min(1.0, 2.0 * each / n) * (1 << 31)))])
+    near = docs.filter(usable & (F.pmod(h, F.lit(1 << 31)) <= F.element_at(share, F.col(lang)))).select(
+        h.alias("h"), F.col(lang).alias("lang"), F.substring(F.col(text), place.cast("int"), F.lit(WINDOW)).alias("t"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 31)), "h", "t"))
+    sample = near.withColumn("rn", first).filter(F.col("rn") <= each).select("h", "lang", "t").collect()
     sample.sort(key=lambda r: (r["h"], r["lang"], r["t"]))
     if not sample:
         return None
