@@ -9,7 +9,7 @@ block, and the selections are merged.
 Defined results: a vector that is null, or holds a null or non-finite component, takes no part.
 Vectors of differing lengths meet on the components they share. Every row is its own candidate, also
 where identifiers repeat; only the query's own row is left out. Ties go to the smaller identifier
-(nulls last), then to the earlier row. With no queries or candidates the result is empty.
+(nulls last), then to the earlier row. Extra columns play no part, whatever their names. With no queries or candidates the result is empty.
 Components are floor(scale * x) and scores must fit 64-bit integers.
 """
 
@@ -22,10 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import tasks
 from tidemark.session import staged
 
 BLOCK = 4096  # candidates in a block
 QUERIES = 512  # queries in a block
+GROUPS = 64  # groups that candidate blocks are dealt to
 
 
 def integer_vectors(df: DataFrame, ident: str, vector: str, scale: int) -> DataFrame:
@@ -102,11 +104,15 @@ def top_k(
     asking = rows.filter(is_query(F.col("id")) if callable(is_query) else is_query)
     q = staged(blocks(asking, "qb", QUERIES), "query-blocks")
     c = staged(blocks(rows, "cb", BLOCK), "candidate-blocks")
-    # Each packed candidate block is sent to every query block by number: an equi-join of blocks, not of rows.
-    n_query_blocks = (q.agg(F.max("qb")).first()[0] if q.columns else None)
-    n_query_blocks = -1 if n_query_blocks is None else n_query_blocks
-    sent = c.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, n_query_blocks)))).alias("qb"), *[F.col(x).alias(f"c_{x}") for x in c.columns])
-    pairs = sent.repartition(F.col("qb"), F.col("c_cb")).join(q.hint("shuffle_hash"), "qb")
+    # Every query block meets every candidate block once: an equi-join of blocks on the pair of a query block
+    # and a group of candidate blocks, so neither all queries nor all candidates of a block share a task.
+    n_queries, n_candidates = (part.agg(F.coalesce(F.max(name), F.lit(-1)).alias("n")).first()["n"] + 1 for part, name in ((q, "qb"), (c, "cb")))
+    groups = max(1, min(n_candidates, GROUPS))
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias(name)
+    sent = c.select(each(n_queries, "qb"), F.pmod("cb", F.lit(groups)).alias("part"), *[F.col(x).alias(f"c_{x}") for x in c.columns])
+    asked = q.select(each(groups, "part"), "*")
+    spread = max(tasks(df.sparkSession), min(n_queries * groups, 16 * tasks(df.sparkSession)))
+    pairs = sent.repartition(spread, "qb", "part").join(asked.repartition(spread, "qb", "part").hint("shuffle_hash"), ["qb", "part"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
