@@ -8,7 +8,8 @@ then by a hash of the row, so a large group of copies is cut where the bytes dem
 groups stay together. Only the cut of each node (one row of numbers) reaches the driver.
 
 Defined results: a null text has no bytes; null metadata sort before all values; a null or repeated
-identifier is an ordinary row. With no rows the result is empty; with fewer rows than shards some
+identifier is an ordinary row; of rows equal in all that is read, any may be the one beyond a cut. Texts of
+any length count whole and lie in one shard. Extra columns play no part, whatever their names. With no rows the result is empty; with fewer rows than shards some
 shards stay empty. Slots number the rows of a shard from 0 without gaps.
 """
 
@@ -51,8 +52,12 @@ def _widest(rows: DataFrame, n_dims: int) -> dict[int, tuple[int, int, int, int]
 
 
 def _with(rows: DataFrame, per_node: list[tuple], schema: str) -> DataFrame:
-    """Adds what is known of each node; there are no more nodes than shards."""
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(per_node, schema)), "node")
+    """Adds what is known of each node; there are no more nodes than shards, so they are literals of the plan."""
+    literal = lambda v: f"{v!r}D" if isinstance(v, float) else f"{v}L"
+    names, kinds = zip(*(part.split() for part in schema.split(", ")), strict=True)
+    values = ", ".join(f"({', '.join(map(literal, row))})" for row in per_node)
+    known = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS known({', '.join(names)})")
+    return rows.join(F.broadcast(known.select(*[F.col(n).cast(k) for n, k in zip(names, kinds, strict=True)])), "node")
 
 
 def _cuts(rows: DataFrame, shares: dict[int, float], start: dict[int, tuple]) -> dict[int, tuple[int, int, int]]:
