@@ -6,11 +6,12 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from tests.llm.data import DOCS, WORD, documents, folded
+from tests.llm.data import DOCS, WORD, clashing, documents, folded, frame
 from tests.llm.test_copies import brute_groups
 from tests.llm.test_tables import brute_targets
+from tidemark.llm import language_id
 from tidemark.llm.queries import QUERIES
-from tidemark.session import shared_dir
+from tidemark.session import shared_dir, staged
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,6 +77,26 @@ def test_pipeline_stages_against_brute_force(spark):
         docs = after_df
 
 
+@pytest.mark.parametrize("classes", [1, 2, 4, 20])
+def test_open_languages_are_rejected(spark, monkeypatch, classes):
+    net = language_id.ByteConvNet([f"l{i}" for i in range(classes)])
+    net.out[:] = 0
+    monkeypatch.setattr(corpus_pipeline.language_id, "train", lambda *_: net)
+    docs = spark.createDataFrame([(1, "some words", None, "s", 1)], DOCS)
+    assert corpus_pipeline.language(spark, docs, "").count() == (classes == 1)  # every language is as likely as another
+    net.out_bias[0] = 1.0
+    assert corpus_pipeline.language(spark, docs, "").count() == 1
+
+
+def test_pipeline_carries_columns_with_clashing_names(spark):
+    df = clashing(frame(spark, documents(n=40)))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, df, "")
+        assert after.columns == df.columns
+        df = staged(after, "clashing")
+    assert df.count() > 0 and {r["comp"] for r in df.select("comp").collect()} == {"own comp"}
+
+
 def test_pipeline_of_nothing(spark):
     where = shared_dir(spark, "pipeline-empty")
     spark.createDataFrame([], DOCS).write.parquet(f"{where}/documents.parquet")
