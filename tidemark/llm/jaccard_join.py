@@ -25,7 +25,8 @@ their element matrices in a task, so no table holds a row per pair. A class coun
 Defined results: texts without words, and null texts, have an empty set and link with nothing. With
 fewer words than a shingle has, the whole sequence is the only shingle. Rows with a null identifier
 take part; a component's name is its least identifier that is not null. Sets are compared by the
-lower 48 bits of 64-bit hashes. An empty table gives an empty result.
+lower 48 bits of 64-bit hashes. Texts of any length are read whole. An empty table gives an empty result. Extra
+columns are carried by ``keep_one_per_group``, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bytewords import distinct, mix, words
 from tidemark.llm.graph import components
-from tidemark.session import staged
+from tidemark.session import staged as staged_plain
 
 GROUPS = 64
 PACKINGS = 3
@@ -50,13 +51,26 @@ ELEMENTS = 500_000  # elements of a page of representatives, on average
 MOST_SENT = 500_000  # row numbers that may be broadcast (about 16 MB as a hash table)
 LEAST_COMMON, MOST_COMMON = 64, 1_000_000  # occurrences that make an element common; bound of the table of common ones
 _SLICE = 500
-_SHARES = 8  # parts of the hash range that a batch is counted in, one after the other
+_BATCH = 1000  # rows of an Arrow batch, which hold whole texts or sets
+_TOGETHER = 4_000_000  # elements counted together
+_SHARES = 8  # parts of the hash range in which they are, one after the other
 _COLUMNS = 16_384
 _LOW = (1 << 48) - 1
 _FULL = 65535  # a coordinate this large stands for any greater one
 _STEP = 0x9E3779B97F4A7C15
 
 
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """A staged table, written with small Arrow batches: batches of texts or sets take several times their size off the heap."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(min(_BATCH, int(before)) if int(before) > 0 else _BATCH))
+    try:
+        return staged_plain(df, purpose)
+    finally:
+        conf.set(name, before)
+
+
 def _shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of all texts in order, and the first of each text."""
     w = words(column)
@@ -78,25 +92,35 @@ def _shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def _repeated(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, n, all): elements that occur more than once in the parts together, and the number of all."""
+    names = ["token", "n", "all"]
+    for share in range(_SHARES):  # there are millions, so they are not put together all at once
+        flat = np.concatenate([part[part % np.uint64(_SHARES) == share] for part in parts]) if parts else np.zeros(0, np.uint64)
+        flat.sort()
+        equal = np.flatnonzero(flat[1:] == flat[:-1])
+        heads = np.flatnonzero(np.diff(equal, prepend=-2) != 1)
+        again, n = flat[equal[heads]], np.diff(np.append(heads, len(equal))) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64))], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0]), pa.array([sum(map(len, parts))])], names=names)
+
+
 def common_elements(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Elements that occur in many documents, sorted, with the logarithm of how often.
 
-    Every batch of documents reports elements it holds more than once. An element counts as common
+    Every run of documents of ``_TOGETHER`` elements reports those it holds more than once. An element counts as common
     from ``LEAST_COMMON`` such occurrences on, or from as many as keep the table under
     ``MOST_COMMON`` entries. The order only steers the search; any table gives the same links.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
         for batch in batches:
-            parts = [_shingles(batch.slice(at, _SLICE).column("text"), width)[0] & np.uint64(_LOW) for at in range(0, batch.num_rows, _SLICE)]
-            for share in range(_SHARES):  # a batch holds millions of elements, so they are not put together all at once
-                flat = np.concatenate([part[part % np.uint64(_SHARES) == share] for part in parts]) if parts else np.zeros(0, np.uint64)
-                flat.sort()
-                equal = np.flatnonzero(flat[1:] == flat[:-1])
-                heads = np.flatnonzero(np.diff(equal, prepend=-2) != 1)
-                again, n = flat[equal[heads]], np.diff(np.append(heads, len(equal))) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64))], names=["token", "n", "all"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0]), pa.array([sum(map(len, parts))])], names=["token", "n", "all"])
+            parts += [_shingles(batch.slice(at, _SLICE).column("text"), width)[0] & np.uint64(_LOW) for at in range(0, batch.num_rows, _SLICE)]
+            if sum(map(len, parts)) >= _TOGETHER:
+                yield from _repeated(parts)
+                parts = []
+        yield from _repeated(parts)
 
     seen = staged(docs.select("text").mapInArrow(count, "token long, n long, all long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).filter(
         (F.col("n") >= LEAST_COMMON) | (F.col("all") > 0)), "common")
