@@ -34,7 +34,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,8 +125,10 @@ def common_elements(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
         (F.col("n") >= LEAST_COMMON) | (F.col("all") > 0)), "common")
     total = seen.agg(F.sum("all").alias("t")).first()["t"] or 0
     least = max(LEAST_COMMON, -(-total // MOST_COMMON))  # at most total / least elements can occur so often
-    rows = seen.filter((F.col("n") >= least) & (F.col("token") >= 0)).select("token", F.log2("n").cast("int").alias("level")).toArrow().to_pandas().sort_values("token")
-    return rows["token"].to_numpy(np.uint64), rows["level"].to_numpy(np.uint8)
+    rows = seen.filter((F.col("n") >= least) & (F.col("token") >= 0)).select("token", F.log2("n").cast("int").alias("level")).toArrow()
+    tokens, levels = rows.column("token").to_numpy().astype(np.uint64), rows.column("level").to_numpy().astype(np.uint8)
+    order = np.argsort(tokens)
+    return tokens[order], levels[order]
 
 
 def set_table(docs: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -300,12 +301,12 @@ def _descend(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     single = paged.join(spans.filter("k = 1").select("page"), "page").select(F.col("row").alias("to"), F.col("n").alias("nb"), F.col("page").alias("b"))
     alone = met.filter("k = 1").select("a", "na", "b").join(single, "b").select("a", "na", F.col("to").alias("b"), "nb")
 
-    def box(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        top = np.frombuffer(b"".join(pdf["pa"]), np.uint16).reshape(-1, GROUPS).max(axis=0)
-        return pd.DataFrame({"b": [key[0]], "pb": [top.tobytes()]})
+    def box(group: pa.Table) -> pa.Table:
+        top = np.frombuffer(b"".join(group.column("pa").to_pylist()), np.uint16).reshape(-1, GROUPS).max(axis=0)
+        return pa.table({"b": group.column("b").slice(0, 1), "pb": pa.array([top.tobytes()], pa.binary())})
 
     full = paged.join(spans.filter("k > 1").select("page"), "page")
-    boxes = full.join(points.withColumnRenamed("a", "row"), "row").select(F.col("page").alias("b"), "pa").groupBy("b").applyInPandas(box, "b long, pb binary")
+    boxes = full.join(points.withColumnRenamed("a", "row"), "row").select(F.col("page").alias("b"), "pa").groupBy("b").applyInArrow(box, "b long, pb binary")
     down = _bounded(met.filter("k > 1").join(points, "a").join(boxes, "b"), percent)
     inside = full.select(F.col("page").alias("b"), F.col("row").alias("to"), F.col("n").alias("nb"))
     opened_pages = down.join(met.select("a", "na").distinct(), "a").join(inside, "b").filter(_sized("nb", "nb", "na", percent)).select("a", "na", F.col("to").alias("b"), "nb")
