@@ -2,6 +2,11 @@
 
 Every stage takes all that the stage before kept and returns the columns of documents, but for the
 last, which adds the encoding. ``run`` writes each stage to the shared folder and reads it again.
+
+Defined results: null texts and texts without letters go in the first stage, so do texts whose language
+is open; without labelled rows every text goes. Of equal or linked documents the least identifier stays,
+null ones last; repeated rows are copies of each other. Whole texts are read, however long. Extra columns
+are carried by every stage, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,8 +20,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import exact_dedup, jaccard_join, language_id, mixing, pieces
 from tidemark.session import release, staged, staged_paths
 
-#: Documents go when no language reaches this share; with four languages a quarter is no evidence at all.
-LEAST_SCORE = 0.3
+#: Documents go when no language is this much likelier than an even share; of four languages one must reach 0.3.
+LEAST_GAIN = 1.2
+
+
+#: Rows of an Arrow batch.
+BATCH = "1000"
 
 
 #: Intermediate tables of operators that hold texts or sets; the others are small.
@@ -28,10 +37,14 @@ _left: list[str] = []  # what the last stage's operators staged
 
 
 def stage(work: Stage) -> Stage:
-    """Frees what the stage before has staged, once its result is written, which is when the next stage begins."""
+    """Frees what the stage before has staged, once its result is written, which is when the next stage begins.
+
+    Arrow batches hold whole texts, several times over and outside the heap, so the session gets small ones.
+    """
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
         release(spark, _left)
         before = staged_paths()
         out = work(spark, docs, sf_dir)
@@ -44,8 +57,9 @@ def stage(work: Stage) -> Stage:
 @stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language the network tells; texts without letters and null texts go."""
-    told = language_id.predict(docs, language_id.train(docs, "doc_id", "text", "lang"))
-    return told.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    net = language_id.train(docs, "doc_id", "text", "lang")
+    least = min(0.99, LEAST_GAIN / max(1, len(net.classes))) if net else 0.0
+    return language_id.predict(docs, net).filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 @stage
