@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CACHE = 100_000
+CACHE = 60_000
 UNKNOWN_PENALTY = 10.0
 LONGEST = 64  # letters of a word up to which it is encoded beside others
 SIDE_BY_SIDE = 4096
