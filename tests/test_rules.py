@@ -153,6 +153,14 @@ def test_config_rules(spark):
     assert got["g"] == [] and {"tiers_keys", "buyer_velocity_thresholds"} <= set(got["b"])
 
 
+def test_config_is_parsed_once(spark):
+    df = spark.createDataFrame([("{",), (None,), (json.dumps(sc.default_config()),)], "c string").select(rg.config_violations(F.col("c")).alias("v"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    broken, missing, good = [r["v"] for r in df.collect()]
+    assert broken == missing and len(broken) == len(set(broken)) > 30 and good == []
+
+
 def test_pool_payload_rules(spark):
     def pool(created, cap, ref="bsc_0xAB"):
         return {"attributes": {"address": "0xP", "pool_created_at": created, "base_token_price_usd": "1.5", "market_cap_usd": cap}, "relationships": {"base_token": {"data": {"id": ref}}}}

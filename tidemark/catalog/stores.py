@@ -116,14 +116,18 @@ def score_backfill(spark, sf_dir):
 
 
 def configs(spark, sf_dir):
-    """One config per supplier: valid, or broken in a way that follows from its key."""
+    """One config per supplier: valid, or broken in a way that follows from its key.
+
+    The table is one small file and its configs are dear to read, so its keys are dealt to all cores.
+    """
+    keys = ad.table(spark, sf_dir, "supplier").select("s_suppkey").repartition(max(1, spark.sparkContext.defaultParallelism))
     good = json.dumps(sc.default_config("@V@"))
     k = F.col("s_suppkey")
     text = F.regexp_replace(F.lit(good), "@V@", F.when(k % 7 == 3, F.lit("bad version")).otherwise(F.concat(F.lit("S"), k)))
     text = F.when(k % 5 == 1, F.replace(text, F.lit('"breakout": 85.0'), F.lit('"breakout": 60.0'))).otherwise(text)
     text = F.when(k % 5 == 2, F.replace(text, F.lit('"under_30m": 10.0'), F.lit('"under_30m": -1.0'))).otherwise(text)
     text = F.when(k % 5 == 3, F.replace(text, F.lit('"clamp": {'), F.lit('"clamp": {"extra": 1, '))).otherwise(text)
-    return ad.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), k).alias("version"), text.alias("config_json"), k.alias("k"))
+    return keys.select(F.concat(F.lit("S"), k).alias("version"), text.alias("config_json"), k.alias("k"))
 
 
 @query("r1_config_violations", oracle("""SELECT s_suppkey AS k, concat_ws(',', CASE WHEN s_suppkey % 5 = 3 THEN 'clamp_keys' END, CASE WHEN s_suppkey % 7 = 3 THEN 'version' END, CASE WHEN s_suppkey % 5 = 2 THEN 'age_bonus' END, CASE WHEN s_suppkey % 5 = 1 THEN 'tiers' END) AS violations FROM supplier"""))

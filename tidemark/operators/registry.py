@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import quality as q
@@ -42,8 +44,15 @@ CONFIG_SCHEMA = (
 )
 
 
-def _same_keys(text: Column, path: str, keys: tuple[str, ...]) -> Column:
-    body = text if path == "$" else F.get_json_object(text, path)
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once a row, however often it refers to it.
+
+    As a lambda's argument the value is neither copied into every reference nor parsed again for every field.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _same_keys(body: Column, keys: tuple[str, ...]) -> Column:
     found = F.array_sort(F.json_object_keys(body))
     return F.coalesce(found == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False))
 
@@ -73,16 +82,20 @@ def _at_least_zero(*values: Column) -> Column:
 
 
 def config_violations(text: Column) -> Column:
-    """Codes of every rule a config JSON breaks; empty when it is valid."""
-    cfg = F.from_json(text, CONFIG_SCHEMA)
-    checks: list[tuple[str, Column]] = [("root_keys", _same_keys(text, "$", ROOT_KEYS))]
-    checks += [(f"{name}_keys", _same_keys(text, f"$.{name}", keys)) for name, keys in OBJECT_KEYS.items()]
+    """Codes of every rule a config JSON breaks; empty when it is valid. Its numbers are parsed once."""
+    return _once(text, lambda body: _once(F.from_json(body, CONFIG_SCHEMA), lambda cfg: _once(
+        F.get_json_object(body, "$.factors"), lambda factors: _violations(body, cfg, factors))))
+
+
+def _violations(text: Column, cfg: Column, factors: Column) -> Column:
+    checks: list[tuple[str, Column]] = [("root_keys", _same_keys(text, ROOT_KEYS))]
+    checks += [(f"{name}_keys", _same_keys(F.get_json_object(text, f"$.{name}"), keys)) for name, keys in OBJECT_KEYS.items()]
     checks.append(("version", F.coalesce(cfg["version"].rlike(VERSION_PATTERN), F.lit(False))))
     for name in sc.FACTORS:
         f = cfg["factors"][name]
         own = "ratio_thresholds" if name == sc.LIQUIDITY_FACTOR else "velocity_thresholds"
         keys = ("maximum", own, "point_multipliers")
-        checks.append((f"{name}_keys", _same_keys(text, f"$.factors.{name}", keys)))
+        checks.append((f"{name}_keys", _same_keys(F.get_json_object(factors, f"$.{name}"), keys)))
         ladder = [f[own][s] for s in q.LADDER_STEPS]
         shares = [f["point_multipliers"][s] for s in q.LADDER_STEPS]
         checks += [
