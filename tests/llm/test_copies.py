@@ -91,6 +91,22 @@ def test_chains_are_found_by_descent(spark, monkeypatch):
     assert key(similar(frame(spark, rows))) == key(brute_groups(rows))
 
 
+def test_the_middle_of_a_group_leads(spark, monkeypatch):
+    """Copies that are each similar to one text in their midst, but not to each other, are not compared pair by pair."""
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for j, at in enumerate(draw.sample(range(5, 195), 3) if i != 70 else ()):
+            words[at] = f"x{i}_{j}"
+        rows.append((i, " ".join(words), "en", "s", 1))
+    compared, links = [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda pairs, sets, percent: compared.append(pairs.count()) or links(pairs, sets, percent))
+    assert key(similar(frame(spark, rows))) == key(brute_groups(rows))
+    assert sum(compared) < 10 * len(rows)
+
+
 def test_one_of_each_group_stays(spark):
     df = clashing(frame(spark))
     out = jaccard_join.keep_one_per_group(df)

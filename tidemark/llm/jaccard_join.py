@@ -13,7 +13,9 @@ have), and a point is only led to nodes with which it shares such an element. Th
 elements found in many documents last, so passages that many documents share do not lead anywhere.
 
 The tree is packed bottom-up. Points are compared with one leading point of each of their elements;
-verified links join points into nodes. After ``PACKINGS`` rounds, with other leaders in each, every
+verified links join points into nodes. Later rounds are led by the points that have linked with most
+leaders before, as the middle of a group of near copies is similar to nearly all of it while any other
+two may not be. After ``PACKINGS`` rounds, with other leaders in each, every
 point that shares enough of those elements with another node descends: the bounds of its pages (at
 most ``PAGE`` points of near sizes), then the points', then the sets. Points of one node are
 linked already and never compared again, so large groups of near copies cost no pair table.
@@ -271,6 +273,16 @@ def _extended(comps: DataFrame, links: DataFrame) -> DataFrame:
     return staged(old.unionByName(joined.join(comps.select("node"), "node", "left_anti").select("node", "comp")), "jaccard-comps")
 
 
+def _hits(links: DataFrame, leads: DataFrame) -> DataFrame:
+    """Rows (row, hits): with how many of these leading rows a row has linked, be it a leading row itself or not."""
+    ends = links.select("u", F.col("v").alias("row")).unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("row")))
+    return staged(ends.join(leads.distinct().withColumnRenamed("row", "u"), "u", "left_semi").groupBy("row").agg(F.count("*").alias("hits")), "rtree-hits")
+
+
+def _by_row(blocks: DataFrame, hits: DataFrame) -> DataFrame:
+    return blocks.join(F.broadcast(hits) if hits.count() <= MOST_SENT else hits, "row", "left")
+
+
 def _led(blocks: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
     """Pairs of the rows of every block with its leading row, where sizes allow a link."""
     pairs = blocks.join(leads, "token").filter("row <> lead.row").filter(_sized("n", "n", "lead.n", percent))
@@ -287,12 +299,13 @@ def _descend(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("comp", "salt").orderBy("n", "row"))
     # Pages hold neighbours in size; a salt of the row spreads large nodes over tasks.
     paged = staged(rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(64))).withColumn("page", F.xxhash64("comp", "salt", F.floor((place - 1) / PAGE))), "rtree-pages")
-    spans = paged.groupBy("page").agg(F.first("comp").alias("other"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("k"))
-    # Which pages of other nodes a row meets in any of its elements, sizes allowing.
-    places = opened.join(paged.select("row", "page"), "row")
+    spans = paged.groupBy("page").agg(F.first("comp").alias("other"), F.min("row").alias("only"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("k"))
+    # Which pages of other nodes a row meets in any of its elements, sizes allowing. Two rows meet one way only: through
+    # the page of one point, if one of them has such a page, else through the page of the greater node.
+    places = opened.join(paged.select("row", "page").join(spans.select("page", F.col("k").alias("own")), "page"), "row")
     by_page = places.select("token", "page").distinct().join(spans, "page")
-    met = places.select("token", F.col("row").alias("a"), F.col("n").alias("na"), "comp").join(by_page, "token").filter("comp <> other").filter(
-        _sized("least", "most", "na", percent)).groupBy("a", "na", "page", "least", "most", "k").agg(F.count("*").alias("shared"))
+    met = places.select("token", F.col("row").alias("a"), F.col("n").alias("na"), "comp", "own").join(by_page, "token").filter("comp <> other").filter(
+        "CASE WHEN k = 1 THEN own > 1 OR a < only ELSE own > 1 AND comp < other END").filter(_sized("least", "most", "na", percent)).groupBy("a", "na", "page", "least", "most", "k").agg(F.count("*").alias("shared"))
     # Of two sets, one has all it can share up to the end of its leading elements among those it does share there.
     short = lambda nb: f"ceil({percent} * (na + {nb}) / {100 + percent}) - ceil({percent} * greatest(na, {nb}) / 100) + 1"
     met = staged(met.filter(f"shared >= least({short('least')}, {short('most')})").select("a", "na", F.col("page").alias("b"), F.col("least").alias("nb"), "k"), "rtree-met")
@@ -407,20 +420,23 @@ def group_rows(sets: DataFrame, percent: int, *also: str) -> DataFrame:
     blocks = staged(postings.join(shared, "token"), "rtree-blocks")
     first = blocks.filter("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b"), F.col("n").alias("nb")).distinct()
     first = first.join(sets.select(F.col("row").alias("a"), F.col("n").alias("na")), "a").filter(_sized("na", "na", "nb", percent))
-    comps = staged(components(_links(first, sets, percent)), "jaccard-comps")
+    found = _links(first, sets, percent)
+    comps = staged(components(found), "jaccard-comps")
     # Every row has met the leading row of its elements, so these and elements of two rows are done with.
     rest = blocks.filter("k > 2 AND row <> lead").drop("lead")
     opened = staged(_open(rest, comps), "rtree-open")
     # Elements of many rows are led again by others; small ones cost no more in the descent.
     large = opened.filter(f"k > {SMALL}")
-    led = False
+    led, hits = False, _hits(found, first.select(F.col("a").alias("row")))
     for turn in range(1, PACKINGS):
         if large.isEmpty():
             break
         led = True
-        leads = large.groupBy("token").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)), "row", "n", "comp")).alias("lead"))
+        central = F.struct(F.coalesce("hits", F.lit(0)), F.xxhash64("row", F.lit(turn)), "row", "n", "comp")
+        leads = staged(_by_row(large, hits).groupBy("token").agg(F.max(central).alias("lead")), "rtree-leads")
         more = _links(_led(large.join(leads.select("token", F.col("lead.comp").alias("c")), "token").filter("comp <> c").drop("c"), leads, percent), sets, percent)
         comps = _extended(comps, more)
+        hits = hits.unionByName(_hits(more, leads.select("lead.row"))).groupBy("row").agg(F.sum("hits").alias("hits"))
         large = staged(_open(large.drop("comp"), comps), "rtree-open")
     if led:
         opened = staged(_open(opened.drop("comp"), comps), "rtree-open")
