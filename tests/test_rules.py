@@ -173,6 +173,17 @@ def test_pool_payload_rules(spark):
     assert [(r["page"], r["reason"]) for r in quarantine.collect()] == [(2, "bad_number")]
 
 
+def test_bad_creation_time_is_found_in_the_document(spark):
+    def pool(created, ref):
+        return {"attributes": {"address": "0xP", "pool_created_at": created, "base_token_price_usd": "1.5"}, "relationships": {"base_token": {"data": {"id": ref}}}}
+    docs = [json.dumps({"data": [pool("2026-01-01T11:00:00Z", "bsc_0xAB"), bad]}) for bad in (pool("soon", "bsc_0xCD"), None)] + ['{"data": []}', "{", json.dumps({"data": [pool("2026-01-01T11:00:00Z", "bsc_0xEF")]})]
+    df = spark.createDataFrame([(d, "bsc", i, i, T0) for i, d in enumerate(docs)], ["payload", "chain", "page", "run_id", "collected_at"])
+    rows, quarantine = pl.new_pools(df)
+    assert [r["token_id"] for r in rows.collect()] == ["bsc:0xef"]
+    assert sorted((r["page"], r["reason"]) for r in quarantine.collect()) == [(0, "bad_pool_created_at"), (1, "bad_pool_created_at"), (3, "unreadable")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # the one over chosen pools
+
+
 def test_truncated_trades_and_bad_side(spark):
     def doc(n, side="buy"):
         return json.dumps({"data": [{"attributes": {"tx_from_address": "a", "kind": side, "volume_in_usd": "1", "block_timestamp": "2026-01-01T12:00:00Z"}} for _ in range(n)]})

@@ -155,18 +155,19 @@ _COUNTERS = {f"{name}_{span}": (span, raw) for span in SPANS for raw, name in TR
 def _read_pools(payloads: DataFrame) -> DataFrame:
     """Pools with typed numbers, written once: one pass parses a document, judges it and reads every number of it once.
 
-    ``bad_number`` marks pools of which a number does not parse; the text of a document stays with its first row.
+    ``__late`` marks documents with a pool whose creation time does not parse, ``bad_number`` pools of which a number does not; the text of a document stays with its first row.
     """
     meta = [c for c in payloads.columns if c != "payload"]
     docs = judge(parse(payloads.withColumn("__doc", F.monotonically_increasing_id()), POOLS), unusable(POOLS))
-    flat = flat_pools(docs)
+    late = F.exists("doc.data", lambda p: instant(p["attributes"]["pool_created_at"]).isNull())
+    flat = flat_pools(docs.withColumn("late", F.col("reason").isNull() & F.coalesce(late, F.lit(False))))
     read = flat.withColumns({f"__{name}": number(_field(F.col("pool.attributes"), path)) for name, path in POOL_NUMBERS.items()})
     bad = F.lit(False)
     for name, path in POOL_NUMBERS.items():
         bad = bad | (_field(F.col("pool.attributes"), path).isNotNull() & F.col(f"__{name}").isNull())
     counters = [F.col("pool.attributes.transactions")[span][raw].cast("double").alias(f"__{name}") for name, (span, raw) in _COUNTERS.items()]
     rows = read.select(
-        *meta, "__doc", F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("payload")).alias("payload"), "reason", "pos", "token_id", "address", "name", "symbol",
+        *meta, "__doc", F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("payload")).alias("payload"), "reason", F.col("late").alias("__late"), "pos", "token_id", "address", "name", "symbol",
         "pool_address", instant(F.col("pool.attributes.pool_created_at")).alias("pool_created_at"), bad.alias("bad_number"),
         *[f"__{name}" for name in _NUMBERS], *counters,
     )
@@ -189,17 +190,15 @@ def new_pools(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _read_pools(payloads)
     # A document is one page of an interface, so its pools are few.
     document = Window.partitionBy("__doc")
-    late = F.max((F.col("pos").isNotNull() & F.col("pool_created_at").isNull()).cast("int")).over(document)
-    timed = rows.withColumn("__late", late == 1)
-    recent = timed.filter(~F.col("__late") & (F.col("pool_created_at") >= F.timestamp_micros(micros("collected_at") - MAX_POOL_AGE)))
-    first = recent.groupBy("run_id", "token_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("run_id", "token_id", "payload")]), F.struct("page", "pos")).alias("r"))
+    recent = rows.filter(~F.col("__late") & (F.col("pool_created_at") >= F.timestamp_micros(micros("collected_at") - MAX_POOL_AGE)))
+    first = recent.groupBy("run_id", "token_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("run_id", "token_id", "payload", "__late")]), F.struct("page", "pos")).alias("r"))
     chosen = first.select("run_id", "token_id", "r.*").withColumn("__bad", F.max(F.col("bad_number").cast("int")).over(document) == 1)
     candidates = chosen.filter(~F.col("__bad")).select(
         "run_id", "chain", "page", "pos", "collected_at", "token_id", "address", "name", "symbol", "pool_address",
         "pool_created_at", F.lit("LAUNCH").alias("origin"), *_market(F.col("collected_at")),
     )
     meta = payloads.columns
-    heads = timed.filter(F.col("pos").isNull() | (F.col("pos") == 0))
+    heads = rows.filter(F.col("pos").isNull() | (F.col("pos") == 0))
     wrong = heads.withColumn("reason", F.when(F.col("__late"), "bad_pool_created_at").otherwise(F.col("reason"))).filter(F.col("reason").isNotNull())
     numbers = heads.join(chosen.filter("__bad").select("__doc").distinct(), "__doc").withColumn("reason", F.lit("bad_number"))
     return candidates, wrong.select(*meta, "reason").unionByName(numbers.select(*meta, "reason"))
@@ -215,7 +214,7 @@ def momentum_pools(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     place = F.struct("page", "pos")
     untimed = F.col("pool_created_at").isNull()
     good = ~untimed & ~F.col("bad_number")
-    kept = F.struct(*[c for c in rows.columns if c not in ("run_id", "chain", "source", "token_id", "payload")])
+    kept = F.struct(*[c for c in rows.columns if c not in ("run_id", "chain", "source", "token_id", "payload", "__late")])
     tokens = rows.filter(F.col("pos").isNotNull()).groupBy("run_id", "chain", "source", "token_id").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.when(untimed, place)).alias("untimed"), F.min(F.when(~untimed & F.col("bad_number"), place)).alias("wrong"),
         F.min(F.when(good, place)).alias("at"), F.min_by(kept, F.when(good, place)).alias("r"),
