@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.data import DOCS, WORD, clashing, documents, folded, frame
-from tidemark.llm import exact_dedup, jaccard_join
+from tidemark.llm import common, exact_dedup, jaccard_join
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
@@ -149,3 +149,9 @@ def test_links_of_every_row(spark, monkeypatch):
         got = sorted((str(r["doc_id"]), r["n_links"]) for r in jaccard_join.similar_groups(clashing(frame(spark, rows))).collect())
         assert got == brute_links(rows)
     assert any(n > 20 for _, n in got)
+
+
+def test_tasks_give_freed_memory_back(monkeypatch):
+    trimmed = []
+    monkeypatch.setattr(common, "_trim", lambda: trimmed.append(True))
+    assert list(common.giving_back(lambda batches: (b for b in batches))(iter([1, 2]))) == [1, 2] and trimmed == [True]

@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ascii_lower
+from tidemark.llm.common import ascii_lower, giving_back
 from tidemark.session import staged
 
 LEAD = 32  # characters of a splitter
 
 
+@giving_back
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers the runs of equal neighbours of one sorted partition."""
     part = TaskContext.get().partitionId()

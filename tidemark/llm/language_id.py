@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bytewords import _FOLD, raw
+from tidemark.llm.common import giving_back
 
 SAMPLE = 6000  # windows learned from, dealt evenly to the languages
 LEAST_EACH = 50  # but as many of each language
@@ -181,6 +182,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, text: str = "text") -> Dat
     base = docs.select(F.struct("*").alias("row"), letter.alias("letter"))
     schema = T.StructType([base.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net) if net else None
         for whole in batches:

@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import giving_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 CACHE = 60_000
@@ -318,6 +320,7 @@ def encode(df: DataFrame, model: PieceModel, text: str = "text", verify: bool =
     schema = T.StructType([base.schema["row"], T.StructField("piece_ids", T.ArrayType(T.IntegerType())), *([T.StructField("round_trip", T.BooleanType())] if verify else [])])
     shared = _shared(df, model)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for whole in batches:
@@ -344,6 +347,7 @@ def decode(df: DataFrame, model: PieceModel, ids: str = "piece_ids") -> DataFram
     schema = T.StructType([base.schema["row"], T.StructField("decoded", T.StringType())])
     shared = _shared(df, model)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for whole in batches:
