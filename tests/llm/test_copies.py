@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -151,7 +152,41 @@ def test_links_of_every_row(spark, monkeypatch):
     assert any(n > 20 for _, n in got)
 
 
+def test_fine_points_bound_what_sets_share():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((40, 50, 40), (2000, 2000, 0), (2000, 1700, 1600), (3000, 3700, 100), (70, 70, 0), (1, 1, 1)):
+        x, y = (rng.integers(0, 1 << 48, k, dtype=np.uint64) for k in (n, m))
+        y[:both] = x[:both]
+        most = jaccard_join._fine_bound(jaccard_join._fine_point(x), jaccard_join._fine_point(y))
+        assert both <= most <= min(n, m)
+        if n > 1000 and both < 1000:  # the bound of few coordinates lets such pairs through
+            assert most < jaccard_join._asked(n, m, 80)
+    full = np.arange(100, dtype=np.uint64) * np.uint64(1 << 20)  # all in one group
+    assert jaccard_join._fine_bound(jaccard_join._fine_point(full), jaccard_join._fine_point(full)) is None
+
+
+def test_long_texts_alike_by_chance_are_not_verified(spark, monkeypatch):
+    """Long texts share a passage; their counts by few groups are alike, but no whole set is shuffled for them."""
+    draw = random.Random(8)
+    start = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join(start + [f"x{draw.random()}" for _ in range(4000)]), "en", "s", 1) for i in range(12)]
+    rows += [(100 + i, rows[i][1] + " and more", "en", "s", 1) for i in range(4)]
+    bounded, verified = [], []
+    fine = jaccard_join._finely_bounded
+
+    def counted(pairs, sets, percent):
+        out = fine(pairs, sets, percent)
+        bounded.append(pairs.count())
+        verified.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_finely_bounded", counted)
+    assert key(similar(frame(spark, rows))) == key(brute_groups(rows))
+    assert sum(bounded) > 8 and sum(verified) == 4
+
+
 def test_tasks_give_freed_memory_back(monkeypatch):
     trimmed = []
     monkeypatch.setattr(common, "_trim", lambda: trimmed.append(True))
     assert list(common.giving_back(lambda batches: (b for b in batches))(iter([1, 2]))) == [1, 2] and trimmed == [True]
+    assert jaccard_join._BATCH * 2 * 12_000 < 8_000_000  # a batch of two long sets each

@@ -20,6 +20,9 @@ point that shares enough of those elements with another node descends: the bound
 most ``PAGE`` points of near sizes), then the points', then the sets. Points of one node are
 linked already and never compared again, so large groups of near copies cost no pair table.
 
+Points have few coordinates, so they say little of large sets. Pairs that pass them are compared by
+points with about one coordinate for each element before any whole set is shuffled.
+
 Links are counted in the components. Rows with equal sets are one class; of every component with more
 than two classes all pairs of class representatives are compared, page against page, as products of
 their element matrices in a task, so no table holds a row per pair. A class counts with its size.
@@ -41,6 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytewords import distinct, mix, words
+from tidemark.llm.common import giving_back
 from tidemark.llm.graph import components
 from tidemark.session import staged as staged_plain
 
@@ -52,12 +56,13 @@ ELEMENTS = 500_000  # elements of a page of representatives, on average
 MOST_SENT = 500_000  # row numbers that may be broadcast (about 16 MB as a hash table)
 LEAST_COMMON, MOST_COMMON = 64, 1_000_000  # occurrences that make an element common; bound of the table of common ones
 _SLICE = 500
-_BATCH = 1000  # rows of an Arrow batch, which hold whole texts or sets
+_BATCH = 250  # rows of an Arrow batch, which hold whole texts, sets or two sets each
 _TOGETHER = 4_000_000  # elements counted together
 _SHARES = 8  # parts of the hash range in which they are, one after the other
 _COLUMNS = 16_384
 _LOW = (1 << 48) - 1
 _FULL = 65535  # a coordinate this large stands for any greater one
+_FINE_FULL = 15  # the same of a fine point
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -114,6 +119,7 @@ def common_elements(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     ``MOST_COMMON`` entries. The order only steers the search; any table gives the same links.
     """
 
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
         for batch in batches:
@@ -138,6 +144,7 @@ def set_table(docs: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]
     shared = docs.sparkSession.sparkContext.broadcast(common)
     kind = dict(docs.dtypes)["id"]
 
+    @giving_back
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels = shared.value
         for whole in batches:
@@ -175,6 +182,7 @@ def _numbers(packed: bytes) -> np.ndarray:
 def leading_elements(sets: DataFrame, percent: int) -> DataFrame:
     """Rows (token, row, n): of every set the elements of which a similar set must share one."""
 
+    @giving_back
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
@@ -199,6 +207,7 @@ def _asked(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     """Keeps pairs (a, na, pa, b, nb, pb) whose summed minima reach what is asked."""
 
+    @giving_back
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("pa", "pb"))
@@ -211,12 +220,64 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "na", "pa", "b", "nb", "pb", same).mapInArrow(keep, "a long, b long, same boolean")
 
 
+def _fine_point(own: np.ndarray) -> bytes:
+    """Counts of a set by as many groups as it has elements, rounded up to a power of two; half a byte each."""
+    groups = 1 << max(GROUPS, len(own) - 1).bit_length()
+    counts = np.minimum(np.bincount((own % np.uint64(groups)).astype(np.int64), minlength=groups), _FINE_FULL).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+def _fine_bound(x: bytes, y: bytes) -> int | None:
+    """What two sets share at most by their fine points, of which the longer is folded; None if a coordinate is full."""
+    sides = []
+    for packed in (x, y):
+        halves = np.frombuffer(packed, np.uint8)
+        counts = np.empty(2 * len(halves), np.int64)
+        counts[::2], counts[1::2] = halves & 15, halves >> 4
+        if counts.max() == _FINE_FULL:
+            return None
+        sides.append(counts)
+    groups = min(map(len, sides))
+    return int(np.minimum(*(counts.reshape(-1, groups).sum(axis=0) for counts in sides)).sum())
+
+
+def _asked_for(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets that some pair (a, b) asks for, as long as their numbers are few enough to be sent to every task."""
+    asked = staged(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "jaccard-asked")
+    return sets.join(F.broadcast(asked) if asked.count() <= MOST_SENT else asked, "row", "left_semi")
+
+
+def _finely_bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Keeps pairs (a, b) whose fine points allow a link; these are a twelfth of the sets in size."""
+
+    @giving_back
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [_fine_point(_numbers(t.as_buffer())) for t in batch.column("tokens")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), pa.array(fine, pa.binary())], names=["row", "n", "fine"])
+
+    @giving_back
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = _asked(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent).tolist()
+            most = [_fine_bound(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("fa"), batch.column("fb"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array([m is None or m >= k for m, k in zip(most, asked, strict=True)], pa.bool_()))
+
+    fine = staged(_asked_for(pairs, sets.select("row", "n", "tokens")).mapInArrow(reduce, "row long, n long, fine binary"), "jaccard-fine")
+    side = lambda x: fine.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "na", "fa", "b", "nb", "fb")
+    return staged(met.mapInArrow(keep, "a long, b long"), "jaccard-near")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) among candidate pairs (a, b): those whose whole sets are similar enough."""
+    pairs = _finely_bounded(pairs, sets, percent)
+    sets = _asked_for(pairs, sets)
 
     def side(x: str) -> DataFrame:
         return sets.select(F.col("row").alias(x), F.col("tokens").alias(f"t{x}"))
 
+    @giving_back
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -227,10 +288,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * common >= percent * (len(both) - common))
             yield batch.select(["a", "b"]).rename_columns(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    # Only sets that some pair asks for are shuffled, as long as their numbers are few enough to be sent to every task.
-    asked = staged(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "jaccard-asked")
-    if asked.count() <= MOST_SENT:
-        sets = sets.join(F.broadcast(asked), "row", "left_semi")
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(check, "u long, v long")
 
 
@@ -415,15 +472,15 @@ def keep_one_per_group(
 
 def group_rows(sets: DataFrame, percent: int, *also: str) -> DataFrame:
     """Rows (row, id, n, comp) of a set table and other columns asked for; comp is the least row reachable over links."""
-    postings = leading_elements(sets, percent)
-    shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.min("row").alias("lead")).filter("k > 1")
-    blocks = staged(postings.join(shared, "token"), "rtree-blocks")
-    first = blocks.filter("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b"), F.col("n").alias("nb")).distinct()
-    first = first.join(sets.select(F.col("row").alias("a"), F.col("n").alias("na")), "a").filter(_sized("na", "na", "nb", percent))
+    postings = leading_elements(sets, percent).repartition("token")  # shuffled once, read for the counts and for the rows
+    shared = postings.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("row", "n")).alias("lead")).filter("k > 1")
+    blocks = staged(postings.join(shared, "token").select("token", "row", "n", "k", F.col("lead.row").alias("lead"), F.col("lead.n").alias("na")), "rtree-blocks")
+    first = blocks.filter("row <> lead").filter(_sized("na", "na", "n", percent)).select(
+        F.col("lead").alias("a"), "na", F.col("row").alias("b"), F.col("n").alias("nb")).distinct()
     found = _links(first, sets, percent)
     comps = staged(components(found), "jaccard-comps")
     # Every row has met the leading row of its elements, so these and elements of two rows are done with.
-    rest = blocks.filter("k > 2 AND row <> lead").drop("lead")
+    rest = blocks.filter("k > 2 AND row <> lead").drop("lead", "na")
     opened = staged(_open(rest, comps), "rtree-open")
     # Elements of many rows are led again by others; small ones cost no more in the descent.
     large = opened.filter(f"k > {SMALL}")
